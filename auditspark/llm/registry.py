@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ["quality_rules"]
+NAMES = ["quality_rules", "decontaminate"]
 
 
 def modules() -> list[ModuleType]:
