@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ["quality_rules", "decontaminate", "mixing", "compression_classifier"]
+NAMES = ["quality_rules", "decontaminate", "mixing", "compression_classifier", "license_scan"]
 
 
 def modules() -> list[ModuleType]:
