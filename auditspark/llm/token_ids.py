@@ -18,7 +18,6 @@ null doc_ids come first; an empty table gives empty shards and an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -36,21 +35,26 @@ END = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 CACHE = 1_200_000
-#: White space of any kind before a space, or a space first: there a piece may not end.
-UNSAFE = re.compile(r"\s[ \n]|^[ \n]")
 
 ENCODED = "doc_id long, n long, crc long, ids binary"
 SHARD = "shard int, block long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
 class Encoder:
-    """Ids of whole texts, encoded piece by piece with a cache."""
+    """Ids of whole texts, encoded piece by piece with a cache.
+
+    A text is cut before each space or line end that follows another character; the tokenizer never joins the two. A
+    piece has as its key the part after its space, or the part from its line end on; keys of texts' first parts begin
+    with FIRST, and those of pieces that hold other white space with WHOLE, which no part can."""
+
+    FIRST, WHOLE = "\n\n", "\n\n\n"
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -59,53 +63,78 @@ class Encoder:
         self.start = np.zeros(1 << 18, np.int64)
         self.used = 0
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before each space or line end that stands between other characters and more text."""
-        if not text:
-            return []
-        parts = text.replace("\n", " \n").split(" ")
-        if UNSAFE.search(text):
-            joined: list[str] = []
-            for i, part in enumerate(parts):
-                part = part if not i or part[:1] == "\n" else " " + part
-                if joined and (joined[-1][-1:].isspace() or not joined[-1]):
-                    joined[-1] += part
-                else:
-                    joined.append(part)
-            return joined
-        return [parts[0], *(p if p[:1] == "\n" else " " + p for p in parts[1:])]
+    @classmethod
+    def keys(cls, text: str) -> list[str]:
+        """Keys that hold if every part ends with another character than white space."""
+        parts = text.replace("\n", " \n").split(" ") if text else []
+        if parts:
+            parts[0] = cls.FIRST + parts[0]
+        return parts
+
+    @classmethod
+    def careful_keys(cls, text: str) -> list[str]:
+        """Keys of larger pieces where white space meets white space."""
+        pieces: list[str] = []
+        for i, part in enumerate(text.replace("\n", " \n").split(" ")):
+            part = part if not i or part[:1] == "\n" else " " + part
+            if pieces and (not pieces[-1] or pieces[-1][-1].isspace()):
+                pieces[-1] += part
+            else:
+                pieces.append(part)
+        return [cls.WHOLE + p for p in pieces]
+
+    @classmethod
+    def is_clean(cls, key: str) -> bool:
+        return len(key) > (2 if key.startswith(cls.FIRST) else 0) and not key[-1].isspace()
 
     def add(self, new: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        simple, other = [], []
+        for key in new:
+            (other if len(key.split()) != 1 or key.startswith(self.WHOLE) or len(self.line_end) != 1 or key.lstrip("\n")[:1].isspace() else simple).append(key)
+        found: list[np.ndarray] = []
+        for at in range(0, len(simple), 1000):  # many pieces in one text, a line each
+            some = simple[at : at + 1000]
+            text = "\n".join(k[2:] if k.startswith(self.FIRST) else k[1:] if k[0] == "\n" else " " + k for k in some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == self.line_end[0])
+            assert len(cut) == len(some) - 1
+            lines = np.split(ids, cut)
+            found += [x if k[0] == "\n" and not k.startswith(self.FIRST) and i else np.append(np.uint32(self.line_end[0]), x) if k[0] == "\n" and not k.startswith(self.FIRST) else x[1:] if i else x for i, (k, x) in enumerate(zip(some, lines))]
+        if other:
+            texts = [k[3:] if k.startswith(self.WHOLE) else k[2:] if k.startswith(self.FIRST) else k if k[0] == "\n" else " " + k for k in other]
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.concatenate(found)
         first = len(self.number)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(new) + 1 > len(self.start):
+        while first + len(found) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[first + 1 : first + len(new) + 1] = self.used + np.cumsum(sizes)
+        self.start[first + 1 : first + len(found) + 1] = self.used + np.cumsum(sizes)
         self.used += len(flat)
-        self.number.update(zip(new, range(first, first + len(new))))
+        self.number.update(zip(chain(simple, other), range(first, first + len(found))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
         if len(self.number) > CACHE:
             self.clear()
-        if new := list({p for pieces in cut for p in pieces if p not in self.number}):
+        keys = [self.keys(t) for t in texts]
+        new: set[str] = set()
+        for i, own in enumerate(keys):
+            if unknown := [k for k in own if k not in self.number]:
+                if not all(map(self.is_clean, unknown)):
+                    unknown = keys[i] = self.careful_keys(texts[i])
+                new.update(unknown)
+        if new := [k for k in new if k not in self.number]:
             self.add(new)
-        get, out = self.number.__getitem__, []
-        for pieces in cut:
-            at = np.fromiter(map(get, pieces), np.int64, len(pieces))
-            begin = self.start[at]
-            size = self.start[at + 1] - begin
-            total = int(size.sum())
-            index = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
-            out.append(self.ids[index])
-        return out
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, int(sizes.sum()))
+        begin = self.start[at]
+        size = self.start[at + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(size)])
+        index = np.repeat(begin - ends[:-1], size)
+        index += np.arange(len(index))
+        return np.split(self.ids[index], ends[np.cumsum(sizes)[:-1]])
 
 
 _encoders: dict[str, Encoder] = {}
