@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import stored, table
 
-SHARE, LEAST_COPIES, LEAST_PAGES = 5, 3, 5
+SHARE, LEAST_COPIES, LEAST_PAGES = 10, 3, 5
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 #: What is removed before tags are: scripts, styles, comments.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ["quality_rules", "decontaminate", "mixing", "compression_classifier", "license_scan", "token_ids", "line_dedup"]
+NAMES = ["quality_rules", "decontaminate", "mixing", "compression_classifier", "license_scan", "token_ids", "line_dedup", "near_dedup"]
 
 
 def modules() -> list[ModuleType]:
