@@ -72,3 +72,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """The bytes of ``x``, all lowest bytes first: what is mostly zero compresses away."""
+    x = x.astype(kind)
+    return x.view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T.tobytes()
+
+
+def unplanes(blob: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared warehouse, bucketed by ``key``: later groupings by it move the other side only."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    return spark.table(name)

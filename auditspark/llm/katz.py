@@ -27,7 +27,6 @@ an empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import crc32_of, mix64, raw_text, slices, stored, table
+from auditspark.llm.common import bucketed, crc32_of, mix64, planes, raw_text, slices, stored, table, unplanes
 from auditspark.llm.shingles import word_hashes
 
 FOLDS, HELD = 7, 2
@@ -53,17 +52,6 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 BACK_NAMES = ["block", "kind", "part", "a", "b", "stats"]
 
 
-def planes(x: np.ndarray, kind: str) -> bytes:
-    """The bytes of ``x``, all lowest bytes first: what is mostly zero compresses away."""
-    x = x.astype(kind)
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def unplanes(blob: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def make_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents' tokens as numbers of their block's distinct words, most frequent first."""
 
@@ -323,13 +311,6 @@ def summed(rows: DataFrame, n: int) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared warehouse, bucketed by ``key``: later groupings by it move the other side only."""
-    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
-    return spark.table(name)
-
-
 def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
     blocks = bucketed(make_blocks(docs, block_tokens), "block")
     sizes = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
