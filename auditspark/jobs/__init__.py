@@ -1,3 +1,5 @@
 """The registered queries, by module; each module has QUERIES and ORACLE."""
 
-MODULES: list = []
+from auditspark.jobs import relational
+
+MODULES = [relational]
