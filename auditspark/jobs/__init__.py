@@ -1,5 +1,5 @@
 """The registered queries, by module; each module has QUERIES and ORACLE."""
 
-from auditspark.jobs import relational
+from auditspark.jobs import relational, source_text
 
-MODULES = [relational]
+MODULES = [relational, source_text]
