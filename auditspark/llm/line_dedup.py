@@ -22,9 +22,9 @@ from auditspark.llm.common import stored, table
 
 SHARE, LEAST_COPIES, LEAST_PAGES = 10, 3, 5
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
-#: What is removed before tags are: scripts, styles, comments.
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
+BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+#: What ends a line: scripts, styles and comments, which are removed with their content, and block-level tags.
+BREAK = rf"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->|/?(?:{BLOCK_TAGS})\b[^>]*>)"
 TAG = r"<[^>]*>"
 
 
@@ -33,27 +33,24 @@ def host_of(url: Column) -> Column:
 
 
 def lines_of(html: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
-    text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
-    text = F.regexp_replace(text, r"[ \t\x0B\f\r]*\n[ \t\x0B\f\r\n]*", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), r"^[ \n]+|[ \n]+$", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), BREAK, "\n"), TAG, "")
+    text = F.btrim(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), F.lit(" \n"))
+    return F.filter(F.split(text, r" ?\n[ \n]*"), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, share: int = SHARE, least_copies: int = LEAST_COPIES, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(lines: DataFrame, share: int = SHARE, least_copies: int = LEAST_COPIES, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, drop: the hashes of each host's boilerplate lines."""
-    own = pages.select(host_of(F.col("url")).alias("host"), "html")
-    totals = own.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least_pages)
-    hashes = F.array_distinct(F.transform(lines_of(F.col("html")), lambda x: F.xxhash64(x)))
-    counts = own.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_copies)
+    totals = lines.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least_pages)
+    hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
+    counts = lines.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_copies)
     return counts.join(totals, "host").where(share * F.col("n") > F.col("n_pages")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
 def drop_boilerplate(pages: DataFrame, **limits: int) -> DataFrame:
-    """page_id, host, lines and kept (the lines that stay) of every page."""
-    drop = stored(boilerplate(pages, **limits)).withColumnRenamed("host", "_host")
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    joined = own.join(drop, F.col("host") == F.col("_host"), "left").select("page_id", "host", lines_of(F.col("html")).alias("lines"), "drop")
+    """page_id, host, lines and kept (the lines that stay) of every page. Lines are cut once and stored."""
+    lines = stored(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")))
+    drop = stored(boilerplate(lines, **limits)).withColumnRenamed("host", "_host")
+    joined = lines.join(drop, F.col("host") == F.col("_host"), "left")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x))))
     return joined.select("page_id", "host", "lines", kept.alias("kept"))
 
@@ -68,7 +65,7 @@ QUERIES = {"op9_line_dedup": op9_line_dedup}
 ORACLE = {
     "op9_line_dedup": rf"""
 WITH own AS (SELECT row_number() OVER () AS r, page_id, lower(coalesce(regexp_extract(url, '{HOST}', 1), '')) AS host,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', chr(10), 'g'), '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g'),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{BREAK}', chr(10), 'g'), '{TAG}', '', 'g'),
     '[ \t\x0B\f\r]*\n[ \t\x0B\f\r\n]*', chr(10), 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text FROM pages),
 line AS (SELECT r, page_id, host, i, lines[i] AS l FROM (SELECT r, page_id, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM own))),
 bad AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT r) AS n FROM line GROUP BY ALL) JOIN (SELECT host, count(*) AS n_pages FROM own GROUP BY host) USING (host)
