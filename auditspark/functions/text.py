@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ BLANK = r"[\s\x1C-\x1F\x85   -     　]"
 COMMENT = ("#", "//", "/*", "*", "--", "<!--")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends; no last empty one."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def strip(text: Column) -> Column:
@@ -31,10 +37,12 @@ def is_comment(line: Column, prefixes: tuple[str, ...] = COMMENT) -> Column:
 
 def normalize_line(line: Column) -> Column:
     """A line for comparison: no comments, white space collapsed, no closing semicolons; empty where nothing is left."""
-    stripped = strip(line)
+    return let(strip(line), lambda x: F.when(is_comment(x), "").otherwise(_tidy(x)))
+
+
+def _tidy(stripped: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(stripped, r"(?<![:'\"])#.*$", ""), r"//.*$", "")
-    tidy = F.regexp_replace(strip(F.regexp_replace(bare, rf"{BLANK}+", " ")), r";+$", "")
-    return F.when(is_comment(stripped), "").otherwise(strip(tidy))
+    return strip(F.regexp_replace(strip(F.regexp_replace(bare, rf"{BLANK}+", " ")), r";+$", ""))
 
 
 def indent_of(line: Column) -> Column:

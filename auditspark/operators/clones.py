@@ -82,7 +82,7 @@ def repeated_blocks(files: DataFrame, size: int = 3, cap: int = 3) -> DataFrame:
     """Blocks of a file's code lines that it repeats: the first ``cap`` of each file, with their first line and count."""
     skip = ("#", "//", "--", "/*")
     lines = F.transform(text.split_lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("line_no"), text.strip(x).alias("norm")))
-    kept = F.filter(lines, lambda x: (x["norm"] != "") & ~text.is_comment(x["norm"], skip))
+    kept = F.filter(lines, lambda x: text.let(x["norm"], lambda n: (n != "") & ~text.is_comment(n, skip)))
     own = files.where(F.size(text.split_lines(F.col("content"))) >= 6).select("repo", "file_id", once(kept).alias("lines")).where(F.size("lines") >= size)
     made = F.transform(F.sequence(F.lit(1), F.size("lines") - (size - 1)), lambda i: F.struct(F.get("lines", i - 1)["line_no"].alias("line_no"), F.md5(F.array_join(F.transform(F.slice("lines", i, size), lambda x: x["norm"]), "|").cast("binary")).alias("block")))
     blocks = own.select("repo", "file_id", F.explode(made).alias("b")).select("repo", "file_id", "b.*").groupBy("repo", "file_id", "block").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
