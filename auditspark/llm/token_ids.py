@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-CACHE = 1_200_000
+CACHE = 2_500_000
 
 ENCODED = "doc_id long, n long, crc long, ids binary"
 SHARD = "shard int, block long, doc_ids array<long>, lengths array<long>, control binary, data binary"
@@ -55,6 +55,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks = {m: i[0] for m in ".,;:!?" if len(i := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1}
         self.clear()
 
     def clear(self) -> None:
@@ -87,48 +88,74 @@ class Encoder:
     def is_clean(cls, key: str) -> bool:
         return len(key) > (2 if key.startswith(cls.FIRST) else 0) and not key[-1].isspace()
 
-    def add(self, new: list[str]) -> None:
-        simple, other = [], []
-        for key in new:
-            (other if len(key.split()) != 1 or key.startswith(self.WHOLE) or len(self.line_end) != 1 or key.lstrip("\n")[:1].isspace() else simple).append(key)
-        found: list[np.ndarray] = []
-        for at in range(0, len(simple), 1000):  # many pieces in one text, a line each
-            some = simple[at : at + 1000]
-            text = "\n".join(k[2:] if k.startswith(self.FIRST) else k[1:] if k[0] == "\n" else " " + k for k in some)
+    def text_of(self, key: str) -> str:
+        return key[3:] if key.startswith(self.WHOLE) else key[2:] if key.startswith(self.FIRST) else key if key[0] == "\n" else " " + key
+
+    def _add_words(self, keys: list[str]) -> None:
+        """Keys of single words, many in one text, a line each: a line end is a token of its own there."""
+        for at in range(0, len(keys), 4000):
+            some = keys[at : at + 4000]
+            text = " " + "\n ".join(some)
+            if len(self.line_end) != 1 or len(text.split()) != len(some):
+                self._add_others(some)
+                continue
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.line_end[0])
             assert len(cut) == len(some) - 1
-            lines = np.split(ids, cut)
-            found += [x if k[0] == "\n" and not k.startswith(self.FIRST) and i else np.append(np.uint32(self.line_end[0]), x) if k[0] == "\n" and not k.startswith(self.FIRST) else x[1:] if i else x for i, (k, x) in enumerate(zip(some, lines))]
-        if other:
-            texts = [k[3:] if k.startswith(self.WHOLE) else k[2:] if k.startswith(self.FIRST) else k if k[0] == "\n" else " " + k for k in other]
-            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found)
+            self._store(some, np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1, np.delete(ids, cut))
+
+    def _add_others(self, keys: list[str]) -> None:
+        if keys:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(list(map(self.text_of, keys)), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._store(keys, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def add(self, new: set[str]) -> None:
+        """Encode new keys. A mark after a letter is a token of its own, so a word with it takes the word's ids."""
+        number, marks = self.number, self.marks
+        others = [k for k in new if k[0] == "\n"]
+        marked = [k for k in new if k[-1] in marks and k[-2:-1].isalpha() and k[0] != "\n"]
+        self._add_others(others)
+        self._add_words(list(new.difference(others, marked).union(k[:-1] for k in marked).difference(number)))
+        if marked := [k for k in marked if k not in number]:
+            at = np.fromiter((number[k[:-1]] for k in marked), np.int64, len(marked))
+            begin, size = self.start[at], self.start[at + 1] - self.start[at] + 1
+            ends = np.cumsum(size)
+            index = np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))
+            flat = self.ids[np.minimum(index, len(self.ids) - 1)]
+            flat[ends - 1] = [marks[k[-1]] for k in marked]
+            self._store(marked, size, flat)
+
+    def _store(self, keys: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
         first = len(self.number)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(found) + 1 > len(self.start):
+        while first + len(keys) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[first + 1 : first + len(found) + 1] = self.used + np.cumsum(sizes)
+        self.start[first + 1 : first + len(keys) + 1] = self.used + np.cumsum(sizes)
         self.used += len(flat)
-        self.number.update(zip(chain(simple, other), range(first, first + len(found))))
+        self.number.update(zip(keys, range(first, first + len(keys))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE:
             self.clear()
         keys = [self.keys(t) for t in texts]
-        new: set[str] = set()
-        for i, own in enumerate(keys):
-            if unknown := [k for k in own if k not in self.number]:
-                if not all(map(self.is_clean, unknown)):
-                    unknown = keys[i] = self.careful_keys(texts[i])
-                new.update(unknown)
-        if new := [k for k in new if k not in self.number]:
+        flat = list(chain.from_iterable(keys))
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(unknown := np.flatnonzero(at < 0)):
+            new = {flat[i] for i in unknown.tolist()}
+            if odd := {k for k in new if not self.is_clean(k)}:
+                ends = np.cumsum([len(k) for k in keys])
+                for i in {int(np.searchsorted(ends, i, side="right")) for i in unknown.tolist() if flat[i] in odd}:
+                    keys[i] = self.careful_keys(texts[i])
+                flat = list(chain.from_iterable(keys))
+                new = {k for k in flat if k not in self.number}
             self.add(new)
+            at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)) if odd else at
+            if not odd:
+                at[unknown] = [self.number[flat[i]] for i in unknown.tolist()]
         sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, int(sizes.sum()))
         begin = self.start[at]
         size = self.start[at + 1] - begin
         ends = np.concatenate([[0], np.cumsum(size)])
