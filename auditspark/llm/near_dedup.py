@@ -6,9 +6,10 @@ pseudo-random sequence until one is filled. (2) Equal sets are one class, repres
 classes go on. (3) In each bucket of two or more classes the class that shares most buckets is the centre; edges go from
 the centre to the others, so a bucket makes as many edges as it has members. (4) Edges are confirmed on the full sets
 of both texts, and confirmed links give components. (5) Where a bucket still holds several components, its members
-outside the centre's component are held against all members of other components, and confirmed likewise: any two linked
-classes that meet in a bucket are then in one component, though all pairs are never made. Two sets with the least
-similarity, 0.75, miss each other in all bands with a probability of about 5e-6.
+outside the centre's component are held, on full sets, against the members of other components whose sets can be similar
+enough, given how many of their shingles any other such document has: any two linked classes that meet in a bucket are
+then in one component, though only links leave the comparison. Two sets with the least similarity, 0.75, miss each
+other in all bands with a probability of about 5e-6.
 
 Defined results: null or empty text and text without words has an empty set and is linked with nothing; rows that share
 an id are one document; rows without an id link nothing but join the group of an equal set; empty tables give empty
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import mix64, raw_text, slices, stored, table
+from auditspark.llm.common import mix64, raw_text, slices, stored, table, unused
 from auditspark.llm.shingles import overlap, shingle_sets
 
 BINS, BANDS = 128, 32
@@ -127,6 +128,23 @@ def alike(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
+def shared_sizes(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, shingles, common: the sets of these documents, and how many shingles of each another one of them has too. No
+    two of them have more in common than the smaller of their two numbers, which bounds their similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            sets = shingle_sets(batch.column(1).to_pylist())
+            ends = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), raw_text()).join(stored(ids), "rep", "left_semi")
+    sets = stored(texts.mapInArrow(run, "rep long, shingles array<long>"))
+    one = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    alone = stored(one.where(F.col("rep") == F.col("last")).groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
+    return stored(sets.join(alone, "rep", "left").select("rep", "shingles", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common")))
+
+
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all classes (rep, n, bands) that have links."""
     members = stored(classes.select("rep", "n", F.explode("bands").alias("key")))
@@ -144,11 +162,15 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     open_members = stored(named.join(mixed, "key"))
     main = stored(open_members.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"]).select("key", F.col("rep").alias("centre"), F.col("component").alias("main")))
     placed = stored(open_members.join(main, "key"))
-    rest = placed.where(F.col("component") != F.col("main")).select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    rest = stored(rest)
+    placed = placed.join(shared_sizes(placed.select("rep").distinct(), docs), "rep")
+    rest = placed.where(F.col("component") != F.col("main")).select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "common", "component", "shingles")])
     others = placed.where(F.col("rep") != F.col("centre"))
-    pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & alike("n", "n_b") & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("b"))))
-    more = stored(confirm(stored(pairs.select(F.col("rep").alias("a"), "b").distinct()), docs))
+    once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep_b"))
+    total = F.col("n") + F.col("n_b")
+    reach = (100 + SIMILAR) * F.least("common", "common_b") >= SIMILAR * total
+    exact = (100 + SIMILAR) * F.size(F.array_intersect("shingles", "shingles_b")) >= SIMILAR * total
+    pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach & exact)
+    more = stored(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())
     return found if more.isEmpty() else components(links.union(more))
 
 
@@ -165,8 +187,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each group."""
-    gone = stored(near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = stored(near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
