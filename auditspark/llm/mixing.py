@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import stored, table
+from auditspark.llm.common import stored, table, unused
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -125,9 +125,11 @@ def selected_words(block: int) -> Column:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs``, all columns, each as often as the mix takes it, rounded to whole documents."""
-    copies = mix(docs, seed).groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies")).where(F.col("_copies") > 0)
-    kept = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, copies, copy = unused(docs, "_id"), unused(docs, "_copies"), unused(docs, "_copy")
+    times = F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int")
+    taken = mix(docs, seed).groupBy(F.col("doc_id").alias(key)).agg(times.alias(copies)).where(F.col(copies) > 0)
+    kept = docs.join(stored(taken), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
