@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where a few unsplittable files would leave most of them idle; large inputs are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     connected = F.when(F.col("c_mktsegment") == "BUILDING", None).otherwise(F.col("c_mktsegment") != "MACHINERY")
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("user_id"), connected.alias("is_connected"))
@@ -58,7 +64,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the repository ``source``."""
-    return table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("repo"), F.col("doc_id").alias("file_id"), F.concat(F.coalesce("source", F.lit("")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.coalesce("source", F.lit("")).alias("repo"), F.col("doc_id").alias("file_id"), F.concat(F.coalesce("source", F.lit("")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 CTE = """
