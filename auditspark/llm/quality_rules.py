@@ -23,7 +23,7 @@ from auditspark.llm.common import LOWER, SPACE, mix64, raw_text, slices, table
 
 DIM = 1 << 17
 #: Labelled rows of each class that the model is fitted on at most, and the longest text taken into the sample.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16_384
+SAMPLE_ROWS, SAMPLE_BYTES = 600, 8192
 #: Documents whose calibrated probability of good quality is below this are rejected.
 KEEP_AT = 0.3
 SYMBOLS = b"#*$%&|<>"
@@ -104,11 +104,11 @@ def fit(texts: list[bytes], good: np.ndarray, seed: int = 7, steps: int = 150) -
     columns, values, sizes = [], [], []
     for t in texts:
         slot, count = np.unique(hashed_features(t), return_counts=True)
-        columns.append(slot)
-        values.append(np.sqrt(count / max(1, count.sum())))
+        columns.append(slot.astype(np.int32))
+        values.append(np.sqrt(count / max(1, count.sum())).astype(np.float32))
         sizes.append(len(slot))
     held = np.arange(len(texts)) % 5 == 0
-    row = np.repeat(np.arange(len(texts)), sizes)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     column, value = np.concatenate(columns), np.concatenate(values)
     fit_row = ~held[row]
     r, c, v = row[fit_row], column[fit_row], value[fit_row]
