@@ -49,8 +49,10 @@ def duck():
 def same_rows():
     """Spark's rows and an oracle's, whatever their order."""
 
+    import pandas as pd
+
     def value(v):
-        return None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v.item() if hasattr(v, "item") else v
+        return None if v is None or pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v.item() if hasattr(v, "item") else v
 
     def check(ours, theirs):
         assert sorted(ours.columns) == sorted(theirs.columns)
