@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import mix64, raw_text, slices, stored, table, unused
+from auditspark.llm.common import discard, mix64, raw_text, slices, stored, table, unused
 from auditspark.llm.shingles import overlap, shingle_sets
 
 BINS, BANDS = 128, 32
@@ -104,7 +104,9 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= SIMILAR * (len(held) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")).mapInArrow(run, "a long, b long")
+    links = stored(both.select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")).mapInArrow(run, "a long, b long"))
+    discard(texts, ids)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -128,9 +130,9 @@ def alike(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def shared_sizes(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, shingles, common: the sets of these documents, and how many shingles of each another one of them has too. No
-    two of them have more in common than the smaller of their two numbers, which bounds their similarity."""
+def shared_sizes(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, shingles): the sets of these documents; (rep, common): how many shingles of each another one of them has too.
+    No two of them have more in common than the smaller of their two numbers, which bounds their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -142,18 +144,20 @@ def shared_sizes(ids: DataFrame, docs: DataFrame) -> DataFrame:
     sets = stored(texts.mapInArrow(run, "rep long, shingles array<long>"))
     one = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     alone = stored(one.where(F.col("rep") == F.col("last")).groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
-    return stored(sets.join(alone, "rep", "left").select("rep", "shingles", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common")))
+    sizes = sets.select("rep", F.size("shingles").alias("n"))
+    return sets, stored(sizes.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
 
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all classes (rep, n, bands) that have links."""
     members = stored(classes.select("rep", "n", F.explode("bands").alias("key")))
     sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
-    members = stored(members.join(sizes, "key"))
+    every, members = members, stored(members.join(sizes, "key"))
+    discard(every)
     shared = stored(members.groupBy("rep").agg(F.sum("size").alias("shared")))
     centres = stored(members.join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("last"), "n")).alias("m")).select("key", (-F.col("m.last")).alias("centre"), F.col("m.n").alias("centre_n")))
     star = members.join(centres, "key").where((F.col("rep") != F.col("centre")) & alike("n", "centre_n"))
-    links = stored(confirm(stored(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()), docs))
+    links = confirm(stored(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()), docs)
     found = components(links)
 
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -162,15 +166,20 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     open_members = stored(named.join(mixed, "key"))
     main = stored(open_members.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"]).select("key", F.col("rep").alias("centre"), F.col("component").alias("main")))
     placed = stored(open_members.join(main, "key"))
-    placed = placed.join(shared_sizes(placed.select("rep").distinct(), docs), "rep")
-    rest = placed.where(F.col("component") != F.col("main")).select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "common", "component", "shingles")])
-    others = placed.where(F.col("rep") != F.col("centre"))
+    sets, common = shared_sizes(placed.select("rep").distinct(), docs)
+    least = SIMILAR * F.col("n") <= 100 * F.col("common")  # else it is near none of them
+    placed = stored(placed.join(common, "rep").where(least & (F.col("rep") != F.col("centre"))))
+    outside = stored(placed.where(F.col("component") != F.col("main")))
+    inside = placed.join(stored(outside.select("key").distinct()), "key", "left_semi")
+    rest = outside.join(sets, "rep").select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "common", "component", "shingles")])
+    others = inside.join(sets, "rep").select("key", "rep", "n", "common", "component", "main", "shingles")
     once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep_b"))
     total = F.col("n") + F.col("n_b")
     reach = (100 + SIMILAR) * F.least("common", "common_b") >= SIMILAR * total
     exact = (100 + SIMILAR) * F.size(F.array_intersect("shingles", "shingles_b")) >= SIMILAR * total
     pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach & exact)
     more = stored(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())
+    discard(sets, placed, outside, open_members, named, members, centres)
     return found if more.isEmpty() else components(links.union(more))
 
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import shared_folder, slices, stored, table
+from auditspark.llm.common import discard, shared_folder, slices, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -313,6 +313,7 @@ def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> str
     encoded = stored(encode_texts(docs, tokenizer, end))
     counts = id_counts(encoded).orderBy(F.col("n").desc(), "id").collect()  # at most the vocabulary
     write_shards(encoded, [r["id"] for r in counts], path)
+    discard(encoded)
     return path
 
 
