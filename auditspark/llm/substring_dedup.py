@@ -100,7 +100,7 @@ def runs_of(texts: list[bytes], skip: list[bool]) -> Runs:
         first = np.flatnonzero(since % SPREAD == 0)
         last = np.append(first[1:], len(seed)) - 1
         length = last - first + 1
-        content = mix64(full[first] + full[last] * np.uint64(_STEP) + length.astype(np.uint64)) >> np.uint64(16) | np.uint64(1)
+        content = mix64(full[first] + full[last] * np.uint64(_STEP) + length.astype(np.uint64)) >> np.uint64(24) | np.uint64(1)
         out.append((row[first], at[first], length, seed[first], content, full))
 
     for i, a in todo:
@@ -140,6 +140,11 @@ def cuts(keys: np.ndarray, parts: int) -> list[int]:
     return [0, *np.searchsorted(keys, part_bounds(parts)).tolist(), len(keys)]
 
 
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps from each to the next: many leading zero bytes, which compress away."""
+    return planes(np.concatenate([keys[:1], keys[1:] - keys[:-1]]), "<u8")
+
+
 class Block:
     """The documents of a block, their runs, and the distinct names that the block sends on either level."""
 
@@ -163,7 +168,7 @@ class Block:
 
     def send(self, parts: int, keys: np.ndarray, content: np.ndarray, least: np.ndarray) -> pa.Table:
         cut = cuts(keys, parts)
-        rows = [(p, self.name, b - a, keys[a:b].tobytes(), content[a:b].view(np.uint8).reshape(b - a, 8)[:, :6].tobytes() if len(content) else b"", planes(least[a:b], "<i8")) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        rows = [(p, self.name, b - a, steps(keys[a:b]), content[a:b].view(np.uint8).reshape(b - a, 8)[:, :5].tobytes() if len(content) else b"", planes(least[a:b], "<i8")) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["part", "block", "n", "keys", "content", "docs"])
 
@@ -196,7 +201,7 @@ def least_documents(group: pa.Table, level: int) -> pa.Table:
     """Of one partition of names: what each block has to know. Status 0: no other block has the name; 1: the least
     document follows; 2: the name has several contents."""
     sizes = group["n"].to_pylist()
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()])
+    keys = np.concatenate([np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in group["keys"].to_pylist()])
     docs = np.concatenate([unplanes(x, "<i8") for x in group["docs"].to_pylist()])
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
@@ -206,7 +211,7 @@ def least_documents(group: pa.Table, level: int) -> pa.Table:
     status = np.where(count > 1, 1, 0)
     if level == 1:
         content = np.zeros((len(keys), 8), np.uint8)
-        content[:, :6] = np.frombuffer(b"".join(group["content"].to_pylist()), np.uint8).reshape(-1, 6)
+        content[:, :5] = np.frombuffer(b"".join(group["content"].to_pylist()), np.uint8).reshape(-1, 5)
         content = content.view(np.uint64).reshape(-1)[order]
         low = np.minimum.reduceat(content, first)
         status = np.where((low == 0) | (low != np.maximum.reduceat(content, first)), 2, status)
