@@ -7,6 +7,7 @@ to sources by the highest quotients target / (2 k + 1), then, in the same way, f
 shards' sizes, which gives an integer quota for each shard. A shard holds a seeded share of a source's documents in
 a seeded order; whole rounds take every word once, and the rest of the quota takes blocks that a seeded permutation
 selects. So a source's words come within one block of its target, and a document's within MAX_EPOCHS times its size.
+Where whole documents are asked for, the parts of copies are rounded together for each source (``rounded``).
 
 Tables with a row for each source or shard are aggregated by Spark and small against the documents; they stay
 DataFrames, are joined with the documents' sizes only, and texts are never moved.
@@ -17,6 +18,11 @@ without words has the target 0; equal ids are ordered by size; an empty table gi
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +43,11 @@ def number_of(digest: Column, start: int) -> Column:
     return F.conv(F.substring(digest, start, 6), 16, 10).cast("long")
 
 
+def size_of() -> Column:
+    """Words of the text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, weight, target: capped shares of all words. ``sizes`` has a row for each source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -81,7 +92,7 @@ def apportion(rows: DataFrame, group: list[str], votes: str, order: list[Column]
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the shard and source of each document."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest")))
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"), digest.alias("digest")))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     facts = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
     shard_words = max(SHARD_WORDS, facts["total"] // MOST_SHARDS)
@@ -123,13 +134,53 @@ def selected_words(block: int) -> Column:
     return F.when((F.col("size") > 0) & (n > 0), F.aggregate(spanned, F.lit(0).cast("long"), lambda a, b: a + overlap(b))).otherwise(F.lit(0).cast("long"))
 
 
+def rounded(parts: pd.DataFrame, seed: str) -> pd.DataFrame:
+    """Of a source's rows (size, n of that size, part: how much of a copy is taken): those that get a copy more.
+
+    Systematic rounding within classes of size by powers of two, the largest first: a running sum of the parts from a
+    seeded start gives a copy wherever it passes a whole number, so a row's chance is its part. What a class emits more
+    or less than its parts moves the parts of all smaller ones, in proportion to what they can give."""
+    parts = parts.assign(words=parts["size"] * parts["n"]).sort_values(["words", "size", "digest"], ascending=[False, True, True])
+    words, part = parts["words"].to_numpy(np.float64), parts["part"].to_numpy(np.float64)
+    draw = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{parts['source'].iloc[0]}".encode()).digest()[:8], "little"))
+    level = np.frexp(words)[1]
+    edges = [0, *(np.flatnonzero(np.diff(level)) + 1).tolist(), len(words)]
+    want, given = float(words @ part), 0.0
+    copy = np.zeros(len(words), dtype=bool)
+    for a, b in zip(edges, edges[1:]):
+        open_, rest = want - given - float(words[a:] @ part[a:]), words[a:]
+        room = float(rest @ (1 - part[a:])) if open_ > 0 else float(rest @ part[a:])
+        move = min(1.0, abs(open_) / room) if room > 0 else 0.0
+        part[a:] += move * (1 - part[a:]) if open_ > 0 else -move * part[a:]
+        place = np.floor(np.cumsum(part[a:b]) + draw.random())
+        copy[a:b] = np.diff(place, prepend=0) > 0
+        given += float(words[a:b] @ copy[a:b])
+    return parts.loc[copy, ["doc_id", "source", "size"]]
+
+
+def whole_copies(taken: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, copies: the taken words of ``mix`` as whole documents, each part of a copy rounded up or
+    down so that a source's copies have its taken words. Rows of the same three values get the same copies.
+
+    Only documents at the ends of a shard's selected words have parts: a few of each shard, as few as the shards."""
+    key = ["doc_id", "source", "size"]
+    units = taken.where((F.col("size") > 0) & (F.col("taken") > 0)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"))
+    words = F.col("size") * F.col("n")
+    units = stored(units.withColumn("copies", F.floor(F.col("taken") / words).cast("int")).withColumn("part", F.col("taken") % words / words))
+    partial = units.where(F.col("part") > 0).withColumn("digest", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    more = partial.groupBy("source").applyInPandas(lambda parts: rounded(parts, seed), "doc_id long, source string, size long")
+    both = units.where(F.col("copies") > 0).select(*key, "copies").unionByName(more.withColumn("copies", F.lit(1)))
+    return both.groupBy(*key).agg(F.sum("copies").cast("int").alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs``, all columns, each as often as the mix takes it, rounded to whole documents."""
-    key, copies, copy = unused(docs, "_id"), unused(docs, "_copies"), unused(docs, "_copy")
-    times = F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int")
-    taken = mix(docs, seed).groupBy(F.col("doc_id").alias(key)).agg(times.alias(copies)).where(F.col(copies) > 0)
-    kept = docs.join(stored(taken), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
-    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all columns, each as often as the mix takes it, in whole documents."""
+    names = {c: unused(docs, f"_{c}") for c in ("doc_id", "source", "size", "copies")}
+    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": size_of()}
+    copies = stored(whole_copies(mix(docs, seed), seed)).withColumnsRenamed(names)
+    same = reduce(Column.__and__, (value.eqNullSafe(F.col(names[c])) for c, value in own.items()))
+    copy = unused(docs, "_copy")
+    return docs.join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

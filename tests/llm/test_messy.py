@@ -130,6 +130,35 @@ def test_mixing(spark, odd):
     assert sorted(map(key, result(spark, mixing, odd))) == sorted(map(key, found))
 
 
+def test_mixed_documents_follow_targets(spark):
+    """Whole copies have each source's words, long documents and repeated ids included."""
+    rng = random.Random(5)
+    rows = [(k, "w " * rng.randint(5, 900), "hot") for k in range(2500)] + [(8000 + k, "w " * rng.randint(20000, 60000), "hot") for k in range(40)]
+    rows += [(3000 + k, "w " * rng.randint(5, 900), f"s{k % 12:02}") for k in range(4000)] + [(6, "w " * 300, "hot")] * 5 + [(None, "w " * 250, "s03")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    target = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    out = [(r["doc_id"], r["source"], len(r["text"]) // 2) for r in mixing.mixed_documents(docs).collect()]
+    for s in target:
+        assert abs(sum(n for _, x, n in out if x == s) - target[s]) <= 0.02 * target[s], s
+    count = {i: sum(1 for x, *_ in out if x == i) for i, *_ in out if i not in (None, 6)}
+    assert max(count.values()) <= mixing.MAX_EPOCHS and any(i >= 8000 for i in count)
+
+
+def test_rounding_keeps_chances():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    size = np.concatenate([rng.integers(20000, 60000, 40), rng.integers(5, 900, 300)])
+    part = np.concatenate([np.full(40, 0.1), rng.random(300)])
+    rows = pd.DataFrame({"doc_id": range(340), "source": "a", "size": size, "n": 1, "part": part, "digest": [hashlib.md5(str(i).encode()).hexdigest() for i in range(340)]})
+    picked = np.zeros(340)
+    for k in range(400):
+        more = mixing.rounded(rows.copy(), str(k))
+        picked[more["doc_id"]] += 1
+        assert abs(more["size"].sum() - size @ part) < 1000
+    assert abs(picked[:40].mean() / 400 - 0.1) < 0.01 and picked[:40].min() > 0
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
