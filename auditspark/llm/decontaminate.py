@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from auditspark.llm.common import ALNUM, raw_text, slices, stored, table
+from auditspark.llm.common import ALNUM, raw_text, slices, stored, table, unused
 
 WINDOW = 13
 #: A document is contaminated when at least one word in COVERAGE is hit.
@@ -167,21 +168,21 @@ def is_contaminated(spans: list[int], n_words: int, coverage: int = COVERAGE) ->
     return n_hit > 0 and coverage * n_hit >= n_words
 
 
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """One automaton for each block of items; a block is what the driver holds at a time."""
+def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[SuffixAutomaton, bool]]:
+    """One automaton for each block of items, and whether it is the last; a block is what the driver holds at a time."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), raw_text())
     size = rows.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // (6 * block_words)))
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield SuffixAutomaton([(r[0], words_of(bytes(r[1]))) for r in part.collect()], window)
+        yield SuffixAutomaton([(r[0], words_of(bytes(r[1]))) for r in part.collect()], window), k == blocks - 1
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Of each document: n_words, the hit word ranges (start, end, ...) and the ids of items that occur in it."""
     spark = docs.sparkSession
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text(), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k, automaton in enumerate(automata(items, window, block_words)):
+    for k, (automaton, _) in enumerate(automata(items, window, block_words)):
         sent = spark.sparkContext.broadcast(automaton)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -210,28 +211,39 @@ def cut(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs``, all columns, without contaminated documents; other documents lose only the words of their hit spans.
 
-    One block of items needs no shuffle; with more, the passes run one after another over stored documents."""
+    One block of items needs no shuffle; with more, the passes run one after another over stored documents, which keep
+    their text and the spans found so far; the last pass judges and cuts by the spans of all blocks."""
     spark, schema = docs.sparkSession, docs.schema
-    for k, automaton in enumerate(automata(items, window)):
+    known = unused(docs, "_spans")
+    for k, (automaton, last) in enumerate(automata(items, window, block_words)):
         sent = spark.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=not k, last=last) -> Iterator[pa.RecordBatch]:
             automaton = sent.value
             for batch in slices(batches):
-                at, keep, texts = batch.schema.get_field_index("text"), [], []
-                for text in batch.column(at).cast(pa.binary()).to_pylist():
+                at, found, keep, texts = batch.schema.get_field_index("text"), [], [], []
+                before = repeat([]) if first else batch.column(batch.num_columns - 1).to_pylist()
+                for text, old in zip(batch.column(at).cast(pa.binary()).to_pylist(), before):
                     words = words_of(text or b"")
-                    spans, _ = automaton.hits(words)
-                    keep.append(not is_contaminated(spans, len(words), coverage))
-                    texts.append(cut(text, spans) if spans else text)
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        docs = (stored(docs) if k else docs).mapInArrow(run, schema)
+                    new, _ = automaton.hits(words)
+                    spans = merged(old + new) if old else new
+                    if last:
+                        keep.append(not is_contaminated(spans, len(words), coverage))
+                        texts.append(cut(text, spans) if spans else text)
+                    else:
+                        found.append(spans)
+                columns = batch.columns if first else batch.columns[:-1]
+                names = batch.schema.names[: len(columns)]
+                if last:
+                    columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, known])
+
+        docs = (stored(docs) if k else docs).mapInArrow(run, schema if last else StructType([*schema, StructField(known, ArrayType(LongType()))]))
     return docs
 
 

@@ -186,6 +186,34 @@ def test_decontaminate(spark, odd, block_words):
     assert sorted((str(r["doc_id"]), sum(r["spans"][1::2]) - sum(r["spans"][::2]), len(r["items"])) for r in found) == sorted((str(i), *contamination(t, items)[1:3]) for i, t in texts())
 
 
+def test_decontaminate_over_blocks(spark):
+    """Judged and cut by the spans of all blocks of items, on the text as given."""
+    rng = random.Random(9)
+    item = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    items = [(k, item(f"q{k}x", 15)) for k in range(8)] + [(20, item("q0x", 15)[20:] + " " + item("z", 9)), (21, "left right")]
+    fill = lambda n: " ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(n))
+    rows = [(1, " ".join([fill(200), items[0][1], fill(250), items[1][1], fill(20)])), (2, " ".join([fill(400), items[2][1], fill(400)])), (3, fill(300) + " left " + items[3][1] + " right " + fill(300))]
+    rows += [(4, fill(900) + " " + item("q0x", 15) + " " + item("z", 9)), (5, None), (6, " ".join([fill(280), items[4][1], items[5][1], fill(280)])), (7, fill(30))]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _spans int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    owned = [(k, words(t)) for k, t in items]
+    expected = {}
+    for i, t in rows:
+        if not contamination(t, owned)[4]:
+            w, hit = words(t), set()
+            for _, own in owned:
+                k = min(13, len(own))
+                windows = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
+                for j in range(len(w) - k + 1):
+                    hit |= set(range(j, j + k)) if tuple(w[j : j + k]) in windows else set()
+            expected[i] = [x for j, x in enumerate(w) if j not in hit]
+    assert set(expected) == {2, 3, 4, 5, 7}
+    for block_words in (decontaminate.BLOCK_WORDS, 16):
+        out = decontaminate.decontaminate(docs, bench, block_words=block_words)
+        assert out.schema == docs.schema
+        assert {r["doc_id"]: words(r["text"]) for r in out.collect()} == expected
+
+
 def test_automaton_as_windows():
     rng = random.Random(4)
     for _ in range(300):
