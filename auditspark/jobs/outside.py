@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.operators import external, patches, rules
+from auditspark.operators import complexity, external, patches, rules
 from auditspark.jobs.changes import patch_table
 from auditspark.jobs.code_audit import numbered
 from auditspark.sources.adapters import files, findings, sql, table
@@ -45,7 +45,7 @@ def layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def commit_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Rules on the added lines of patches; a patch's line is a line of the derived source."""
+    """The unsafe_eval rules on the added lines of patches (``commit_findings`` has all); a patch's line is a line of the derived source."""
     lines = numbered(spark, d).select(F.col("repo").alias("patch_id"), "file_id", "line_no", "line")
     patch = F.concat(F.lit("@@ -1,1 +1,1 @@\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(F.lit("+"), x["line"])), "\n"))
     made = lines.groupBy(F.col("file_id").alias("patch_id")).agg(patch.alias("patch"))
@@ -54,11 +54,34 @@ def commit_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.pattern_findings(own, [r for r in rules.RULES if r.name == "unsafe_eval"]).drop("path")
 
 
+def added_text(spark: SparkSession, d: str) -> DataFrame:
+    """The added lines of patches as texts with their files' paths; a patch's line is a line of the derived source."""
+    lines = numbered(spark, d).select("repo", "file_id", "path", "line_no", "line")
+    patch = F.concat(F.lit("@@ -1,1 +1,1 @@\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(F.lit("+"), x["line"])), "\n"))
+    made = lines.groupBy(F.col("file_id").alias("patch_id")).agg(patch.alias("patch"))
+    added = patches.added_lines(made).groupBy(F.col("patch_id").alias("file_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return added.join(lines.select("repo", "file_id", "path").distinct(), "file_id").select("repo", "file_id", "path", "content")
+
+
+def commit_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Security rules and smells on the added lines of patches."""
+    return rules.added_findings(added_text(spark, d))
+
+
+def commit_impact(spark: SparkSession, d: str) -> DataFrame:
+    return rules.impact(commit_findings(spark, d))
+
+
+def commit_complexity(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of the added lines of Python files."""
+    return complexity.python_complexity(added_text(spark, d).where(F.col("path").endswith(".py")))
+
+
 def patch_sizes(spark: SparkSession, d: str) -> DataFrame:
     return patches.added_lines(patch_table(spark, d)).groupBy("patch_id").agg(F.count(F.lit(1)).alias("added"), F.min("number").alias("first"), F.max("number").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (security_confidence, smell_confidence, findings_from_answers, batch_packing, layers, commit_rules, patch_sizes)}
+QUERIES = {f.__name__: f for f in (security_confidence, smell_confidence, findings_from_answers, batch_packing, layers, commit_rules, commit_findings, commit_impact, commit_complexity, patch_sizes)}
 _GRADE = "greatest(0.0, CASE severity WHEN 'Critical' THEN {0} WHEN 'High' THEN {1} WHEN 'Medium' THEN {2} WHEN 'Low' THEN {3} ELSE 0.30 END"
 ORACLE = {
     "security_confidence": sql(" SELECT analysis_id, ord, round(CASE WHEN line % 6 = 0 THEN 0.0 ELSE " + _GRADE.format("0.95", "0.85", "0.75", "0.60") + " - CASE WHEN line % 3 = 0 THEN 0 ELSE 0.15 END - CASE WHEN line % 5 = 0 THEN 0.10 ELSE 0 END) END, 2)::DOUBLE AS confidence FROM findings"),

@@ -8,11 +8,13 @@ stands near, have functions of their own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions import text
+from auditspark.operators import clones
 
 
 @dataclass(frozen=True)
@@ -231,3 +233,47 @@ def god_components(edges: DataFrame, least: int = 30, share: float = 0.6) -> Dat
     into = edges.where("internal").groupBy("repo", "dst").agg(F.sum("n").alias("n"))
     total = into.groupBy("repo").agg(F.sum("n").alias("total"), F.max(F.struct("n", "dst")).alias("top"))
     return total.where((F.col("total") >= least) & (F.col("top.n") / F.col("total") > share)).select("repo", F.col("top.dst").alias("component"), F.col("top.n").alias("n"), "total")
+
+
+def deep_nesting(lines: DataFrame, most: int = 4) -> DataFrame:
+    """The first deepest line of each file with code more than ``most`` levels deep."""
+    line, indent = F.col("line"), text.indent_of(F.col("line"))
+    depth = F.when(indent >= 4, F.floor(indent / 4)).when(F.substring(line, F.lit(1), indent).contains("\t"), indent).otherwise(0).cast("int")
+    stripped = text.strip(line)
+    code = lines.where((stripped != "") & ~text.is_comment(stripped, ("#", "//", "--", "/*")))
+    top = code.groupBy(*KEYS).agg(F.max(F.struct(depth.alias("depth"), (-F.col("line_no")).alias("back"))).alias("top"))
+    return top.where(F.col("top.depth") > most).select(*KEYS, "top.depth", (-F.col("top.back")).alias("line_no"))
+
+
+def added_findings(files: DataFrame) -> DataFrame:
+    """repo, file_id, path, kind, line, name, severity, issue of added texts: all rules that exist here on one text each.
+
+    ``files`` has (repo, file_id, path, content), the content being what a patch adds; lines are lines of it."""
+    columns = [*KEYS, "kind", "line", "name", "severity", "issue"]
+    lines = files.select(*KEYS, F.posexplode(text.split_lines(F.col("content"))).alias("at", "line")).withColumn("line_no", F.col("at") + 1)
+
+    def shaped(rows: DataFrame, kind: str, line: str, name: Column, severity: Column, issue: Column) -> DataFrame:
+        return rows.select(*KEYS, F.lit(kind).alias("kind"), F.col(line).cast("int").alias("line"), name.alias("name"), severity.alias("severity"), issue.alias("issue")).select(*columns)
+
+    lit = F.lit
+    blocks = clones.repeated_blocks(files).join(files.select(*KEYS), ["repo", "file_id"])
+    parts = [
+        shaped(pattern_findings(files, [*RULES, *LOOKING]), "security", "line", F.col("name"), F.col("severity"), F.col("issue")),
+        shaped(hardcoded_secrets(files), "security", "line", lit("hardcoded_secrets"), F.col("severity"), F.col("issue")),
+        shaped(sql_injection(lines), "security", "line_no", lit("sql_injection"), lit("Critical"), lit("SQL Injection — String Concatenation in Query")),
+        shaped(missing_authorization(files), "security", "line", lit("missing_authorization"), lit("High"), lit("Missing Authorization Guard on API Endpoint")),
+        shaped(magic_numbers(lines), "code_smell", "line_no", lit("magic_number"), lit("Medium"), F.concat(lit("Magic Number: "), "number")),
+        shaped(unused_imports(files), "code_smell", "line_no", lit("unused_import"), lit("Low"), F.concat(lit("Unused Import: '"), "name", lit("'"))),
+        shaped(long_parameter_lists(files), "code_smell", "line", lit("long_parameter_list"), lit("Medium"), F.concat(lit("Long Parameter List: "), "name", lit("("), F.col("params").cast("string"), lit(" params)"))),
+        shaped(blocks, "code_smell", "line_no", lit("duplicate_code"), lit("Medium"), F.concat(lit("Duplicate Code Block ("), F.col("n").cast("string"), lit(" occurrences)"))),
+        shaped(deep_nesting(lines), "code_smell", "line_no", lit("deep_nesting"), lit("Medium"), F.concat(lit("Deep Nesting: "), F.col("depth").cast("string"), lit(" levels deep (threshold: 4)"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def impact(findings: DataFrame) -> DataFrame:
+    """repo, file_id, path, security_impact: the sentence by the worst severity; texts without security findings have no row."""
+    counts = findings.where(F.col("kind") == "security").groupBy(*KEYS).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("Critical", "High", "Medium")], F.count(F.lit(1)).alias("n"))
+    said = lambda n, word: F.concat(F.col(n).cast("string"), F.lit(f" {word} security pattern(s) detected in the added code."))
+    sentence = F.when(F.col("Critical") > 0, said("Critical", "critical")).when(F.col("High") > 0, said("High", "high-severity")).when(F.col("Medium") > 0, said("Medium", "medium-severity")).otherwise(said("n", "low-severity"))
+    return counts.select(*KEYS, sentence.alias("security_impact"))

@@ -166,3 +166,13 @@ def test_rate_limit_batch_and_stream_as_a_plain_model(spark, tmp_path):
         query = made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination(120)
         assert {r["event_id"]: r[column] for r in spark.table(name).collect()} == expected
+
+
+def test_added_text_meets_all_rules(spark):
+    code = "import json\nos.system(cmd)\npickle.loads(x)\nel.innerHTML = y\n@csrf_exempt\npassword = 'hunter2hunter2'\ndef f(a, b, c, d, e, g):\n    x = 37\n" + " " * 20 + "deep()\ncursor.execute('a' + b)\n@app.get('/x')\n"
+    rows = spark.createDataFrame([(1, 1, "p.py", code), (1, 2, "q.py", "plain()\n")], "repo long, file_id long, path string, content string")
+    found = rules.added_findings(rows).collect()
+    assert {r["file_id"] for r in found} == {1}
+    assert {"command_injection", "unsafe_deserialization", "xss", "csrf", "hardcoded_secrets", "sql_injection", "missing_authorization", "magic_number", "unused_import", "long_parameter_list", "deep_nesting"} <= {r["name"] for r in found}
+    critical = sum(r["severity"] == "Critical" for r in found)
+    assert [r["security_impact"] for r in rules.impact(rules.added_findings(rows)).collect()] == [f"{critical} critical security pattern(s) detected in the added code."]
