@@ -102,8 +102,20 @@ def unplanes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared warehouse, bucketed by ``key``: later groupings by it move the other side only."""
+#: Bytes of text of a bucket, about; buckets of a table at most (Spark's own limit).
+BUCKET_BYTES, MOST_BUCKETS = 1 << 26, 100_000
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+
+def bucketed(df: DataFrame, key: str, size: int, spread: bool = False) -> DataFrame:
+    """``df``, ``size`` bytes of it, as a table in the shared warehouse, bucketed by ``key``: later groupings and joins by
+    it move the other side only. With ``spread`` the rows are first moved to their buckets, for one file a bucket."""
     spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    buckets = min(MOST_BUCKETS, max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+    rows = df.repartition(buckets, key) if spread else df
+    rows.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)

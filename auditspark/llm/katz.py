@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import bucketed, crc32_of, mix64, planes, raw_text, slices, stored, table, unplanes
+from auditspark.llm.common import bucketed, crc32_of, mix64, planes, raw_text, slices, stored, table, text_bytes, unplanes
 from auditspark.llm.shingles import word_hashes
 
 FOLDS, HELD = 7, 2
@@ -312,7 +312,7 @@ def summed(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
-    blocks = bucketed(make_blocks(docs, block_tokens), "block")
+    blocks = bucketed(make_blocks(docs, block_tokens), "block", text_bytes(docs))
     sizes = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
     word_parts, parts = 1 + sizes[0] // part_keys, 1 + sizes[1] // 4 // part_keys
     words = stored(send_words(blocks, word_parts).groupBy("part").applyInArrow(sum_words, BACK))

@@ -174,13 +174,16 @@ def whole_copies(taken: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs``, all columns, each as often as the mix takes it, in whole documents."""
+    """``docs``, all columns, each as often as the mix takes it, in whole documents.
+
+    The one join of texts. It is a sort-merge join at every size, since copies grow with the documents; hot keys are split
+    by adaptive execution."""
     names = {c: unused(docs, f"_{c}") for c in ("doc_id", "source", "size", "copies")}
     own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": size_of()}
     copies = stored(whole_copies(mix(docs, seed), seed)).withColumnsRenamed(names)
     same = reduce(Column.__and__, (value.eqNullSafe(F.col(names[c])) for c, value in own.items()))
     copy = unused(docs, "_copy")
-    return docs.join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(copies.hint("merge"), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ pseudo-random sequence until one is filled. (2) Equal sets are one class, repres
 classes go on. (3) In each bucket of two or more classes the class that shares most buckets is the centre; edges go from
 the centre to the others, so a bucket makes as many edges as it has members. (4) Edges are confirmed on the full sets
 of both texts, and confirmed links give components. (5) Where a bucket still holds several components, its members
-outside the centre's component are held, on full sets, against the members of other components whose sets can be similar
-enough, given how many of their shingles any other such document has: any two linked classes that meet in a bucket are
-then in one component, though only links leave the comparison. Two sets with the least similarity, 0.75, miss each
+outside the centre's component are held against the members of other components whose sets can be similar enough, given
+how many of their shingles any other such document has; a pair of ids that meets in several buckets is held once, on
+full sets. Any two linked classes that meet in a bucket are then in one component. Two sets with the least similarity, 0.75, miss each
 other in all bands with a probability of about 5e-6.
 
 Defined results: null or empty text and text without words has an empty set and is linked with nothing; rows that share
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import discard, mix64, raw_text, slices, stored, table, unused
+from auditspark.llm.common import bucketed, discard, mix64, raw_text, slices, stored, table, text_bytes, unused
 from auditspark.llm.shingles import overlap, shingle_sets
 
 BINS, BANDS = 128, 32
@@ -83,11 +83,19 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text()).mapInArrow(run, SIGNED)
 
 
+def with_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows that have an id, bucketed by it in a further column, which is named: texts move here once, and all later
+    joins with ids move ids only."""
+    key = unused(docs, "_id")
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
+    return bucketed(rows, key, text_bytes(docs), spread=True), key
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts go to a pair's second id first, as that is the rarer key."""
+    """The pairs (a, b) whose full sets are similar enough; ``docs`` (id, text) are bucketed by id. Texts of linked ids go to
+    a pair's second id first, as that is the rarer key."""
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(ids, "id", "left_semi")
-    texts = stored(texts)
+    texts = stored(docs.join(ids, "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +148,7 @@ def shared_sizes(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
             ends = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), raw_text()).join(stored(ids), "rep", "left_semi")
+    texts = docs.select(F.col("id").alias("rep"), raw_text()).join(stored(ids), "rep", "left_semi")
     sets = stored(texts.mapInArrow(run, "rep long, shingles array<long>"))
     one = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     alone = stored(one.where(F.col("rep") == F.col("last")).groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
@@ -171,34 +179,45 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     placed = stored(placed.join(common, "rep").where(least & (F.col("rep") != F.col("centre"))))
     outside = stored(placed.where(F.col("component") != F.col("main")))
     inside = placed.join(stored(outside.select("key").distinct()), "key", "left_semi")
-    rest = outside.join(sets, "rep").select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "common", "component", "shingles")])
-    others = inside.join(sets, "rep").select("key", "rep", "n", "common", "component", "main", "shingles")
+    rest = outside.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "common", "component")])
     once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep_b"))
     total = F.col("n") + F.col("n_b")
     reach = (100 + SIMILAR) * F.least("common", "common_b") >= SIMILAR * total
-    exact = (100 + SIMILAR) * F.size(F.array_intersect("shingles", "shingles_b")) >= SIMILAR * total
-    pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach & exact)
-    more = stored(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())
-    discard(sets, placed, outside, open_members, named, members, centres)
+    pairs = inside.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach)
+    pairs = stored(pairs.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"), total.alias("total")).distinct())
+    first, second = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    exact = (100 + SIMILAR) * F.size(F.array_intersect("set_a", "set_b")) >= SIMILAR * F.col("total")
+    more = stored(pairs.join(second, "b").join(first, "a").where(exact).select("a", "b"))
+    discard(sets, placed, outside, open_members, named, members, centres, pairs)
     return found if more.isEmpty() else components(links.union(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def duplicates(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """As ``near_duplicates``; ``texts`` (id, text) are the rows with an id, bucketed by it."""
     signed = stored(sign(docs))
     classes = stored(signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    found = link_classes(classes, docs)
+    found = link_classes(classes, texts)
     named = stored(classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
     joined = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    held, key = with_ids(docs.select("doc_id", "text"))
+    return duplicates(docs, held.select(F.col(key).alias("id"), "text"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one document of each group."""
-    name = unused(docs, "_gone")
-    gone = stored(near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """``docs``, all columns, with one document of each group. Rows without an id all stay; of rows that share an id, all
+    stay or none."""
+    held, key = with_ids(docs)
+    found = duplicates(docs, held.select(F.col(key).alias("id"), "text"))
+    gone = stored(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = held.join(gone, key, "left_anti").select(*columns)
+    return kept.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

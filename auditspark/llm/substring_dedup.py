@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import bucketed, mix64, planes, raw_text, slices, stored, table, unplanes
+from auditspark.llm.common import bucketed, mix64, planes, raw_text, slices, stored, table, text_bytes, unplanes
 
 LEAST = 50
 SEED = 20
@@ -257,8 +257,8 @@ def cut_block(block: Block, rows: list[dict], parts: int, full_parts: int) -> pa
 
 def substring_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, n_bytes, spans (start, end, ... of the removed bytes) and the kept bytes of every document."""
-    blocks = bucketed(make_blocks(docs, block_bytes), "block")
-    n_bytes = blocks.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    n_bytes = text_bytes(docs)
+    blocks = bucketed(make_blocks(docs, block_bytes), "block", n_bytes)
     parts = full_parts = int(1 + n_bytes // (16 * part_keys))
     by_block = blocks.groupBy("block")
 
