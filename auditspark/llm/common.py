@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts' word pattern ``[^\x20\x09-\x0D]+``; the same bytes that ``bytes.split()`` splits at.
@@ -102,6 +102,25 @@ def unplanes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: int, longest: int, allowed: Column | None = None) -> DataFrame:
+    """doc_id, text, good: a bounded sample of labelled texts. Of each class the first by a hash of the id, at most ``rows`` of
+    them and ``total`` bytes together, among all documents that have a label and a text of 1 to ``longest`` bytes.
+
+    Labels meet the documents' ids before anything is limited, so labels of other documents take no place. An id with
+    both labels counts as good; of texts that share an id the least is taken."""
+    usable = F.octet_length("text").between(1, longest)
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if allowed is None else allowed))
+    marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("good"))
+    sizes = docs.where(usable).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("size"))
+    known = marks.join(sizes, "doc_id").groupBy("doc_id", "good").agg(F.max("size").alias("size"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = [known.where(F.col("good") == k).orderBy(*order).limit(rows) for k in (0, 1)]
+    running = F.sum("size").over(Window.partitionBy("good").orderBy(*order))
+    chosen = F.broadcast(first[0].union(first[1]).withColumn("sum", running).where(F.col("sum") <= total).select("doc_id", "good"))
+    texts = docs.where(usable).select(F.col("doc_id").cast("long").alias("doc_id"), raw_text()).join(chosen, "doc_id")
+    return texts.groupBy("doc_id", "good").agg(F.min("text").alias("text")).select("doc_id", "text", "good")
+
+
 #: Bytes of text of a bucket, about; buckets of a table at most (Spark's own limit).
 BUCKET_BYTES, MOST_BUCKETS = 1 << 26, 100_000
 

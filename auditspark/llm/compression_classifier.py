@@ -4,8 +4,8 @@ Each text is cut into pieces of ``PIECE`` bytes; the whole text is compressed pi
 The feature is the difference of the two compressed sizes over their sum, as a margin for the class whose dictionary
 compresses better; a logistic map, fitted on labelled rows that the dictionaries were not built from, makes it a score.
 
-The fit sees at most ``SAMPLE_ROWS`` rows of each class of at most ``SAMPLE_BYTES`` bytes, chosen by a hash of the id
-among rows whose crc32(doc_id as text) mod 5 is not 0. What is sent to the tasks is two dictionaries of at most
+The fit sees at most ``SAMPLE_ROWS`` rows and ``SAMPLE_TOTAL`` bytes of each class, of texts of at most ``SAMPLE_BYTES``,
+chosen by a hash of the id among labelled documents whose crc32(doc_id as text) mod 5 is not 0. What is sent to the tasks is two dictionaries of at most
 ``DICTIONARY_BYTES`` and two numbers.
 
 Defined results: null and empty texts score the share of good rows in the sample; without labels of both classes
@@ -24,11 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import crc32_of, raw_text, slices, table
+from auditspark.llm.common import crc32_of, labelled, raw_text, slices, table
 from auditspark.llm.quality_rules import calibrate
 
 FOLDS = 5
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16_384
+#: Rows and bytes of a class that the fit sees at most, and the longest text that it may see.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_BYTES = 1500, 6 << 20, 1 << 17
 DICTIONARY_BYTES, PIECE, LEVEL = 112_640, 1024, 1
 PREDICT_AT = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -84,15 +85,10 @@ def fit(good: list[bytes], bad: list[bytes]) -> Classifier | None:
     return Classifier(model.good, model.bad, slope, shift, model.prior)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> tuple[list[bytes], list[bytes]]:
-    """Good and bad texts of the training folds, each class in the order of a hash of the id."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc32_of() % FOLDS != 0)).select("doc_id", F.col(label).alias("good"))
-    classes = [marks.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows) for k in (1, 0)]
-    wanted = F.broadcast(classes[0].union(classes[1]).groupBy("doc_id").agg(F.max("good").alias("good")))
-    texts = docs.select("doc_id", raw_text()).where((F.length("text") > 0) & (F.length("text") <= longest)).join(wanted, "doc_id")
-    ordered = texts.where(F.col("good") == 1).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).union(texts.where(F.col("good") == 0).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows))
-    found = ordered.select("text", "good").collect()
-    return [bytes(t) for t, g in found if g == 1], [bytes(t) for t, g in found if g == 0]
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, longest: int = SAMPLE_BYTES) -> tuple[list[bytes], list[bytes]]:
+    """Good and bad texts of the training folds, each class in the order of the ids."""
+    found = sorted(labelled(docs, labels, label, rows, total, longest, crc32_of() % FOLDS != 0).collect())
+    return [bytes(t) for _, t, good in found if good], [bytes(t) for _, t, good in found if not good]
 
 
 def classify(docs: DataFrame, model: Classifier | None, predict_at: float = PREDICT_AT) -> DataFrame:

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import LOWER, SPACE, mix64, raw_text, slices, table
+from auditspark.llm.common import LOWER, SPACE, labelled, mix64, raw_text, slices, table
 
 DIM = 1 << 17
-#: Labelled rows of each class that the model is fitted on at most, and the longest text taken into the sample.
-SAMPLE_ROWS, SAMPLE_BYTES = 600, 8192
+#: Labelled rows and bytes of each class that the model is fitted on at most, and the longest text taken into the sample.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_BYTES = 1500, 6 << 20, 1 << 17
+#: Steps of the fit; features that a step handles at a time.
+STEPS, CHUNK = 60, 1 << 21
 #: Documents whose calibrated probability of good quality is below this are rejected.
 KEEP_AT = 0.3
 SYMBOLS = b"#*$%&|<>"
@@ -95,38 +97,60 @@ def hashed_features(text: bytes) -> np.ndarray:
     return (np.concatenate(out) & np.uint64(DIM - 1)).astype(np.int64)
 
 
-def fit(texts: list[bytes], good: np.ndarray, seed: int = 7, steps: int = 150) -> Model | None:
-    """Fit on four fifths of the sample, calibrate on the rest. None without both classes."""
-    if len(texts) < 20 or good.min() == good.max():
+def vector_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a text, and the roots of their shares."""
+    slots = hashed_features(text)
+    if len(slots) < DIM // 16:
+        slot, count = np.unique(slots, return_counts=True)
+    else:
+        count = np.bincount(slots, minlength=DIM)
+        slot = np.flatnonzero(count)
+        count = count[slot]
+    return slot.astype(np.int32), np.sqrt(count / max(1, len(slots))).astype(np.float32)
+
+
+def fit(vectors: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, seed: int = 7, steps: int = STEPS) -> Model | None:
+    """Fit on four fifths of the sample, calibrate on the rest. None without both classes or with few texts."""
+    if len(vectors) < 20 or good.min() == good.max():
         return None
-    order = np.random.default_rng(seed).permutation(len(texts))
-    texts, good = [texts[i] for i in order], good[order].astype(np.float64)
-    columns, values, sizes = [], [], []
-    for t in texts:
-        slot, count = np.unique(hashed_features(t), return_counts=True)
-        columns.append(slot.astype(np.int32))
-        values.append(np.sqrt(count / max(1, count.sum())).astype(np.float32))
-        sizes.append(len(slot))
-    held = np.arange(len(texts)) % 5 == 0
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    column, value = np.concatenate(columns), np.concatenate(values)
-    fit_row = ~held[row]
-    r, c, v = row[fit_row], column[fit_row], value[fit_row]
-    share = max(1e-9, good[~held].mean())
-    cost = np.where(held, 0, np.where(good > 0, 0.5 / share, 0.5 / max(1e-9, 1 - share)))
+    order = np.random.default_rng(seed).permutation(len(vectors))
+    held = np.arange(len(vectors)) % 5 == 0
+    order = np.concatenate([order[~held], order[held]])
+    n, good = int((~held).sum()), good[order].astype(np.float64)
+    sizes = np.array([len(vectors[i][0]) for i in order])
+    slot, value = (np.concatenate([vectors[i][k] for i in order]) for k in (0, 1))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    some = np.searchsorted(ends, np.arange(0, ends[-1], CHUNK), side="right") - 1
+    cuts = np.unique(np.concatenate([some, [0, n, len(sizes)]])).tolist()
+
+    def margins(weights: np.ndarray, rows: slice) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        for a, b in zip(cuts, cuts[1:]):
+            if rows.start <= a and b <= rows.stop:
+                at = slice(ends[a], ends[b])
+                total = np.concatenate([[0.0], np.cumsum(value[at] * weights[slot[at]], dtype=np.float64)])
+                out[a:b] = total[ends[a + 1 : b + 1] - ends[a]] - total[ends[a:b] - ends[a]]
+        return out
+
+    share = max(1e-9, good[:n].mean())
+    cost = np.where(good[:n] > 0, 0.5 / share, 0.5 / max(1e-9, 1 - share))
     cost /= max(1e-9, cost.sum())
-    w, b = np.zeros(DIM), 0.0
+    w, b0 = np.zeros(DIM), 0.0
     m, mb, s, sb = np.zeros(DIM), 0.0, np.zeros(DIM), 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(r, v * w[c], len(texts)) + b
-        g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
-        gw, gb = np.bincount(c, v * g[r], DIM) + 1e-6 * w, g.sum()
+        z = margins(w.astype(np.float32), slice(0, n))[:n] + b0
+        g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[:n])
+        gw, gb = 1e-6 * w, g.sum()
+        for a, b in zip(cuts, cuts[1:]):
+            if b <= n:
+                at = slice(ends[a], ends[b])
+                gw += np.bincount(slot[at], value[at] * np.repeat(g[a:b], sizes[a:b]).astype(np.float32), DIM)
         m, mb, s, sb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.99 * s + 0.01 * gw * gw, 0.99 * sb + 0.01 * gb * gb
         scale = 0.3 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        w, b = w - scale * m / (np.sqrt(s) + 1e-8), b - scale * mb / (np.sqrt(sb) + 1e-8)
-    z = np.bincount(row, value * w[column], len(texts)) + b
-    slope, shift = calibrate(z[held], good[held])
-    return Model(w, b, slope, shift)
+        w, b0 = w - scale * m / (np.sqrt(s) + 1e-8), b0 - scale * mb / (np.sqrt(sb) + 1e-8)
+    z = margins(w.astype(np.float32), slice(n, len(sizes))) + b0
+    slope, shift = calibrate(z[n:], good[n:])
+    return Model(w, b0, slope, shift)
 
 
 def calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -145,29 +169,31 @@ def calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def margin_of(text: bytes, model: Model) -> float:
-    slots = hashed_features(text)
-    if not len(slots):
-        return model.bias
-    if len(slots) < DIM // 16:
-        slot, count = np.unique(slots, return_counts=True)
-        return float((np.sqrt(count / len(slots)) * model.weights[slot]).sum() + model.bias)
-    count = np.bincount(slots, minlength=DIM)
-    return float(np.sqrt(count / len(slots)) @ model.weights + model.bias)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> list:
-    """At most ``rows`` labelled texts of each class, the first by a hash of their id."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("good"))
-    classes = [marks.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows) for k in (0, 1)]
-    wanted = F.broadcast(classes[0].union(classes[1]).groupBy("doc_id").agg(F.max("good").alias("good")))
-    texts = docs.select("doc_id", raw_text()).where((F.length("text") <= longest) & (F.length("text") > 0)).join(wanted, "doc_id")
-    one = [texts.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows) for k in (0, 1)]
-    return one[0].union(one[1]).select("text", "good").collect()
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = labelled_sample(docs, labels)
-    return fit([bytes(r[0]) for r in rows], np.array([r[1] for r in rows])) if rows else None
+    slot, value = vector_of(text)
+    return float(value @ model.weights[slot] + model.bias)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, longest: int = SAMPLE_BYTES) -> Model | None:
+    """Tasks hash the sample's texts to vectors; one task, whose input the sample's bound limits, fits the model; the
+    driver gets its weights only."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            made = [vector_of(t) for t in batch.column(1).to_pylist()]
+            blobs = (pa.array((v[k].tobytes() for v in made), pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(made), np.int32)), batch.column(0), batch.column(2), *blobs], names=["fit", "doc_id", "good", "slots", "roots"])
+
+    def fitted(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["doc_id"].to_numpy())
+        slots, roots = group["slots"].to_pylist(), group["roots"].to_pylist()
+        model = fit([(np.frombuffer(slots[i], np.int32), np.frombuffer(roots[i], np.float32)) for i in order], group["good"].to_numpy()[order])
+        rows = [(model.weights.tobytes(), model.bias, model.slope, model.shift)] if model else []
+        kinds = (pa.binary(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["weights", "bias", "slope", "shift"])
+
+    vectors = labelled(docs, labels, "quality", rows, total, longest).mapInArrow(hashed, "fit int, doc_id long, good int, slots binary, roots binary")
+    found = vectors.groupBy("fit").applyInArrow(fitted, "weights binary, bias double, slope double, shift double").collect()
+    return Model(np.frombuffer(found[0]["weights"], np.float64), *found[0][1:]) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
