@@ -56,9 +56,9 @@ class Notice:
 
 
 @cache
-def compiled() -> list[tuple[Notice, list[tuple[bytes, int]], object]]:
-    notices = [Notice(label, text.encode(), edits) for label, text, edits in NOTICES]
-    return [(x, x.seeds(), regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(x.text, literal_spaces=True), x.edits))) for x in notices]
+def compiled(notices: tuple[tuple[str, str, int], ...]) -> list[tuple[Notice, list[tuple[bytes, int]], object]]:
+    made = [Notice(label, text.encode(), edits) for label, text, edits in notices]
+    return [(x, x.seeds(), regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(x.text, literal_spaces=True), x.edits))) for x in made]
 
 
 def places(text: bytes, piece: bytes) -> Iterator[int]:
@@ -68,19 +68,28 @@ def places(text: bytes, piece: bytes) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
-def fuzzy(text: bytes) -> list[tuple[str, int, int, int]]:
-    """Label, start, end (bytes of ``text``) and edits of the verified matches."""
+def fuzzy(text: bytes, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[str, int, int, int, int]]:
+    """Label, start, end (bytes of ``text``), edits and the notice's length of the verified matches, which are runs of whole
+    words. Of matches of one notice that overlap, the one with the fewest edits stands, then the first, then the longest.
+
+    A seed's place gives the few bytes at which a match around it can begin; each word there, with each word's end at
+    a possible distance, is a span that the regex library matches whole with bounded errors."""
     out = []
-    for notice, seeds, pattern in compiled():
-        windows: list[list[int]] = []
-        reach = len(notice.text) + notice.edits
-        for lo, hi in sorted((max(0, at - offset - notice.edits), at - offset + reach) for piece, offset in seeds for at in places(text, piece)):
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], hi)
-            else:
-                windows.append([lo, hi])
-        for lo, hi in windows:
-            out += [(notice.label, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(text, lo, min(len(text), hi))]
+    for notice, seeds, pattern in compiled(notices):
+        k, n = notice.edits, len(notice.text)
+        begins = {s for piece, offset in seeds for at in places(text, piece) for s in range(max(0, at - offset - k), at - offset + k + 1)}
+        matches = []
+        for a in sorted(begins):
+            if a >= len(text) or text[a] == 32 or (a and text[a - 1] != 32):
+                continue
+            for b in range(max(a + 1, a + n - k), min(len(text), a + n + k) + 1):
+                if (b == len(text) or text[b] == 32) and text[b - 1] != 32 and (m := pattern.fullmatch(text, a, b)):
+                    matches.append((sum(m.fuzzy_counts), a, -b))
+        taken: list[tuple[int, int]] = []
+        for edits, a, b in sorted(matches):
+            if all(-b <= x or a >= y for x, y in taken):
+                taken.append((a, -b))
+                out.append((notice.label, a, -b, edits, n))
     return out
 
 
@@ -90,24 +99,26 @@ def base_places(text: bytes) -> list[tuple[int, str]]:
     return sorted((padded.count(b" ", 0, at), label) for phrase, label in BASE for at in places(padded, b" " + phrase.encode() + b" "))
 
 
-def scan_text(text: bytes) -> tuple:
+def scan_text(text: bytes, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> tuple:
     words = text.translate(ALNUM).split()
     joined = b" ".join(words)
     base = base_places(joined)
-    found = fuzzy(joined)
+    found = fuzzy(joined, notices)
     base_labels = {label for _, label in base}
-    sizes = {(label, n.encode()): len(n) for label, n, _ in NOTICES}
-    longest = {label: max(v for (l, _), v in sizes.items() if l == label) for label, _ in sizes}
-    score = 1.0 if base else max((1 - edits / max(1, min(longest[label], end - start)) for label, start, end, edits in found), default=0.0)
-    spans = [{"label": label, "start": joined.count(b" ", 0, a), "end": joined.count(b" ", 0, b) + 1, "edits": edits} for label, a, b, edits in found]
-    return len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {x[0] for x in found})), max(0.0, min(1.0, score)), spans
+    score = 1.0 if base else max((1 - edits / n for _, _, _, edits, n in found), default=0.0)
+    spans = [{"label": label, "start": joined.count(b" ", 0, a), "end": joined.count(b" ", 0, b) + 1, "edits": edits} for label, a, b, edits, _ in found]
+    labels = sorted(base_labels | {x[0] for x in found})
+    return len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(base_labels)), ",".join(labels), score, spans
+
 
+def scan(docs: DataFrame, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> DataFrame:
+    """Counts, labels, score and the spans of verified matches (in words) of every document; ``notices`` are (label, words
+    joined by single spaces, edits)."""
 
-def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))]
         for batch in slices(batches):
-            rows = [scan_text(t) for t in batch.column(1).to_pylist()]
+            rows = [scan_text(t, notices) for t in batch.column(1).to_pylist()]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
@@ -115,7 +126,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("spans")
+    return scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_license_scan": op5_license_scan}
