@@ -1,7 +1,7 @@
 """Token ids in binary shards: frequency-ranked ids, byte-aligned variable-length coding, separate control bytes.
 
-Three passes. (1) Tasks encode texts with a public tokenizer, end id appended, and store the ids. (2) Ids are counted in
-Arrow batches and summed; an id's rank by count is its code, so frequent ids take one byte. The table of ranks has one
+Three passes. (1) Tasks encode texts with a public tokenizer, end id appended, store the ids and count them. (2) The counts
+are summed; an id's rank by count is its code, so frequent ids take one byte. The table of ranks has one
 row for each id of the vocabulary. (3) The stored ids are sorted by doc_id into shards and coded block by block.
 
 File format: Parquet shards in ascending doc_id order, one row for each block of documents: ``shard``, ``block``,
@@ -25,7 +25,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import discard, shared_folder, slices, stored, table
@@ -36,7 +36,7 @@ END = 0
 BLOCK_IDS = 1 << 18
 CACHE = 2_500_000
 
-ENCODED = "doc_id long, n long, crc long, ids binary"
+ENCODED = "doc_id long, n long, crc long, ids binary, counts binary"
 SHARD = "shard int, block long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
@@ -174,14 +174,21 @@ def encoder(name: str) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
+    """A row for each document; and one for each task with ``counts``, how often it made each id, and nothing else."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer)
+        tool, total = encoder(tokenizer), np.zeros(0, np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for batch in slices(batches, 256):
             found = [np.append(x, np.uint32(end)) for x in tool.encode([t or "" for t in batch.column(1).to_pylist()])]
+            count = np.bincount(np.concatenate(found), minlength=len(total))
+            count[: len(total)] += total
+            total = count
             blobs = [x.astype("<u4").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(zlib.crc32, blobs), pa.int64()), pa.array((packed(x) for x in found), pa.binary())], names=["doc_id", "n", "crc", "ids"]
-            )
+            columns = (batch.column(0).to_pylist(), map(len, found), map(zlib.crc32, blobs), map(packed, found), repeat(None, len(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "crc", "ids", "counts"])
+        last = (None, None, None, None, total.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(last, kinds)], names=["doc_id", "n", "crc", "ids", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
@@ -201,15 +208,15 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in slices(batches):
+        for batch in batches:
             for blob in batch.column(0).to_pylist():
-                count = np.bincount(unpacked(blob), minlength=len(total))
-                count[: len(total)] += total
-                total = count
+                count = np.frombuffer(blob, "<i8")
+                total = np.concatenate([total, np.zeros(max(0, len(count) - len(total)), np.int64)])
+                total[: len(count)] += count
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def encode_block(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -272,7 +279,8 @@ def write_shards(encoded: DataFrame, ranks: list[int], path: str, block_ids: int
         if parts:
             yield flush()
 
-    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "n")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("n")]  # rows without an id are dealt over shards by the rest
+    ordered = encoded.where(F.col("counts").isNull()).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("doc_id", "ids").mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
     spark.createDataFrame([(i, r) for r, i in enumerate(ranks)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
 
@@ -300,8 +308,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(view[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["before"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    in_shard = shards.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", sizes.alias("n")))).alias("blocks"))
-    inner = in_shard.select("shard", F.posexplode("blocks").alias("place", "b"), "blocks").select("shard", F.col("b.block").alias("block"), F.aggregate(F.slice("blocks", 1, F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("inner"))
+    earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = shards.select("shard", "block", sizes.alias("n")).withColumn("inner", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     offsets = spark.createDataFrame(list(before.items()), "shard int, outer long")
     placed = inner.join(F.broadcast(offsets), "shard").select("shard", "block", (F.col("inner") + F.col("outer")).alias("before"))
     return shards.join(placed, ["shard", "block"]).select("doc_ids", "lengths", "control", "data", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
