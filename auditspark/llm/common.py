@@ -122,7 +122,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: i
 
 
 #: Bytes of text of a bucket, about; buckets of a table at most (Spark's own limit).
-BUCKET_BYTES, MOST_BUCKETS = 1 << 26, 100_000
+BUCKET_BYTES, MOST_BUCKETS = 1 << 24, 100_000
 
 
 def text_bytes(docs: DataFrame) -> int:
