@@ -1,12 +1,15 @@
-"""Cyclomatic complexity of Python functions. A parser is needed, so files go through Arrow batches to ``ast``."""
+"""Cyclomatic complexity of functions. A parser is needed, so files go through Arrow batches: Python to ``ast``, JavaScript
+and TypeScript to patterns and a count of braces. Patterns are fixed values."""
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "repo long, file_id long, name string, line_start int, line_end int, complexity int, nesting int"
@@ -55,15 +58,91 @@ def functions_of(source: str) -> list[tuple]:
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
-def python_complexity(files: DataFrame) -> DataFrame:
+#: Strings and comments, which count for nothing; functions; branches.
+NOISE = re.compile(r"`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|/\*.*?\*/|//[^\n]*", re.DOTALL)
+SCRIPT_FUNCTIONS = [
+    re.compile(r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\("),
+    re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"),
+    re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?function\b"),
+    re.compile(r"^\s+(?:async\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*\{", re.MULTILINE),
+]
+SCRIPT_BRANCH = re.compile(r"\b(if|for|while|case|catch)\b|\?\?|\|\||&&|\?.*:|\bdefault:")
+NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function"}
+
+
+def script_functions_of(source: str) -> list[tuple]:
+    """As ``functions_of``, for JavaScript and TypeScript. A function's body is the next block in braces; one without any
+    brace after it is a single line."""
+    text = NOISE.sub(lambda m: "" if m[0][0] == "/" else m[0][0] * 2, source)
+    braces = [(m.start(), 1 if m[0] == "{" else -1) for m in re.finditer(r"[{}]", text)]
+    depth = list(accumulate(step for _, step in braces))
+    found = {(m.start(1), m[1]): m for pattern in reversed(SCRIPT_FUNCTIONS) for m in pattern.finditer(text)}
+    out = []
+    for (_, name), m in sorted(found.items()):
+        if name in NOT_NAMES:
+            continue
+        first = text.count("\n", 0, m.start()) + 1
+        k = next((i for i, (at, step) in enumerate(braces) if step > 0 and at >= m.end() - 1), None)
+        if k is None:
+            out.append((name, first, first, 1, 0))
+            continue
+        begin, outside = braces[k][0], depth[k] - 1
+        close = next((i for i in range(k, len(braces)) if depth[i] == outside), None)
+        end = begin if close is None else braces[close][0]
+        body = text[begin:end]
+        inside, deepest = 0, 0
+        for _, step in braces[k : close if close is not None else k]:
+            inside = max(0, inside + step)
+            deepest = max(deepest, inside)
+        out.append((name, first, text.count("\n", 0, end) + 1, 1 + sum(1 for _ in SCRIPT_BRANCH.finditer(body)), deepest))
+    return out
+
+
+def _measured(files: DataFrame, functions: dict[str, object]) -> DataFrame:
+    """``functions``: what finds the functions of a file, by extension."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r["repo"], r["file_id"], *f) for r in batch.to_pylist() for f in functions_of(r["content"] or "")]
+            rows = [(r["repo"], r["file_id"], *f) for r in batch.to_pylist() if (find := functions.get(r["extension"])) for f in find(r["content"] or "")]
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
             names = ["repo", "file_id", "name", "line_start", "line_end", "complexity", "nesting"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
 
-    return files.select(F.col("repo").cast("long"), F.col("file_id").cast("long"), "content").mapInArrow(run, SCHEMA)
+    return files.select(F.col("repo").cast("long"), F.col("file_id").cast("long"), "content", "extension").mapInArrow(run, SCHEMA)
+
+
+def python_complexity(files: DataFrame) -> DataFrame:
+    return _measured(files.withColumn("extension", F.lit("py")), {"py": functions_of})
+
+
+def file_complexity(files: DataFrame) -> DataFrame:
+    """Functions of Python, JavaScript and TypeScript files, chosen by the extension of ``path``."""
+    own = files.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)))
+    kinds = {"py": functions_of, **dict.fromkeys(("js", "jsx", "mjs", "cjs", "ts", "tsx"), script_functions_of)}
+    return _measured(own.where(F.col("extension").isin(*kinds)), kinds).join(own.select("repo", "file_id", "path"), ["repo", "file_id"])
+
+
+def language_of(path: Column) -> Column:
+    ext = F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1))
+    return F.when(ext == "py", "Python").when(ext.isin("ts", "tsx"), "TypeScript").otherwise("JavaScript")
+
+
+def reported(functions: DataFrame, least: int = 8, most: int = 80) -> DataFrame:
+    """The most complex functions of each repository, ``most`` of those of at least ``least``, with severity and place."""
+    length = F.col("line_end") - F.col("line_start") + 1
+    rows = functions.where(F.col("complexity") >= least).withColumn("length_lines", length).withColumn("severity", severity(F.col("complexity"), length))
+    order = Window.partitionBy("repo").orderBy(F.desc("complexity"), F.desc("length_lines"), "path", "line_start", "name")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).withColumn("language", language_of(F.col("path")))
+
+
+def report_summary(functions: DataFrame, least: int = 8, most: int = 80) -> DataFrame:
+    """Of each repository: functions measured and their mean complexity, and counts of the reported ones."""
+    every = functions.groupBy("repo").agg(F.count(F.lit(1)).alias("functions"), F.round(F.avg("complexity"), 2).alias("average_complexity"), F.count_if(F.col("complexity") >= least).alias("over"))
+    shown = reported(functions, least, most).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("reported"), F.count_if(F.col("severity") == "High").alias("high"), F.count_if(F.col("severity") == "Medium").alias("medium"), F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages")
+    )
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("reported", "high", "medium")]
+    return every.join(shown, "repo", "left").select("repo", "functions", "average_complexity", *zero, F.coalesce("languages", F.lit("")).alias("languages"), (F.col("over") > most).alias("capped"))
 
 
 def severity(complexity: Column, length: Column) -> Column:

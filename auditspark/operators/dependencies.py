@@ -44,9 +44,9 @@ def classify(packages: DataFrame, advisories: DataFrame, latest: DataFrame) -> D
     return joined.select("id", *keys, "resolved", status.alias("status"), F.coalesce("a.advisory_severity", F.lit("")).alias("severity"), F.coalesce("a.advisory", F.lit("")).alias("advisory"))
 
 
-def keep_first(packages: DataFrame) -> DataFrame:
-    """Of equal packages (ecosystem, lower-case name, version) the first in order of ``ord``."""
-    place = F.row_number().over(Window.partitionBy("ecosystem", F.lower("name"), F.coalesce("resolved", "spec", F.lit(""))).orderBy("ord"))
+def keep_first(packages: DataFrame, *scope: str) -> DataFrame:
+    """Of equal packages (ecosystem, lower-case name, version) within ``scope`` the first in order of ``ord``."""
+    place = F.row_number().over(Window.partitionBy(*scope, "ecosystem", F.lower("name"), F.coalesce("resolved", "spec", F.lit(""))).orderBy("ord"))
     return packages.withColumn("place", place).where(F.col("place") == 1).drop("place")
 
 

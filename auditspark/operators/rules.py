@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions import text
-from auditspark.operators import clones
+from auditspark.operators import clones, inventory
 
 
 @dataclass(frozen=True)
@@ -195,33 +195,102 @@ def todo_markers(lines: DataFrame) -> DataFrame:
     return lines.where(line.rlike(pattern)).select(*KEYS, "line_no", F.regexp_extract(line, pattern, 1).alias("marker"), text.strip(F.regexp_extract(line, pattern, 2)).alias("note"))
 
 
-def long_parameter_lists(files: DataFrame, most: int = 5) -> DataFrame:
-    """Python functions with more than ``most`` parameters."""
-    pattern = r"def\s+(\w+)\s*\(([^)]*)\)"
+def long_parameter_lists(files: DataFrame, most: int = 5, pattern: str = r"def\s+(\w+)\s*\(([^)]*)\)") -> DataFrame:
+    """Functions with more than ``most`` parameters; the pattern's groups are name and list."""
     content = F.col("content")
     zipped = F.arrays_zip(text.match_lines(content, pattern).alias("line"), F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("args"))
     found = files.where(content.rlike(pattern)).select(*KEYS, F.explode(zipped).alias("f")).select(*KEYS, "f.line", "f.name", F.size(F.filter(F.split("f.args", ","), lambda x: text.strip(x) != "")).alias("params"))
     return found.where(F.col("params") > most)
 
 
+#: By language: where a function begins (its name is a group), and how many lines it may have.
+FUNCTIONS = {
+    "Python": (r"(?m)^(\s*)def\s+(\w+)\s*\(", 50),
+    "JavaScript": (r"(?m)^(\s*)(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>))", 60),
+    "TypeScript": (r"(?m)^(\s*)(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*[=:])", 60),
+    "Java": (r"(?m)^(\s*)(?:public|private|protected|static|final|async)*\s*\w+(?:<[^>]+>)?\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{", 60),
+    "Go": (r"(?m)^(\s*)func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", 60),
+}
+#: Parameter lists; those of script functions have no pattern that the service's count would ever reach.
+PARAMETERS = {
+    "Python": r"def\s+(\w+)\s*\(([^)]*)\)",
+    "Java": r"(?:public|private|protected|static|final|async)*\s*\w+(?:<[^>]+>)?\s+(\w+)\s*\(([^)]*)\)",
+    "Go": r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(([^)]*)\)",
+}
+
+
+def long_functions(files: DataFrame, cap: int = 3) -> DataFrame:
+    """Functions with more lines than their language allows: a function ends before the first later line, its second or
+    a later one, that is not blank and not indented deeper than its first."""
+    lang, content = inventory.language(F.col("path")), F.col("content")
+    parts = []
+    for name, (pattern, most) in FUNCTIONS.items():
+        groups = 3 if name.endswith("Script") else 2
+        mine = lang == name if name != "Python" else (lang == name) | ~lang.isin(*FUNCTIONS)
+        own = files.where((inventory.file_type(F.col("path")) == "source") & mine & content.rlike(pattern))
+        names = F.regexp_extract_all(content, F.lit(pattern), F.lit(2))
+        if groups == 3:
+            names = F.zip_with(names, F.regexp_extract_all(content, F.lit(pattern), F.lit(3)), lambda a, b: F.when(a != "", a).otherwise(b))
+        lines = F.transform(text.split_lines(content), lambda x, i: F.struct((i + 1).alias("no"), text.indent_of(x).alias("indent"), (text.strip(x) == "").alias("blank")))
+        zipped = F.arrays_zip(text.match_lines(content, pattern).alias("line"), names.alias("name"))
+        starts = own.select(*KEYS, "content", F.explode(zipped).alias("f")).select(*KEYS, lines.alias("lines"), "f.*")
+        base = F.get("lines", F.col("line") - 1)["indent"]
+        after = F.filter("lines", lambda x: (x["no"] >= F.col("line") + 2) & ~x["blank"] & (x["indent"] <= base))
+        end = F.coalesce(F.get(after, 0)["no"] - 1, F.size("lines"))
+        parts.append(starts.withColumn("length", end - F.col("line")).withColumn("most", F.lit(most)).drop("lines"))
+    found = reduce(DataFrame.unionByName, parts).where(F.col("length") > F.col("most"))
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy("line"))).where(F.col("place") <= cap)
+    return found.select(*KEYS, "line", F.when(F.col("name") == "", "anonymous").otherwise(F.col("name")).alias("name"), "length", F.when(F.col("length") > 2 * F.col("most"), "High").otherwise("Medium").alias("severity"))
+
+
+def parameter_lists(files: DataFrame, most: int = 5, cap: int = 3) -> DataFrame:
+    """Functions with more than ``most`` parameters, by the pattern of the file's language; others are read as Python."""
+    lang = inventory.language(F.col("path"))
+    own = files.where(inventory.file_type(F.col("path")) == "source")
+    parts = [long_parameter_lists(own.where(lang == name if name != "Python" else ~lang.isin("Java", "Go", "JavaScript", "TypeScript")), most, pattern) for name, pattern in PARAMETERS.items()]
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("line", "name"))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+
+def top_of(path: Column) -> Column:
+    return F.when(path.contains("/"), F.substring_index(path, "/", 1)).otherwise("(root)")
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """One row for each import of a Python or JavaScript file: top directory of the file, and the package named."""
+    """One row for each import of a Python, script or Go file: top directory of the file, and the package named. A relative
+    import of a script counts for the directory above the last part of the path that it names, or not at all."""
     python = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
     script = r"(?:import\s+[^'\"]*?from\s*|require\s*\(\s*)['\"]([^'\"]+)['\"]"
-    content = F.col("content")
+    go = r'(?m)^\s*"([\w./\-]+)"'
+    content, ext, parts = F.col("content"), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)), F.split("path", "/")
     of = lambda p, g: F.regexp_extract_all(content, F.lit(p), F.lit(g))
-    names = F.when(F.col("path").endswith(".py"), F.zip_with(of(python, 1), of(python, 2), lambda a, b: F.substring_index(F.when(a != "", a).otherwise(b), ".", 1)))
-    names = names.otherwise(F.transform(of(script, 1), lambda s: F.when(s.startswith("@"), F.substring_index(s, "/", 2)).otherwise(F.substring_index(s, "/", 1))))
-    return files.select("repo", "path", F.substring_index("path", "/", 1).alias("src"), F.explode(names).alias("name"))
+
+    def package(s: Column) -> Column:
+        named = F.substring_index(F.regexp_replace(s, r"^[./]+", ""), "/", 1)
+        above = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (i > 0) & (F.get(parts, i) == named))
+        relative = F.get(parts, F.array_max(above) - 1)
+        return F.when(s.startswith("."), relative).when(s.startswith("@"), F.substring_index(s, "/", 2)).otherwise(F.substring_index(s, "/", 1))
+
+    names = F.when(ext == "py", F.zip_with(of(python, 1), of(python, 2), lambda a, b: F.substring_index(F.when(a != "", a).otherwise(b), ".", 1)))
+    names = names.when(ext.isin("js", "jsx", "ts", "tsx", "mjs", "cjs"), F.transform(of(script, 1), package)).when(ext == "go", F.transform(of(go, 1), lambda s: F.substring_index(s, "/", -1)))
+    return files.select("repo", "path", top_of(F.col("path")).alias("src"), F.explode(names).alias("name")).where(F.coalesce("name", F.lit("")) != "")
 
 
 def import_edges(files: DataFrame) -> DataFrame:
     """repo, src, dst, n, internal: imports by top directory; a name that is no top directory is external."""
-    tops = files.select("repo", F.substring_index("path", "/", 1).alias("name")).distinct().withColumn("known", F.lit(True))
+    tops = files.where(F.col("path").contains("/")).select("repo", F.substring_index("path", "/", 1).alias("name")).distinct().withColumn("known", F.lit(True))
     joined = imports(files).join(tops, ["repo", "name"], "left").where(F.col("known").isNull() | (F.col("src") != F.col("name")))
     return joined.groupBy("repo", "src", F.col("name").alias("dst"), F.coalesce("known", F.lit(False)).alias("internal")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def import_report(edges: DataFrame, most_internal: int = 60, most_external: int = 25) -> DataFrame:
+    """The edges between directories and the outside packages that are most imported, with their place in each repository."""
+    inner = edges.where("internal").select("repo", F.lit("internal").alias("kind"), "src", "dst", "n")
+    outer = edges.where(~F.col("internal")).groupBy("repo", "dst").agg(F.sum("n").alias("n")).select("repo", F.lit("external").alias("kind"), F.lit("").alias("src"), "dst", "n")
+    ranked = inner.unionByName(outer).withColumn("place", F.row_number().over(Window.partitionBy("repo", "kind").orderBy(F.desc("n"), "src", "dst")))
+    return ranked.where(F.col("place") <= F.when(F.col("kind") == "internal", most_internal).otherwise(most_external))
+
+
 def mutual_imports(edges: DataFrame) -> DataFrame:
     inner = edges.where("internal")
     back = inner.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
