@@ -7,9 +7,8 @@ classes go on. (3) In each bucket of two or more classes the class that shares m
 the centre to the others, so a bucket makes as many edges as it has members. (4) Edges are confirmed on the full sets
 of both texts, and confirmed links give components. (5) Where a bucket still holds several components, its members
 outside the centre's component are held, on full sets, against the members of other components whose sets can be similar
-enough, given how many of their shingles any other such document has; two classes that meet in several buckets are held
-against each other in one of them. Any two linked classes that meet in a bucket are then in one component, though only
-links leave the comparison. Two sets with the least similarity, 0.75, miss each
+enough, given how many of their shingles any other such document has. Any two linked classes that meet in a bucket are
+then in one component, though only links leave the comparison. Two sets with the least similarity, 0.75, miss each
 other in all bands with a probability of about 5e-6.
 
 Defined results: null or empty text and text without words has an empty set and is linked with nothing; rows that share
@@ -179,19 +178,17 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     least = SIMILAR * F.col("n") <= 100 * F.col("common")  # else it is near none of them
     placed = stored(placed.join(common, "rep").where(least & (F.col("rep") != F.col("centre"))))
     outside = stored(placed.where(F.col("component") != F.col("main")))
-    where = stored(placed.groupBy("rep").agg(F.collect_set("key").alias("open")))  # at most BANDS keys each
     inside = placed.join(stored(outside.select("key").distinct()), "key", "left_semi")
-    carried = ("rep", "n", "common", "component", "open", "shingles")
-    rest = outside.join(where, "rep").join(sets, "rep").select("key", *[F.col(c).alias(f"{c}_b") for c in carried])
-    others = inside.join(where, "rep").join(sets, "rep").select("key", "main", *carried)
+    carried = ("rep", "n", "common", "component", "shingles")
+    rest = outside.join(sets, "rep").select("key", *[F.col(c).alias(f"{c}_b") for c in carried])
+    others = inside.join(sets, "rep").select("key", "main", *carried)
     once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep_b"))
     total = F.col("n") + F.col("n_b")
     reach = (100 + SIMILAR) * F.least("common", "common_b") >= SIMILAR * total
-    here = F.array_min(F.array_intersect("open", "open_b")) == F.col("key")  # of the buckets that both are in, one holds them against each other
     exact = (100 + SIMILAR) * F.size(F.array_intersect("shingles", "shingles_b")) >= SIMILAR * total
-    pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach & F.when(here, exact).otherwise(False))
+    pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach & exact)
     more = stored(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())
-    discard(sets, placed, where, outside, open_members, named, members, centres)
+    discard(sets, placed, outside, open_members, named, members, centres)
     return found if more.isEmpty() else components(links.union(more))
 
 
