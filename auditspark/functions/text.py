@@ -54,10 +54,19 @@ def occurrences(text: Column, what: str) -> Column:
 
 
 def match_lines(text: Column, pattern: str) -> Column:
-    """Line number, from 1, of the start of each match; the text is searched whole, matches may span lines."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    upto = lambda i: F.concat(F.array_join(F.slice(parts, 1, i), ""), F.array_join(F.slice(found, 1, i - 1), ""))
-    numbers = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: occurrences(upto(i), "\n") + 1)
+    """Line number, from 1, of the start of each match; the text is searched whole, matches may span lines.
+
+    The text is cut at its matches once, and the line ends of the pieces are summed up in one fold."""
+    ends = lambda x: occurrences(x, "\n")
+    before = F.transform(F.split(text, pattern, -1), ends)
+    within = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), ends)
+    steps = F.zip_with(before, within, lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["n"] + x["a"] + x["b"]).alias("n"), F.array_append(acc["out"], acc["n"] + x["a"] + 1).alias("out"))
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    numbers = F.aggregate(F.slice(steps, 1, F.size(within)), start, step, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), numbers).otherwise(F.array().cast("array<int>"))
 
 

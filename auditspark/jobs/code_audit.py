@@ -51,6 +51,10 @@ _pattern_query("security_rules", rules.RULES)
 for _name in dict.fromkeys(r.name for r in rules.RULES):
     _pattern_query(f"{_name}_rule", [r for r in rules.RULES if r.name == _name])
 _pattern_query("lookaround_rules", rules.LOOKING, oracle=False)
+#: The same meaning by two tests of a line, as DuckDB's patterns have no look-around.
+ORACLE["lookaround_rules"] = rf"""WITH {CTE} SELECT repo, file_id, path, line_no AS line, 'command_injection' AS name, 'High' AS severity, 'CWE-78' AS cwe, 'exec() in PHP/Node (or generic)' AS issue FROM numbered
+WHERE regexp_matches(line, '(?i)\bexec\s*\(') AND NOT regexp_matches(line, '(?i)(os|subprocess|child_process|Runtime\.getRuntime\(\))\.exec\s*\(')
+UNION ALL SELECT repo, file_id, path, line_no, 'insecure_storage', 'High', 'CWE-922', 'Cookie without httpOnly/Secure flags for sensitive data' FROM numbered WHERE regexp_matches(line, '(?i)cookie.*(password|secret|token|jwt)') AND NOT contains(lower(line), 'httponly')"""
 
 
 @query(f""", ls AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM numbered),
@@ -73,7 +77,12 @@ def missing_authorization_rule(spark: SparkSession, d: str) -> DataFrame:
     return rules.missing_authorization(code_files(spark, d))
 
 
-@query(None)
+@query(r""", m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(stripped, '"[^"]*"', '""', 'g'), '''[^'']*''', '''''''', 'g'), '#[^#]*$', '') AS bare, regexp_extract(stripped, '^(\w+)\s*=', 1) AS name FROM numbered
+  WHERE NOT (stripped[1:1] IN ('#', '*') OR stripped[1:2] IN ('//', '--', '/*')) AND NOT regexp_matches(stripped, 'range\s*\(')),
+p AS (SELECT *, regexp_extract(bare[i:], '^\d+\.?\d*') AS run FROM (SELECT *, unnest(range(1, length(bare) + 1)) AS i FROM m WHERE NOT (name <> '' AND upper(name) = name)) WHERE regexp_matches(bare[i:i], '\d') AND NOT regexp_matches(coalesce(bare[i - 1:i - 1], ''), '[A-Za-z_]')),
+c AS (SELECT *, CASE WHEN regexp_matches(bare[i + length(run):i + length(run)], '[A-Za-z_]') THEN left(run, length(run) - 1) ELSE run END AS num FROM p),
+g AS (SELECT repo, file_id, path, line_no, arg_min(num, i) AS number FROM c WHERE num <> '' AND CAST(num AS DOUBLE) NOT IN (0, 1, 2, 10, 100) AND CAST(num AS DOUBLE) <= 10000 GROUP BY ALL)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) <= 5""")
 def magic_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rules.magic_numbers(numbered(spark, d)).select("repo", "file_id", "path", "line_no", "number")
 

@@ -65,7 +65,7 @@ def added_text(spark: SparkSession, d: str) -> DataFrame:
 
 def commit_findings(spark: SparkSession, d: str) -> DataFrame:
     """Security rules and smells on the added lines of patches."""
-    return rules.added_findings(added_text(spark, d))
+    return rules.scan(added_text(spark, d))
 
 
 def commit_impact(spark: SparkSession, d: str) -> DataFrame:

@@ -65,6 +65,31 @@ def clone_pairs(files: DataFrame, min_lines: int = MIN_LINES, longest: int = LON
     return island.withColumn("duplicated_lines", F.least(F.lit(longest), min_lines + last - F.col("pos_a")).cast("int")).select("repo", "file_id_a", "file_id_b", "start_line_a", "start_line_b", "duplicated_lines", "token_hash")
 
 
+def similarity_pct(a: Column, b: Column) -> Column:
+    """Whole per cent of places where two arrays of lines agree, of the longer one's; halves go to the even number."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x)
+    return F.bround(100 * same / F.greatest(F.size(a), F.size(b), F.lit(1)), 0).cast("int")
+
+
+def clone_report(files: DataFrame, least_similarity: int = 50, most: int = 60, shown: int = 12, min_lines: int = MIN_LINES) -> DataFrame:
+    """The longest clones of each repository by path and line range, with their first lines and the counts of all.
+
+    Seeds are equal windows, so every clone is similar by 100; the filter is what a caller may ask for. ``most`` is the
+    report's length."""
+    pairs = clone_pairs(files, min_lines).withColumn("similarity", F.lit(100)).where(F.col("similarity") >= least_similarity)
+    whole = Window.partitionBy("repo")
+    ranked = pairs.withColumn("total", F.count(F.lit(1)).over(whole)).withColumn("total_lines", F.sum("duplicated_lines").over(whole))
+    order = whole.orderBy(F.desc("duplicated_lines"), F.desc("similarity"), "file_id_a", "start_line_a", "file_id_b", "start_line_b")
+    kept = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    named = normalized_lines(files).join(files.select("repo", "file_id", "path"), ["repo", "file_id"])
+    a = named.select("repo", F.col("file_id").alias("file_id_a"), F.col("path").alias("path_a"), "lines")
+    b = files.select("repo", F.col("file_id").alias("file_id_b"), F.col("path").alias("path_b"))
+    joined = kept.join(a, ["repo", "file_id_a"]).join(b, ["repo", "file_id_b"])
+    own = F.slice(F.filter("lines", lambda x: x["line_no"] >= F.col("start_line_a")), 1, F.col("duplicated_lines"))
+    snippet = F.array_join(F.transform(F.slice(own, 1, shown), lambda x: x["norm"]), "\n")
+    return joined.select("repo", "place", "path_a", "path_b", "start_line_a", F.element_at(own, -1)["line_no"].alias("end_line_a"), "start_line_b", "duplicated_lines", "similarity", "token_hash", snippet.alias("snippet"), "total", "total_lines")
+
+
 def clone_groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """repo, token_hash, files, places: one row for each window that different files share."""
     return windows(files, min_lines).groupBy("repo", "token_hash").agg(F.count_distinct("file_id").alias("files"), F.count(F.lit(1)).alias("places")).where(F.col("files") > 1)

@@ -68,6 +68,25 @@ def smell_confidence(issue: Column, suggestion: Column, severity: Column) -> Col
     return F.when(has_any(said, FAKE_SMELLS), 0.0).when(~has_any(said, SMELL_TYPES), 0.3).otherwise(_graded(issue, F.coalesce(suggestion, F.lit("")), severity, SMELL_SCORE))
 
 
+UNLIKELY = r"^(#|//|/\*|\*|import |from |package )"
+
+
+def evidence_holds(lines: Column, number: Column, before: Column, issue: Column) -> Column:
+    """Does a finding fit the file? Its line exists; the code that it quotes and the line contain each other, or a longer word
+    of the issue stands in the line; failing these, the line is one that can have a finding at all."""
+    tidy = lambda s: F.lower(F.regexp_replace(strip(s), r"\s+", " "))
+
+    def decide(actual: Column) -> Column:
+        line, said = tidy(actual), tidy(F.coalesce(before, F.lit("")))
+        words = F.filter(F.split(F.lower(issue), r"\s+"), lambda w: F.length(w) > 3)
+        named = F.exists(words, lambda w: F.contains(line, w))
+        comment = actual.rlike(r"^(#|//|/\*|\*)") | (actual == "")
+        quoted = F.contains(line, said) | F.contains(said, line) | named | ~(actual.rlike(UNLIKELY) | (actual == ""))
+        return F.when(said != "", quoted).otherwise(named | ~comment)
+
+    return F.when((number < 1) | (number > F.size(lines)), False).otherwise(let(strip(F.get(lines, number - 1)), decide))
+
+
 def findings_from_text(content: Column, schema: str) -> Column:
     """An array of findings from an answer: fenced, plain, or within other text; a single object is an array of one."""
     fenced = F.regexp_extract(content, r"```(?:json)?\s*([\s\S]*?)```", 1)

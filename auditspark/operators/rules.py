@@ -314,10 +314,11 @@ def deep_nesting(lines: DataFrame, most: int = 4) -> DataFrame:
     return top.where(F.col("top.depth") > most).select(*KEYS, "top.depth", (-F.col("top.back")).alias("line_no"))
 
 
-def added_findings(files: DataFrame) -> DataFrame:
-    """repo, file_id, path, kind, line, name, severity, issue of added texts: all rules that exist here on one text each.
+def scan(files: DataFrame) -> DataFrame:
+    """repo, file_id, path, kind, line, name, severity, issue: all twelve security rule sets and all smells on each text.
 
-    ``files`` has (repo, file_id, path, content), the content being what a patch adds; lines are lines of it."""
+    ``files`` has (repo, file_id, path, content); the content may be a file, a patch or what a patch adds, lines being
+    lines of it. No two rule sets give an issue in the same words, so each set drops its own repeats."""
     columns = [*KEYS, "kind", "line", "name", "severity", "issue"]
     lines = files.select(*KEYS, F.posexplode(text.split_lines(F.col("content"))).alias("at", "line")).withColumn("line_no", F.col("at") + 1)
 
@@ -333,7 +334,8 @@ def added_findings(files: DataFrame) -> DataFrame:
         shaped(missing_authorization(files), "security", "line", lit("missing_authorization"), lit("High"), lit("Missing Authorization Guard on API Endpoint")),
         shaped(magic_numbers(lines), "code_smell", "line_no", lit("magic_number"), lit("Medium"), F.concat(lit("Magic Number: "), "number")),
         shaped(unused_imports(files), "code_smell", "line_no", lit("unused_import"), lit("Low"), F.concat(lit("Unused Import: '"), "name", lit("'"))),
-        shaped(long_parameter_lists(files), "code_smell", "line", lit("long_parameter_list"), lit("Medium"), F.concat(lit("Long Parameter List: "), "name", lit("("), F.col("params").cast("string"), lit(" params)"))),
+        shaped(long_functions(files), "code_smell", "line", lit("long_function"), F.col("severity"), F.concat(lit("Long Function: "), "name", lit(" ("), F.col("length").cast("string"), lit(" lines)"))),
+        shaped(parameter_lists(files), "code_smell", "line", lit("long_parameter_list"), lit("Medium"), F.concat(lit("Long Parameter List: "), "name", lit("("), F.col("params").cast("string"), lit(" params)"))),
         shaped(blocks, "code_smell", "line_no", lit("duplicate_code"), lit("Medium"), F.concat(lit("Duplicate Code Block ("), F.col("n").cast("string"), lit(" occurrences)"))),
         shaped(deep_nesting(lines), "code_smell", "line_no", lit("deep_nesting"), lit("Medium"), F.concat(lit("Deep Nesting: "), F.col("depth").cast("string"), lit(" levels deep (threshold: 4)"))),
     ]
