@@ -194,7 +194,7 @@ DEBT = f"""WITH {REPOS}, {BOTH}, {FUNCTIONS}, {REPORT.removeprefix(', ')}, src A
 py AS (SELECT * FROM src WHERE {at(('app/main.py', 'core/util_§.py'))}), js AS (SELECT * FROM src WHERE {at(('api/server.js', 'web/view_§.tsx'))}), db AS (SELECT * FROM src WHERE {at(('services/db.py',))}),
 f AS (SELECT repo, path, 'security' AS kind, 'Critical' AS severity FROM py, range(3) UNION ALL SELECT repo, path, 'security', 'High' FROM js
   UNION ALL SELECT repo, path, 'smell', 'Medium' FROM py UNION ALL SELECT repo, path, 'smell', 'Medium' FROM py UNION ALL SELECT repo, path, 'smell', 'Medium' FROM js WHERE {_N}
-  UNION ALL SELECT repo, path, 'smell', 'Medium' FROM src WHERE {at(('web/components/list_§.jsx',))} AND {_N} UNION ALL SELECT repo, path, 'smell', 'Medium' FROM db UNION ALL SELECT repo, path, 'smell', 'High' FROM db
+  UNION ALL SELECT repo, path, 'smell', 'Medium' FROM src WHERE {at(('web/components/list_§.jsx', 'scripts/tool_§.rb'))} AND {_N} UNION ALL SELECT repo, path, 'smell', 'Medium' FROM db UNION ALL SELECT repo, path, 'smell', 'High' FROM db
   UNION ALL SELECT repo, path, 'smell', 'Medium' FROM (FROM py UNION ALL FROM db) WHERE {_DIGIT}),
 fn AS (SELECT *, line_end - line_start + 1 AS len, CASE WHEN complexity >= 10 OR line_end - line_start + 1 > 100 THEN 'Medium' ELSE 'Low' END AS severity FROM functions),
 todo AS (SELECT repo, path FROM py UNION ALL SELECT repo, path FROM src WHERE {at(('setup.py',))}),
