@@ -72,5 +72,20 @@ def is_prose(code: Column) -> Column:
     return let(strip(code), decide)
 
 
+RESUME_WORDS = ("experience", "education", "employment", "skills", "projects", "work history", "objective", "references", "curriculum vitae", "resume")
+CODE_MARKS = r"def |class |import |const |function|[{}]|fn "
+
+
+def snippet_verdict(code: Column, fallback: str = "Python") -> tuple[Column, Column]:
+    """Why a snippet is refused, or ``valid``; and its language, ``fallback`` where it is not known."""
+    s = strip(F.coalesce(code, F.lit("")))
+    low, language = F.lower(s), detect_language(F.coalesce(code, F.lit("")))
+    resume = sum((low.rlike(rf"\b{w}\b").cast("int") for w in RESUME_WORDS[1:]), low.rlike(rf"\b{RESUME_WORDS[0]}\b").cast("int"))
+    unknown = language == "Unknown"
+    verdict = F.when(s == "", "empty").when(s.rlike(r"(?i)^(https?://\S+|www\.\S+)$"), "url").when((resume >= 3) & ~low.rlike(CODE_MARKS), "resume").when(~s.rlike(r"\p{L}"), "no letters")
+    verdict = verdict.when(unknown & is_prose(code), "prose").when(unknown & ~is_valid_code(code), "not code").otherwise("valid")
+    return verdict, F.when(unknown, fallback).otherwise(language)
+
+
 def code_lines(code: Column) -> Column:
     return F.size(F.filter(split_lines(code), lambda x: strip(x) != ""))

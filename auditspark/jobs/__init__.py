@@ -1,5 +1,5 @@
 """The registered queries, by module; each module has QUERIES and ORACLE."""
 
-from auditspark.jobs import changes, code_audit, flows, outside, relational, repo_files, reporting, scans, source_text
+from auditspark.jobs import changes, code_audit, flows, outside, relational, repo_files, reporting, scans, services, source_text
 
-MODULES = [relational, source_text, code_audit, changes, flows, reporting, outside, repo_files, scans]
+MODULES = [relational, source_text, code_audit, changes, flows, reporting, outside, repo_files, scans, services]

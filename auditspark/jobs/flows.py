@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.sources.adapters import table
+from auditspark.operators import service
+from auditspark.sources.adapters import analyses, sql, table
 from auditspark.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +52,56 @@ def dead_letter_replay(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
 
 
-QUERIES = {f.__name__: f for f in (rate_limit_decisions, progress_throttle, monotone_counters, webhook_routing, dead_letter_replay)}
+def duplicate_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Scans of the same content within two hours of one that was let through are dropped."""
+    scans = table(spark, d, "events").select((F.col("user_id") % 40).alias("repo"), (F.col("event_id") % 3).alias("commit"), "ts", "event_id")
+    return ev.guard_duplicates(scans, 7200.0).select("repo", "commit", "event_id")
+
+
+def dead_letter_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Failed tasks with their arguments as JSON; the scan's id is one of them."""
+    rows = table(spark, d, "events").where(F.col("event_type") == "error")
+    arguments = F.to_json(F.struct((F.col("event_id") * 7 % 5000).alias("analysis_id"), F.lit("scan").alias("task")))
+    return rows.select("event_id", "ts", arguments.alias("arguments"), (F.col("event_id") % 4 == 0).alias("resolved"))
+
+
+def dead_letter_retry(spark: SparkSession, d: str) -> DataFrame:
+    """Open tasks of known scans: the newest of each scan is replayed, which sets the scan to pending; all are resolved."""
+    return ev.replay(dead_letter_tasks(spark, d), analyses(spark, d)).select("event_id", "analysis_id", "was", "status", "replayed", "resolved")
+
+
+def progress_heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    rows = service.heartbeats(keyed(spark, d), 1800.0)
+    return rows.select("key", "event_id", F.round("at", 3).alias("at"))
+
+
+def webhook_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Webhook bodies with a signature, wrong for every third one; those that stand the test."""
+    body = F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"))
+    claimed = F.concat(F.lit("sha256="), F.when(F.col("event_id") % 3 == 0, F.sha2(body, 256)).otherwise(service.hmac_sha256(body, SECRET)))
+    rows = table(spark, d, "events").select("event_id", body.alias("body"), claimed.alias("signature"))
+    return service.signed(rows, SECRET).select("event_id", "signature")
+
+
+SECRET = b"example-key"
+QUERIES = {f.__name__: f for f in (rate_limit_decisions, progress_throttle, monotone_counters, webhook_routing, dead_letter_replay, duplicate_scans, dead_letter_retry, progress_heartbeats, webhook_signatures)}
+#: Events of a key in order, with seconds; and the same events of a pair of repository and commit.
+ORDERED = "WITH RECURSIVE e AS (SELECT user_id % 40 AS key, epoch_us(ts) / 1e6 AS t, event_id, event_type = 'error' AS terminal, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS rn FROM events)"
+_PADS = ["".join(f"\\x{b ^ x:02X}" for b in SECRET.ljust(64, b"\0")) for x in (0x36, 0x5C)]
 ORACLE = {
+    "rate_limit_decisions": ORDERED + """, r AS (SELECT key, rn, t, event_id, [t] AS held, true AS admitted FROM e WHERE rn = 1
+UNION ALL SELECT key, rn, t, event_id, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3 FROM (SELECT e.key, e.rn, e.t, e.event_id, list_filter(r.held, lambda h: e.t - h < 3600.0) AS f FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
+SELECT key, t AS "at", event_id, admitted FROM r""",
+    "progress_throttle": ORDERED + """, r AS (SELECT key, rn, t, event_id, t AS last, true AS written FROM e WHERE rn = 1
+UNION ALL SELECT e.key, e.rn, e.t, e.event_id, CASE WHEN e.terminal OR e.t - r.last >= 1800.0 THEN e.t ELSE r.last END, e.terminal OR e.t - r.last >= 1800.0 FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
+SELECT key, t AS "at", event_id, written FROM r""",
+    "duplicate_scans": """WITH RECURSIVE e AS (SELECT user_id % 40 AS repo, event_id % 3 AS c, epoch_us(ts) / 1e6 AS t, event_id, row_number() OVER (PARTITION BY user_id % 40, event_id % 3 ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT repo, c, rn, event_id, t AS last, true AS kept FROM e WHERE rn = 1 UNION ALL SELECT e.repo, e.c, e.rn, e.event_id, CASE WHEN e.t - r.last >= 7200 THEN e.t ELSE r.last END, e.t - r.last >= 7200 FROM r JOIN e ON e.repo = r.repo AND e.c = r.c AND e.rn = r.rn + 1)
+SELECT repo, c AS commit, event_id FROM r WHERE kept""",
+    "dead_letter_retry": sql(""", t AS (SELECT event_id, ts, event_id * 7 % 5000 AS analysis_id FROM events WHERE event_type = 'error' AND event_id % 4 <> 0)
+SELECT event_id, analysis_id, a.status AS was, 'pending' AS status, row_number() OVER (PARTITION BY analysis_id ORDER BY ts DESC, event_id DESC) = 1 AS replayed, true AS resolved FROM t JOIN analyses a USING (analysis_id)"""),
+    "progress_heartbeats": ORDERED.replace("WITH RECURSIVE", "WITH") + """, n AS (SELECT *, lead(t) OVER (PARTITION BY key ORDER BY t, event_id) AS nxt FROM e) SELECT key, event_id, round(t + 1800, 3) AS "at" FROM n WHERE NOT terminal AND (nxt IS NULL OR nxt - t > 1800)""",
+    "webhook_signatures": f"""SELECT event_id, 'sha256=' || sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(event_type || ':' || event_id)))) AS signature FROM events WHERE event_id % 3 <> 0""",
     "monotone_counters": "SELECT user_id % 40 AS key, event_id, max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS shown FROM events",
     "webhook_routing": """WITH h AS (SELECT event_id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS repo_name, CASE event_type WHEN 'click' THEN 'pull_request' WHEN 'view' THEN 'push' ELSE 'ping' END AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
 SELECT event_id, repo_name, kind, CASE kind WHEN 'push' THEN 'scan' ELSE 'review' END AS starts FROM h JOIN customer ON c_name = repo_name WHERE c_mktsegment <> 'MACHINERY' AND ((kind = 'pull_request' AND k % 3 IN (0, 2)) OR (kind = 'push' AND k % 2 = 0))""",

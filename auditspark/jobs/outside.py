@@ -87,6 +87,12 @@ ORACLE = {
     "security_confidence": sql(" SELECT analysis_id, ord, round(CASE WHEN line % 6 = 0 THEN 0.0 ELSE " + _GRADE.format("0.95", "0.85", "0.75", "0.60") + " - CASE WHEN line % 3 = 0 THEN 0 ELSE 0.15 END - CASE WHEN line % 5 = 0 THEN 0.10 ELSE 0 END) END, 2)::DOUBLE AS confidence FROM findings"),
     "smell_confidence": sql(" SELECT analysis_id, ord, round(CASE line % 3 WHEN 1 THEN 0.0 WHEN 2 THEN 0.3 ELSE " + _GRADE.format("0.90", "0.85", "0.75", "0.55") + " - 0.10) END, 2)::DOUBLE AS confidence FROM findings"),
     "findings_from_answers": "SELECT l_orderkey AS id, 'f' || l_partkey AS file, l_linenumber AS line FROM lineitem WHERE l_orderkey % 4 < 3",
+    "batch_packing": sql(r""", split AS (SELECT repo, file_id, CASE WHEN content[-1:] = chr(10) THEN string_split(content[:-2], chr(10)) WHEN content = '' THEN [] ELSE string_split(content, chr(10)) END AS ls FROM files),
+u AS (SELECT repo, file_id, k AS chunk, length(array_to_string(ls[3 * k - 2:3 * k], chr(10))) AS chars FROM (SELECT *, unnest(range(1, greatest(1, (len(ls) + 2) // 3) + 1)) AS k FROM split)),
+r AS (SELECT repo, file_id, chunk, chars, 0 AS batch, chars > 2000 AS big, CASE WHEN chars > 2000 THEN 0 ELSE 1 END AS n, CASE WHEN chars > 2000 THEN 0 ELSE chars END AS total FROM u WHERE chunk = 1
+UNION ALL SELECT repo, file_id, chunk, chars, b + CAST(f AS INTEGER), big, CASE WHEN big THEN 0 WHEN f THEN 1 ELSE n + 1 END, CASE WHEN big THEN 0 WHEN f THEN chars ELSE total + chars END FROM (
+  SELECT u.repo, u.file_id, u.chunk, u.chars, r.batch + CAST(r.big AS INTEGER) AS b, r.n, r.total, u.chars > 2000 AS big, r.n > 0 AND (r.n >= 4 OR r.total + u.chars > 2000 OR u.chars > 2000) AS f FROM r JOIN u ON u.repo = r.repo AND u.file_id = r.file_id AND u.chunk = r.chunk + 1))
+SELECT repo, file_id, CAST(chunk AS INTEGER) AS chunk, CAST(chars AS INTEGER) AS chars, CAST(batch AS INTEGER) AS batch FROM r""").replace("WITH ", "WITH RECURSIVE ", 1),
     "layers": f"WITH {CODE}, t AS (SELECT DISTINCT repo, split_part(path, '/', 1) AS dir FROM code_files), m(dir, layer) AS (VALUES ('core', 'services/domain'), ('services', 'services/domain'), ('web', 'frontend/ui'), ('tools', 'scripts/tooling')) SELECT repo, layer, string_agg(dir, ',' ORDER BY dir) AS evidence FROM t JOIN m USING (dir) GROUP BY ALL",
     "patch_sizes": """WITH e AS (SELECT user_id AS patch_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
 s AS (SELECT patch_id, event_type, CAST(n // 15 * 60 + 10 + coalesce(count(*) FILTER (event_type <> 'error') OVER (PARTITION BY patch_id, n // 15 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS number FROM e)

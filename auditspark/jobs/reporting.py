@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditspark.functions import code
 from auditspark.jobs.source_text import PATHS, paths
-from auditspark.operators import health, reports
+from auditspark.operators import health, reports, service
 from auditspark.sources.adapters import analyses, files, findings, sql, table
 from auditspark.sources.code import CTE as CODE
 from auditspark.sources.code import code_files
@@ -95,16 +95,25 @@ def prose_by_repo(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.count_if(symbols < 0.025).alias("plain"))
 
 
-def snippet_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of conversations as snippets: prose, not code, or code in a language."""
-    text = F.col("text")
-    language = code.detect_language(text)
-    verdict = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(text.rlike(r"(?i)^\s*(https?://\S+|www\.\S+)\s*$"), "url").when(~text.rlike(r"\p{L}"), "no letters")
-    verdict = verdict.when((language == "Unknown") & code.is_prose(text), "prose").when((language == "Unknown") & ~code.is_valid_code(text), "not code").otherwise("valid")
-    return table(spark, d, "conversations").select("conv_id", "turn", verdict.alias("verdict"), F.coalesce(language, F.lit("Unknown")).alias("language"))
+_STRIP = "regexp_replace(t.text, '^[\\s\\x1C-\\x1F\\x{85}\\x{A0}]+|[\\s\\x1C-\\x1F\\x{85}\\x{A0}]+$', '', 'g')"
 
 
-QUERIES["snippet_validation"] = snippet_validation
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE turn % 9 WHEN 3 THEN 'https://example.org/' || turn WHEN 5 THEN 'Education, skills and experience at work' WHEN 7 THEN 'def f(x):' || chr(10) || '    return x' ELSE text END AS text FROM conversations),
+s AS (SELECT conv_id, turn, {_STRIP} AS s FROM t), l AS (SELECT *, lower(s) AS low, {_language_sql('s')} AS language, length(regexp_replace(s, '\\P{{L}}', '', 'g')) AS letters, length(regexp_replace(s, '[^{{}}\\[\\]();=<>_+\\-*/#\\\\$:&|^%]', '', 'g')) / greatest(length(s), 1) AS symbols,
+  list_filter(regexp_split_to_array(lower(s), '[^0-9A-Za-z_]+'), lambda x: x <> '') AS ws, {" + ".join(f"CAST(regexp_matches(lower(s), {quoted(chr(92) + 'b' + w + chr(92) + 'b')}) AS INTEGER)" for w in code.RESUME_WORDS)} AS resume FROM s),
+n AS (SELECT *, CAST(regexp_matches(s, '[{{}}()\\[\\];=<>:]') AS INTEGER) + CAST(regexp_matches(s, '\\b\\w+\\s*=\\s*.+') AS INTEGER) + CAST(regexp_matches(s, '(?m)^\\s*#') AS INTEGER) + CAST(regexp_matches(s, '(?m)^\\s*//') AS INTEGER) AS structure,
+  {" + ".join(f"CAST(regexp_matches(s, {quoted('(?i)' + k)}) AS INTEGER)" for k in code.KEYWORDS)} AS words FROM l)
+SELECT conv_id, turn, CASE WHEN coalesce(s, '') = '' THEN 'empty' WHEN regexp_matches(s, '(?i)^(https?://\\S+|www\\.\\S+)$') THEN 'url' WHEN resume >= 3 AND NOT regexp_matches(low, 'def |class |import |const |function|[{{}}]|fn ') THEN 'resume' WHEN letters = 0 THEN 'no letters'
+  WHEN language = 'Unknown' AND symbols < 0.025 AND len(ws) > 10 AND len(list_filter(ws, lambda x: x IN ({", ".join(map(quoted, code.STOP_WORDS))}))) / greatest(len(ws), 1) > 0.15 THEN 'prose'
+  WHEN language = 'Unknown' AND NOT (length(s) >= 12 AND NOT regexp_matches(s, '^\\pN+$') AND ((words >= 1 AND structure >= 1) OR (structure >= 2 AND letters >= 4))) THEN 'not code' ELSE 'valid' END AS verdict,
+  CASE WHEN language = 'Unknown' THEN 'Python' ELSE language END AS language FROM n""", own=True)
+def snippet_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as snippets, with a link, a resume or code in place of some: prose, not code, or code."""
+    n = F.col("turn") % 9
+    own = F.when(n == 3, F.concat(F.lit("https://example.org/"), F.col("turn").cast("string"))).when(n == 5, "Education, skills and experience at work").when(n == 7, "def f(x):\n    return x").otherwise(F.col("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", own.alias("text"))
+    verdict, language = code.snippet_verdict(F.col("text"))
+    return rows.select("conv_id", "turn", verdict.alias("verdict"), language.alias("language"))
 
 
 @query(""", i AS (SELECT analysis_id, file, category, line, issue, severity, '- line ' || line || ' [' || severity || '] ' || issue AS t FROM findings),
@@ -115,9 +124,10 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.markdown(findings(spark, d))
 
 
-@query(" SELECT file AS \"File\", line AS \"Line\", severity AS \"Severity\", category AS \"Category\", issue AS \"Issue\" FROM findings")
+@query(""" SELECT file AS "File", CAST(line AS VARCHAR) AS "Line", severity AS "Severity", category AS "Category", issue AS "Issue", 'See ' || file AS "Suggestion", '' AS "Why It Matters", 'line ' || line AS "Before Code", '' AS "After Code" FROM findings""")
 def csv_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.csv_rows(findings(spark, d))
+    own = findings(spark, d).withColumn("suggestion", F.concat(F.lit("See "), "file")).withColumn("before_code", F.concat(F.lit("line "), F.col("line").cast("string")))
+    return reports.csv_rows(own)
 
 
 @query(""" SELECT '{"analysis_id":' || analysis_id || ',"line":' || line || ',"severity":"' || severity || '"}' AS json FROM findings""")
@@ -131,15 +141,16 @@ def chat_history_last10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"), back.alias("back")).where(F.col("back") <= 10)
 
 
-MODELS = (("model not found", "model"), ("unauthorized", "auth"), ("rate limit", "rate_limit"))
+_MESSAGES = "(['ok', 'Error 401', 'invalid_api_key', 'API key has EXPIRED', '429 slow down', 'Quota reached', 'Model x is deprecated', 'model_not_found', '404 page', 'timeout'])"
+_CLASS = """CASE WHEN regexp_matches(m, '401|403|invalid_api_key|invalid api key|unauthorized|authentication') OR contains(m, 'api key') AND contains(m, 'expired') THEN 'auth' WHEN regexp_matches(m, '429|rate_limit|rate limit|quota|limit exceeded|too many requests') THEN 'rate_limit'
+  WHEN contains(m, 'model') AND regexp_matches(m, 'does not exist|not found|no longer supported|decommissioned|deprecated|do not have access|does not have access|not have permission|unavailable|404|model_not_found') THEN 'model' ELSE 'other' END"""
 
 
-@query("""WITH m AS (SELECT event_id, event_type || CASE event_id % 5 WHEN 0 THEN ': Model Not Found' WHEN 1 THEN ': 401 unauthorized' WHEN 2 THEN ': Rate limit' ELSE '' END AS msg FROM events)
-SELECT event_id, CASE WHEN contains(lower(msg), 'model not found') THEN 'model' WHEN contains(lower(msg), 'unauthorized') THEN 'auth' WHEN contains(lower(msg), 'rate limit') THEN 'rate_limit' ELSE 'other' END AS kind FROM m""", own=True)
+@query(f"""WITH t AS (SELECT event_id, {_MESSAGES}[event_id % 10 + 1] AS msg, CASE WHEN event_id % 2 = 0 THEN ' Alpha' ELSE 'beta' END AS provider FROM events), c AS (SELECT *, {_CLASS} AS kind FROM (SELECT *, lower(msg) AS m FROM t)), n AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'Alpha' ELSE 'Beta' END AS name FROM c)
+SELECT event_id, kind, CASE kind WHEN 'auth' THEN 'The ' || name || ' API key is missing, invalid, or expired. Please update your API key in Settings.' WHEN 'rate_limit' THEN 'The ' || name || ' API rate limit was exceeded. Please wait a moment and try again.'
+  WHEN 'model' THEN 'The selected ' || name || ' model is not available on your account. Please choose a different model in Settings.' ELSE 'LLM provider is not configured correctly. Please update your API key and model in Settings.' END AS said FROM n""", own=True)
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
-    rest = F.col("event_id") % 5
-    message = F.lower(F.concat("event_type", F.when(rest == 0, ": Model Not Found").when(rest == 1, ": 401 unauthorized").when(rest == 2, ": Rate limit").otherwise("")))
-    kind = F.lit("other")
-    for part, name in reversed(MODELS):
-        kind = F.when(message.contains(part), name).otherwise(kind)
-    return table(spark, d, "events").select("event_id", kind.alias("kind"))
+    messages = ("ok", "Error 401", "invalid_api_key", "API key has EXPIRED", "429 slow down", "Quota reached", "Model x is deprecated", "model_not_found", "404 page", "timeout")
+    key = F.col("event_id")
+    message, provider = F.get(F.array(*map(F.lit, messages)), (key % 10).cast("int")), F.when(key % 2 == 0, " Alpha").otherwise("beta")
+    return table(spark, d, "events").select("event_id", service.error_class(message).alias("kind"), service.friendly_error(provider, message).alias("said"))

@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEADER = ("File", "Line", "Severity", "Category", "Issue")
+HEADER = ("File", "Line", "Severity", "Category", "Issue", "Suggestion", "Why It Matters", "Before Code", "After Code")
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
-    return findings.select(*[F.col(c.lower()).alias(c) for c in HEADER])
+    """The nine columns of the report; what the findings lack is empty."""
+    own = {c.lower().replace(" ", "_"): c for c in HEADER}
+    return findings.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) if c in findings.columns else F.lit("").alias(name) for c, name in own.items()])
+
+
+def run_isolated(outputs: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Write each output below ``path``; the failure of one is noted and leaves the others alone."""
+    status = {}
+    for name, df in outputs.items():
+        try:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            status[name] = "completed"
+        except Exception as error:
+            status[name] = f"failed: {type(error).__name__}"
+    return status
 
 
 def write_csv(findings: DataFrame, path: str) -> None:

@@ -99,11 +99,25 @@ def throttle_stream(events: DataFrame, every_s: float = WRITE_S) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key long, at double, event_id long, written boolean", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def guard_duplicates(scans: DataFrame, delay: str = "60 seconds") -> DataFrame:
-    """Of scans (repo, commit, ts) of the same content within the delay, the first: works on streams and batches alike."""
+def guard_duplicates(scans: DataFrame, delay_s: float = 60.0) -> DataFrame:
+    """Of scans (repo, commit, ts, ...) of the same content within the delay of one that was let through, none but that one.
+    On a stream the state of a pair is forgotten when the watermark has passed it; the batch form is the rule of
+    ``throttle`` over a pair's scans in time order."""
     if scans.isStreaming:
-        return scans.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["repo", "commit"])
-    return scans.dropDuplicates(["repo", "commit"])
+        return scans.withWatermark("ts", f"{delay_s} seconds").dropDuplicatesWithinWatermark(["repo", "commit"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for frame in frames:
+            for k, own in frame.groupby(["repo", "commit"], sort=False, dropna=False):
+                if k != key:
+                    key, last = k, None
+                ok, last = throttle(own["_at"], [False] * len(own), last, delay_s)
+                yield own[ok].drop(columns="_at")
+
+    rest = [c for c in scans.columns if c not in ("repo", "commit", "ts")]
+    ordered = scans.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).repartition("repo", "commit").sortWithinPartitions("repo", "commit", "_at", *rest)
+    return ordered.mapInPandas(run, scans.schema)
 
 
 def route_webhooks(events: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -113,6 +127,35 @@ def route_webhooks(events: DataFrame, repositories: DataFrame) -> DataFrame:
     return events.join(known, "repo_name").withColumn("starts", starts).where(F.col("starts").isNotNull())
 
 
+def replay(tasks: DataFrame, scans: DataFrame) -> DataFrame:
+    """Dead-letter tasks (event_id, ts, arguments, resolved) that are open, with the scan that their arguments name: the
+    newest task of a scan is replayed, which sets the scan to pending; all of its tasks are resolved."""
+    open_ = tasks.where(~F.col("resolved")).withColumn("analysis_id", F.get_json_object("arguments", "$.analysis_id").try_cast("long"))
+    known = open_.join(scans.select("analysis_id", F.col("status").alias("was")), "analysis_id")
+    place = F.row_number().over(Window.partitionBy("analysis_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return known.withColumn("replayed", place == 1).withColumn("status", F.lit("pending")).withColumn("resolved", F.lit(True))
+
+
+def heartbeat_stream(events: DataFrame, silence_s: float = 5.0) -> DataFrame:
+    """A row for each key (ts, terminal) that says nothing for a while before it ends, once a silence, by event time."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield pd.DataFrame({"key": [key[0]], "beat_ms": [state.getCurrentWatermarkMs()]})
+            state.remove()
+            return
+        own = pd.concat(list(frames)).sort_values("ts")
+        if bool(own["terminal"].any()):
+            if state.exists:
+                state.remove()
+            return
+        due = int(own["ts"].max().timestamp() * 1000 + silence_s * 1000)
+        state.update((due,))
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return events.groupBy("key").applyInPandasWithState(step, "key long, beat_ms long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def running_maximum(events: DataFrame, value: str) -> DataFrame:
     """Counters of a key that never fall."""
     return events.withColumn("shown", F.max(value).over(Window.partitionBy("key").orderBy("at", "event_id")))
