@@ -8,7 +8,9 @@ two lengths, and a position drops out as soon as it is known to be unique or set
     it form a run, about one for 16 bytes, and only runs are sent. A run's content is named too. If the whole corpus
     has a 20-byte name in one document, its windows are unique; if all its runs have one content, then the least
     document that holds it settles all their windows.
-(2) 50 bytes. Windows of the remaining runs are ranked by their full names: the least document for each is found.
+(2) 50 bytes. Windows of the remaining runs are ranked by their full names: the least document for each is found. A full
+    name has 96 bits: 64 of the window and 32 of its seed, made of other bytes of it. A run's content has 64 bits beside the
+    64 of its seed, so only runs of one seed can be taken for each other.
 
 A window is removed where a smaller document has it. Texts lie in a table bucketed by block of documents and are not
 moved again; what moves are packed, distinct names of each block, a name once a block, so a passage that stands in a
@@ -37,6 +39,8 @@ SPREAD = LEAST - SEED + 1
 BLOCK_BYTES = 1 << 22
 #: Windows that are named at a time; names that one partition takes, about.
 PIECE, PART_KEYS = 1 << 20, 1 << 20
+#: Bytes that go with a name: of a run's content beside its seed, and of its seed beside a whole window.
+WIDTHS = {1: 8, 2: 4}
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _STEP = 0xD6E8FEB86659FD93
 BLOCK = "block long, doc_id long, text binary"
@@ -100,7 +104,7 @@ def runs_of(texts: list[bytes], skip: list[bool]) -> Runs:
         first = np.flatnonzero(since % SPREAD == 0)
         last = np.append(first[1:], len(seed)) - 1
         length = last - first + 1
-        content = mix64(full[first] + full[last] * np.uint64(_STEP) + length.astype(np.uint64)) >> np.uint64(24) | np.uint64(1)
+        content = mix64(full[first] + full[last] * np.uint64(_STEP) + length.astype(np.uint64)) | np.uint64(1)
         out.append((row[first], at[first], length, seed[first], content, full))
 
     for i, a in todo:
@@ -166,9 +170,11 @@ class Block:
             self.content, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.key_of = np.searchsorted(self.keys, self.runs.seed)
 
-    def send(self, parts: int, keys: np.ndarray, content: np.ndarray, least: np.ndarray) -> pa.Table:
+    def send(self, parts: int, keys: np.ndarray, content: np.ndarray, width: int, least: np.ndarray) -> pa.Table:
+        """Rows for the parts of ``keys``, which are sorted; of ``content`` the ``width`` high bytes are sent."""
         cut = cuts(keys, parts)
-        rows = [(p, self.name, b - a, steps(keys[a:b]), content[a:b].view(np.uint8).reshape(b - a, 8)[:, :5].tobytes() if len(content) else b"", planes(least[a:b], "<i8")) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        high = content.view(np.uint8).reshape(-1, 8)[:, 8 - width :]
+        rows = [(p, self.name, b - a, steps(keys[a:b]), high[a:b].tobytes(), planes(least[a:b], "<i8")) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["part", "block", "n", "keys", "content", "docs"])
 
@@ -188,13 +194,16 @@ class Block:
         per_run = is_open[self.key_of]
         self.window_open = np.repeat(per_run, self.runs.size)
         full = self.runs.full[self.window_open]
+        seed = np.repeat(self.runs.seed[per_run], self.runs.size[per_run]) >> np.uint64(32)
         ids = np.repeat(self.id[per_run], self.runs.size[per_run])
-        order = np.argsort(full, kind="stable")
-        key = full[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.full_keys = key[first]
+        order = np.lexsort((seed, full))
+        key, mark = full[order], seed[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]) if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        self.full_keys, self.full_marks = key[first], mark[first] << np.uint64(32)
         self.full_least = np.minimum.reduceat(ids[order], first) if len(key) else np.zeros(0, np.int64)
-        self.full_of = np.searchsorted(self.full_keys, full)
+        self.full_of = np.empty(len(key), np.int64)
+        self.full_of[order] = np.cumsum(fresh) - 1
 
 
 def least_documents(group: pa.Table, level: int) -> pa.Table:
@@ -203,16 +212,18 @@ def least_documents(group: pa.Table, level: int) -> pa.Table:
     sizes = group["n"].to_pylist()
     keys = np.concatenate([np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in group["keys"].to_pylist()])
     docs = np.concatenate([unplanes(x, "<i8") for x in group["docs"].to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    width = WIDTHS[level]
+    content = np.zeros((len(keys), 8), np.uint8)
+    content[:, 8 - width :] = np.frombuffer(b"".join(group["content"].to_pylist()), np.uint8).reshape(-1, width)
+    content = content.view(np.uint64).reshape(-1)
+    order = np.argsort(keys, kind="stable") if level == 1 else np.lexsort((content, keys))
+    ordered, content = keys[order], content[order]
+    differ = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(np.concatenate([[True], differ if level == 1 else differ | (content[1:] != content[:-1])]))
     count = np.diff(np.append(first, len(keys)))
     least = np.minimum.reduceat(docs[order], first)
     status = np.where(count > 1, 1, 0)
     if level == 1:
-        content = np.zeros((len(keys), 8), np.uint8)
-        content[:, :5] = np.frombuffer(b"".join(group["content"].to_pylist()), np.uint8).reshape(-1, 5)
-        content = content.view(np.uint64).reshape(-1)[order]
         low = np.minimum.reduceat(content, first)
         status = np.where((low == 0) | (low != np.maximum.reduceat(content, first)), 2, status)
     of = np.empty(len(keys), np.int64)
@@ -264,7 +275,7 @@ def substring_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_keys:
 
     def send_seeds(group: pa.Table) -> pa.Table:
         block = Block(group)
-        return block.send(parts, block.keys, block.content, block.least)
+        return block.send(parts, block.keys, block.content, WIDTHS[1], block.least)
 
     seeds = stored(by_block.applyInArrow(send_seeds, SENT).groupBy("part").applyInArrow(lambda group: least_documents(group, 1), BACK))
 
@@ -272,7 +283,7 @@ def substring_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_keys:
         block = Block(left)
         _, is_open = block.settle(right.to_pylist(), 1, parts, block.keys, block.least)
         block.open_windows(is_open)
-        return block.send(full_parts, block.full_keys, np.zeros(0, np.uint64), block.full_least)
+        return block.send(full_parts, block.full_keys, block.full_marks, WIDTHS[2], block.full_least)
 
     windows = by_block.cogroup(seeds.groupBy("block")).applyInArrow(send_windows, SENT)
     windows = stored(windows.groupBy("part").applyInArrow(lambda group: least_documents(group, 2), BACK))
