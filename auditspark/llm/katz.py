@@ -226,8 +226,8 @@ def send_pairs(left: pa.Table, right: pa.Table, word_parts: int, parts: int) ->
                 own = block.order[x:y]
                 size = np.bincount(sorted_entry[x:y] - a, minlength=b - a)
                 w = block.w[own]
-                short = block.words[w].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                rows.append((p, [int(b - a), int(y - x)], block.words[block.entry_u[a:b]].tobytes() + planes(size, "<u4"), short, planes(block.pair_learned[own], "<u4"), planes(counts[w], "<u8")))
+                next_words = block.words[w].tobytes()
+                rows.append((p, [int(b - a), int(y - x)], block.words[block.entry_u[a:b]].tobytes() + planes(size, "<u4"), next_words, planes(block.pair_learned[own], "<u4"), planes(counts[w], "<u8")))
         out.append(sent(block.name, rows))
     return pa.Table.from_batches(out)
 
@@ -240,9 +240,8 @@ def sum_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
     sizes = [unplanes(r["a"][8 * r["sizes"][0] :], "<u4").astype(np.int64) for r in rows]
     names, entry = np.unique(np.concatenate(contexts), return_inverse=True)
     u = np.repeat(entry, np.concatenate(sizes))
-    short = np.zeros((len(u), 8), np.uint8)
-    short[:, :6] = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8).reshape(-1, 6)
-    key = mix64(names[u] * np.uint64(0x9E3779B97F4A7C15) + short.view(np.uint64).reshape(-1)) if len(u) else np.zeros(0, np.uint64)
+    words = np.frombuffer(b"".join(r["b"] for r in rows), np.uint64)
+    key = mix64(names[u] * np.uint64(0x9E3779B97F4A7C15) + words) if len(u) else np.zeros(0, np.uint64)
     _, first, where = np.unique(key, return_index=True, return_inverse=True)
     total = np.bincount(where, np.concatenate([unplanes(r["c"], "<u4") for r in rows]), len(first)).astype(np.int64)
     own_u = u[first]

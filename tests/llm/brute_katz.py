@@ -7,9 +7,26 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 
-from auditspark.llm.katz import K, discounts
+K = 5
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Katz's discounts of counts 0 to K from n[r - 1] events seen r times, r up to K + 1: those that keep the discounted
+    mass in proportion to Good and Turing's, as d(r) = 1 - m (1 - (r + 1) n(r + 1) / (r n(r))) with the m that gives the
+    unseen the mass n(1); half a count where there are no such numbers."""
+    half = [1.0] + [(r - 0.5) / r for r in range(1, K + 1)]
+    if any(x <= 0 for x in n):
+        return half
+    unseen = 1 - (K + 1) * n[K] / n[0]
+    if unseen == 0:
+        return half
+    out = [1.0]
+    for r in range(1, K + 1):
+        d = 1 - (1 - (r + 1) * n[r] / (r * n[r - 1])) / unseen
+        out.append(d if 0 < d < 1 else half[r])
+    return out
+
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -24,8 +41,8 @@ def probabilities(learned: list[list[str]]):
     two = Counter(p for x in learned for p in zip([" start", *x], x))
     context = Counter(u for x in learned for u in [" start", *x[:-1]])
     n, v = sum(one.values()), len(one)
-    d1 = discounts(np.array([sum(c == r for c in one.values()) for r in range(1, K + 2)]))
-    d2 = discounts(np.array([sum(c == r for c in two.values()) for r in range(1, K + 2)]))
+    d1 = discounts([sum(c == r for c in one.values()) for r in range(1, K + 2)])
+    d2 = discounts([sum(c == r for c in two.values()) for r in range(1, K + 2)])
     d = lambda table, c: table[c] if c <= K else 1.0
     left = 1 - sum(d(d1, c) * c / n for c in one.values())
     scale, left = (1.0, left) if left > 1e-12 else (n / (n + 1), 1 / (n + 1))
