@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -308,11 +309,14 @@ def result_cache(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.min("analysis_id").alias("stored_id"), (F.count(F.lit(1)) - 1).alias("hit_count"), F.max("scanned_at").alias("last_at"))
 
 
-@query(""", gone AS (SELECT analysis_id FROM analyses WHERE repo_id % 10 = 3) SELECT f.* EXCLUDE (ord) FROM findings f WHERE analysis_id NOT IN (SELECT analysis_id FROM gone)""")
+@query(""", gone AS (SELECT analysis_id FROM analyses WHERE repo_id % 10 = 3) SELECT 'repositories' AS child, count(*) AS n, CAST(sum(repo_id) AS BIGINT) AS ids FROM repositories WHERE repo_id % 10 <> 3 UNION ALL SELECT 'analyses', count(*), CAST(sum(analysis_id) AS BIGINT) FROM analyses WHERE repo_id % 10 <> 3
+UNION ALL SELECT 'findings', count(*), CAST(sum(analysis_id) AS BIGINT) FROM findings WHERE analysis_id NOT IN (SELECT analysis_id FROM gone) UNION ALL SELECT 'cache', count(*), CAST(sum(analysis_id) AS BIGINT) FROM analyses WHERE status = 'completed' AND repo_id % 10 <> 3""")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
-    """Findings that are left when repositories whose id ends in 3 are deleted."""
-    gone = analyses(spark, d).where(F.col("repo_id") % 10 == 3).select("analysis_id")
-    return findings(spark, d).join(gone, "analysis_id", "left_anti").drop("ord")
+    """What is left of each table when repositories whose id ends in 3 are deleted with all that hangs on them."""
+    repos, scans = repositories(spark, d), analyses(spark, d)
+    tables = {"repositories": (repos, "repo_id"), "analyses": (scans, "analysis_id"), "findings": (findings(spark, d), "analysis_id"), "cache": (scans.where(F.col("status") == "completed").select("repo_id", "analysis_id"), "analysis_id")}
+    left = rel.cascade(repos.where(F.col("repo_id") % 10 == 3).select("repo_id"), {k: v for k, (v, _) in tables.items()}, scans.select("repo_id", "analysis_id"))
+    return reduce(DataFrame.unionByName, [left[k].agg(F.count(F.lit(1)).alias("n"), F.sum(key).cast("long").alias("ids")).select(F.lit(k).alias("child"), "n", "ids") for k, (_, key) in tables.items()])
 
 
 @query(""" SELECT analysis_id, repo_id, CASE WHEN repo_id % 7 = 0 THEN true WHEN repo_id % 7 = 1 THEN false ELSE is_deleted END AS is_deleted FROM analyses""")

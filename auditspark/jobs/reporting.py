@@ -29,11 +29,11 @@ def query(oracle: str | None, own: bool = False) -> Callable:
 
 
 @query(PATHS + """, own AS (SELECT s.*, p_size % 8 AS repo, CAST(p_retailprice * 500 AS BIGINT) AS size FROM seen s JOIN part ON p_partkey = file_id),
-f AS (SELECT repo, count(*) FILTER (starts_with(name, 'readme')) AS readmes, count(*) FILTER (is_test) AS tests, count(*) FILTER (type = 'source' AND NOT is_test) AS sources, count(*) FILTER (type = 'source' AND NOT is_test AND size > 512000) AS large FROM own WHERE NOT skip GROUP BY repo)
-SELECT repo, readmes, tests, sources, large, CAST(greatest(0, 100 - CASE WHEN readmes = 0 THEN 20 ELSE 0 END - CASE WHEN tests = 0 THEN 20 ELSE 0 END - least(15, 5 * large)) AS INTEGER) AS score FROM f""")
+f AS (SELECT repo, count(*) FILTER (starts_with(name, 'readme')) AS readmes, count(*) FILTER (is_test) AS tests, count(*) FILTER (type = 'source' AND NOT is_test) AS sources, count(*) FILTER (type = 'source' AND NOT is_test AND size > 512000) AS large, count(*) FILTER (type = 'source' AND NOT is_test AND regexp_matches(path, '(?i)\\b(auth|login|password|secret|key|token|db|database|config|credential|jwt|sign|verify)\\b')) AS hotspots FROM own WHERE NOT skip GROUP BY repo)
+SELECT repo, readmes, tests, sources, large, hotspots, CAST(greatest(0, 100 - CASE WHEN readmes = 0 THEN 20 ELSE 0 END - CASE WHEN tests = 0 THEN 20 ELSE 0 END - least(15, 5 * large)) AS INTEGER) AS score FROM f""")
 def repo_health(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), (F.col("p_size") % 8).alias("repo"), (F.col("p_retailprice") * 500).cast("long").alias("size"))
-    return health.repository_health(paths(spark, d).join(sizes, "file_id")).drop("hotspots")
+    return health.repository_health(paths(spark, d).join(sizes, "file_id"))
 
 
 def repo_findings(spark: SparkSession, d: str) -> DataFrame:

@@ -195,7 +195,8 @@ py AS (SELECT * FROM src WHERE {at(('app/main.py', 'core/util_§.py'))}), js AS
 f AS (SELECT repo, path, 'security' AS kind, 'Critical' AS severity FROM py, range(3) UNION ALL SELECT repo, path, 'security', 'High' FROM js
   UNION ALL SELECT repo, path, 'smell', 'Medium' FROM py UNION ALL SELECT repo, path, 'smell', 'Medium' FROM py UNION ALL SELECT repo, path, 'smell', 'Medium' FROM js WHERE {_N}
   UNION ALL SELECT repo, path, 'smell', 'Medium' FROM src WHERE {at(('web/components/list_§.jsx', 'scripts/tool_§.rb'))} AND {_N} UNION ALL SELECT repo, path, 'smell', 'Medium' FROM db UNION ALL SELECT repo, path, 'smell', 'High' FROM db
-  UNION ALL SELECT repo, path, 'smell', 'Medium' FROM (FROM py UNION ALL FROM db) WHERE {_DIGIT}),
+  UNION ALL SELECT repo, path, 'smell', 'Medium' FROM (FROM py UNION ALL FROM db) WHERE {_DIGIT}
+  UNION ALL SELECT repo, path, 'smell', 'Low' FROM py, range(2) UNION ALL SELECT repo, path, 'smell', 'Low' FROM src WHERE {at(('tests/test_server.py',))}),
 fn AS (SELECT *, line_end - line_start + 1 AS len, CASE WHEN complexity >= 10 OR line_end - line_start + 1 > 100 THEN 'Medium' ELSE 'Low' END AS severity FROM functions),
 todo AS (SELECT repo, path FROM py UNION ALL SELECT repo, path FROM src WHERE {at(('setup.py',))}),
 items AS (SELECT repo, 'security' AS category, severity, count(*) AS n, count(*) * CASE severity WHEN 'Critical' THEN 4.0 ELSE 3.0 END AS hours, min(path) AS file, count(*) || ' ' || severity || ' severity security finding(s) requiring remediation' AS title FROM f WHERE kind = 'security' GROUP BY repo, severity
@@ -210,14 +211,32 @@ items AS (SELECT repo, 'security' AS category, severity, count(*) AS n, count(*)
   UNION ALL SELECT repo, 'dependencies', 'Low', count(*), count(*) * 1.0, min(path), count(*) || ' outdated dependency(ies)' FROM classified WHERE status = 'outdated' GROUP BY repo)"""
 
 
-def debt_of(spark: SparkSession, d: str) -> DataFrame:
+def debt_inputs(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The six inputs of ``debt.items``."""
     own = repo_files(spark, d).where(~tree.is_ignored(F.col("path")))
     sources = tree.source_paths(own).select("repo", "file_id", "path", "content")
     pairs = clones.clone_report(sources, most=1 << 30).select("repo", F.col("path_a").alias("path"), "duplicated_lines")
     shown = complexity.reported(functions(spark, d), least=1, most=1 << 30)
     lines = sources.select("repo", "path", F.size(text.split_lines(F.col("content"))).alias("lines"))
     todos = rules.todo_markers(sources.select("repo", "file_id", "path", F.posexplode(text.split_lines(F.col("content"))).alias("line_no", "line")))
-    return debt.items(rules.scan(sources), pairs, shown, todos, lines, classified(spark, d), large_file=100)
+    return [rules.scan(sources), pairs, shown, todos, lines, classified(spark, d)]
+
+
+def debt_of(spark: SparkSession, d: str) -> DataFrame:
+    return debt.items(*debt_inputs(spark, d), large_file=100)
+
+
+@query(DEBT + """, gf AS (SELECT repo, count(*) FILTER (kind = 'security') AS security, count(*) FILTER (kind = 'security' AND severity = 'Critical') AS critical_security, count(*) FILTER (kind = 'security' AND severity = 'High') AS high_security, count(*) FILTER (kind = 'smell') AS smells FROM f GROUP BY repo),
+dep AS (SELECT repo, count(*) AS dependencies, count(*) FILTER (status = 'known_vulnerable') AS vulnerable FROM classified GROUP BY repo), cp AS (SELECT repo, CAST(3 AS BIGINT) AS duplicates FROM both_scripts), it AS (SELECT repo, count(*) AS debt FROM items GROUP BY repo), cx AS (SELECT repo, count(*) AS complexity FROM fn GROUP BY repo),
+nf AS (SELECT repo, count(*) AS files FROM src GROUP BY repo), av AS (SELECT repo, files, coalesce(security, 0) AS security, coalesce(critical_security, 0) AS critical_security, coalesce(high_security, 0) AS high_security, coalesce(smells, 0) AS smells, coalesce(dependencies, 0) AS dependencies, coalesce(vulnerable, 0) AS vulnerable,
+  coalesce(duplicates, 0) AS duplicates, coalesce(debt, 0) AS debt, coalesce(complexity, 0) AS complexity, CAST(0 AS BIGINT) AS high_complexity FROM nf LEFT JOIN gf USING (repo) LEFT JOIN dep USING (repo) LEFT JOIN cp USING (repo) LEFT JOIN it USING (repo) LEFT JOIN cx USING (repo))
+SELECT *, concat_ws(' ', 'The latest scan analyzed ' || files || ' file(s) and recorded ' || security || ' security finding(s), ' || smells || ' code smell(s), ' || dependencies || ' tracked dependenc(ies), ' || duplicates || ' duplicate code block(s), ' || debt || ' technical debt item(s), and ' || high_complexity || ' high-complexity function(s).',
+  CASE WHEN vulnerable > 0 THEN vulnerable || ' dependenc(y/ies) match known vulnerability advisories.' END, CASE WHEN critical_security + high_security > 0 THEN (critical_security + high_security) || ' security finding(s) are rated Critical or High and should be reviewed first.' END,
+  CASE WHEN security = 0 AND smells = 0 AND duplicates = 0 THEN 'The deterministic scanners reported no issues for this scan.' END) AS summary FROM av""")
+def repository_overview(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan counted in each repository, and the sentence on it."""
+    found, pairs, shown, todos, lines, packages = debt_inputs(spark, d)
+    return debt.overview(lines, found, pairs, shown, packages, debt.items(found, pairs, shown, todos, lines, packages, large_file=100))
 
 
 @query(DEBT + """ SELECT repo, category, severity, CAST(n AS BIGINT) AS n, round(hours, 1)::DOUBLE AS hours, file, title FROM items""")

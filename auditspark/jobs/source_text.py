@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions import text
-from auditspark.operators import clones, inventory
+from auditspark.operators import clones, inventory, tree
 from auditspark.sources.adapters import files, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,16 +129,11 @@ def explorer_tree(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("n.node", "n.depth").agg(F.count(F.lit(1)).alias("files")).select("node", "depth", F.lit(True).alias("is_dir"), "files")
 
 
-@query(PATHS + """, tests AS (SELECT DISTINCT p_size % 10 AS d, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM seen JOIN part ON p_partkey = file_id WHERE is_test),
-src AS (SELECT file_id, p_size % 10 AS d, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM seen JOIN part ON p_partkey = file_id WHERE type = 'source' AND NOT is_test)
-SELECT file_id, stem FROM src WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE regexp_replace(t.stem, '[0-9]+$|_spec.*$', '') = regexp_replace(src.stem, '[0-9]+$|_spec.*$', ''))""")
+@query(PATHS + """, st AS (SELECT *, regexp_replace(parse_filename(path, false, '/'), '\\.[^.]*$', '') AS stem FROM seen WHERE NOT skip)
+SELECT path FROM st s WHERE type = 'source' AND NOT is_test AND NOT EXISTS (SELECT 1 FROM st t WHERE t.is_test AND (contains(t.stem, s.stem) OR contains(s.stem, t.stem)))""")
 def missing_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Sources without a test of the same stem, numbers and test marks aside: an equality that hashes, where a containment
-    test would hold every source against every test."""
-    p = F.col("path")
-    stem = F.regexp_replace(inventory.basename(p), r"\.[^.]*$", "")
-    named = paths(spark, d).select("file_id", stem.alias("stem"), F.regexp_replace(stem, r"[0-9]+$|_spec.*$", "").alias("core"), inventory.is_test(p).alias("is_test"), inventory.file_type(p).alias("type"))
-    return named.where((F.col("type") == "source") & ~F.col("is_test")).join(named.where(F.col("is_test")).select("core").distinct(), "core", "left_anti").select("file_id", "stem")
+    """Sources whose stem contains no test's and is in none."""
+    return tree.untested_sources(paths(spark, d).withColumn("repo", F.lit(0))).select("path")
 
 
 @query(""", h AS (SELECT sha256(content) AS content_hash, repo, file_id, octet_length(encode(content)) AS size FROM files) SELECT content_hash, count(*) AS files, count(DISTINCT repo) AS repos, min(file_id) AS first_id, max(size) AS size FROM h GROUP BY 1""")
@@ -153,13 +148,13 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(LINES + r""", n AS (SELECT *, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent FROM lines WHERE stripped <> ''), depth AS (SELECT repo, file_id, line_no, CASE WHEN indent >= 4 THEN indent // 4 WHEN contains(line[:indent], chr(9)) THEN indent ELSE 0 END AS depth FROM n)
-SELECT repo, file_id, CAST(max(depth) AS INTEGER) AS depth, CAST(min(line_no) AS INTEGER) AS first_line, count(*) AS code_lines FROM depth GROUP BY ALL""")
+SELECT repo, file_id, CAST(max(depth) AS INTEGER) AS depth, CAST(arg_min(line_no, (-depth, line_no)) AS INTEGER) AS first_line, count(*) AS code_lines FROM depth GROUP BY ALL""")
 def nesting_by_file(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("line")
     indent = text.indent_of(line)
     depth = F.when(indent >= 4, F.floor(indent / 4)).when(F.substring(line, F.lit(1), indent).contains("\t"), indent).otherwise(0)
     rows = clones.numbered_lines(files(spark, d)).where(text.strip(line) != "")
-    return rows.groupBy("repo", "file_id").agg(F.max(depth).cast("int").alias("depth"), F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("code_lines"))
+    return rows.groupBy("repo", "file_id").agg(F.max(depth).cast("int").alias("depth"), F.min(F.struct((-depth).alias("back"), "line_no"))["line_no"].alias("first_line"), F.count(F.lit(1)).alias("code_lines"))
 
 
 @query(LINES + r""", m AS (SELECT repo, file_id, line_no, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(stripped, '"[^"]*"', '""', 'g'), '''[^'']*''', '''''', 'g'), '#[^#]*$', ''), '(?:^|[^A-Za-z_])(\d+\.?\d*)', 1) AS nums FROM lines WHERE NOT (stripped[1:1] IN ('#', '*') OR stripped[1:2] IN ('//', '--', '/*')))

@@ -83,3 +83,35 @@ def top_areas(rows: DataFrame, most: int = 5) -> DataFrame:
     """The files with the most effort."""
     by_file = rows.where(F.col("file").isNotNull()).groupBy("repo", "file").agg(F.round(F.sum("hours"), 1).alias("hours"))
     return by_file.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("hours"), "file"))).where(F.col("place") <= most)
+
+
+COUNTS = ("files", "security", "critical_security", "high_security", "smells", "dependencies", "vulnerable", "duplicates", "debt", "complexity", "high_complexity")
+
+
+def overview(files: DataFrame, findings: DataFrame, clones: DataFrame, functions: DataFrame, packages: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row for each repository: what the last scan counted, and a sentence on it. ``files`` are those analyzed (repo),
+    ``rows`` the debt items; the rest is as for ``items``. Each input is counted once and joined by repository."""
+    count = F.count_if
+    security, grade = F.col("kind") == "security", F.col("severity")
+    parts = [
+        findings.groupBy("repo").agg(count(security).alias("security"), count(security & (grade == "Critical")).alias("critical_security"), count(security & (grade == "High")).alias("high_security"), count(F.col("kind") == "code_smell").alias("smells")),
+        packages.groupBy("repo").agg(F.count(F.lit(1)).alias("dependencies"), count(F.col("status") == "known_vulnerable").alias("vulnerable")),
+        clones.groupBy("repo").agg(F.count(F.lit(1)).alias("duplicates")),
+        rows.groupBy("repo").agg(F.count(F.lit(1)).alias("debt")),
+        functions.groupBy("repo").agg(F.count(F.lit(1)).alias("complexity"), count(grade == "High").alias("high_complexity")),
+    ]
+    joined = files.groupBy("repo").agg(F.count(F.lit(1)).alias("files"))
+    for part in parts:
+        joined = joined.join(part, "repo", "left")
+    joined = joined.select("repo", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+    first = F.format_string(
+        "The latest scan analyzed %d file(s) and recorded %d security finding(s), %d code smell(s), %d tracked dependenc(ies), %d duplicate code block(s), %d technical debt item(s), and %d high-complexity function(s).",
+        "files", "security", "smells", "dependencies", "duplicates", "debt", "high_complexity",
+    )
+    severe = F.col("critical_security") + F.col("high_security")
+    more = [
+        F.when(F.col("vulnerable") > 0, F.format_string("%d dependenc(y/ies) match known vulnerability advisories.", "vulnerable")),
+        F.when(severe > 0, F.format_string("%d security finding(s) are rated Critical or High and should be reviewed first.", severe)),
+        F.when((F.col("security") == 0) & (F.col("smells") == 0) & (F.col("duplicates") == 0), F.lit("The deterministic scanners reported no issues for this scan.")),
+    ]
+    return joined.withColumn("summary", F.concat_ws(" ", first, *more))

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 SKIP_PARTS = ("node_modules", "dist", "build", ".git", "coverage", "package-lock.json", "yarn.lock", "pnpm-lock.yaml")
-BINARY = ".png .jpg .jpeg .gif .bmp .ico .webp .tiff .svg .zip .tar .gz .tgz .bz2 .rar .7z .xz .exe .dll .so .dylib .bin .o .a .lib .out .mp4 .mkv .avi .mov .flv .mp3 .wav .flac .ogg .ttf .otf .woff .woff2 .eot .pdf .doc .docx .xls .xlsx .ppt .pptx .db .sqlite .dat".split()
+BINARY = (
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".tiff", ".svg", ".zip", ".tar", ".gz", ".tgz", ".bz2", ".rar", ".7z", ".xz", ".exe",
+    ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".lib", ".out", ".mp4", ".mkv", ".avi", ".mov", ".flv", ".mp3", ".wav", ".flac", ".ogg", ".ttf",
+    ".otf", ".woff", ".woff2", ".eot", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".db", ".sqlite", ".dat",
+)
 LANGUAGES = {
     ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".cs": "C#", ".go": "Go", ".rb": "Ruby", ".php": "PHP",
     ".cpp": "C/C++", ".cc": "C/C++", ".c": "C/C++", ".h": "C/C++", ".hpp": "C/C++", ".rs": "Rust", ".kt": "Kotlin", ".swift": "Swift",
 }
 CONFIG = (".json", ".yaml", ".yml", ".ini", ".cfg", ".toml", ".xml", ".env")
 DOCS = (".md", ".txt", ".rst", ".adoc")
-EXCLUDED_DIRS = ".git node_modules venv .venv __pycache__ dist build coverage vendor env virtualenv site-packages .next .nuxt out target obj bin bower_components .terraform .idea .vscode storage .pytest_cache".split()
+EXCLUDED_DIRS = (
+    ".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", "coverage", "vendor", "env", "virtualenv", "site-packages", ".next",
+    ".nuxt", "out", "target", "obj", "bin", "bower_components", ".terraform", ".idea", ".vscode", "storage", ".pytest_cache",
+)
 
 
 def basename(path: Column) -> Column:

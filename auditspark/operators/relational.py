@@ -133,6 +133,12 @@ def oldest_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     return marked.withColumn("wins", place == 1)
 
 
+def cascade(gone: DataFrame, tables: dict[str, DataFrame], scans: DataFrame) -> dict[str, DataFrame]:
+    """The rows that stay when repositories are deleted: tables with a repository's id lose its rows, others those of its scans."""
+    dead = scans.join(gone, "repo_id", "left_semi").select("analysis_id")
+    return {name: df.join(gone, "repo_id", "left_anti") if "repo_id" in df.columns else df.join(dead, "analysis_id", "left_anti") for name, df in tables.items()}
+
+
 def append_missing(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Idempotent append: rows of ``fresh`` whose key is not stored yet."""
     return fresh.join(stored.select(key).distinct(), key, "left_anti")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditspark.functions import text
-from auditspark.operators import clones, complexity, dependencies, inventory, patches, relational, rules, scores
+from auditspark.operators import clones, complexity, dependencies, inventory, patches, relational, reports, rules, scores, service, tree
 from auditspark.streaming import events as ev
 
 
@@ -171,8 +171,108 @@ def test_rate_limit_batch_and_stream_as_a_plain_model(spark, tmp_path):
 def test_added_text_meets_all_rules(spark):
     code = "import json\nos.system(cmd)\npickle.loads(x)\nel.innerHTML = y\n@csrf_exempt\npassword = 'hunter2hunter2'\ndef f(a, b, c, d, e, g):\n    x = 37\n" + " " * 20 + "deep()\ncursor.execute('a' + b)\n@app.get('/x')\n"
     rows = spark.createDataFrame([(1, 1, "p.py", code), (1, 2, "q.py", "plain()\n")], "repo long, file_id long, path string, content string")
-    found = rules.added_findings(rows).collect()
+    found = rules.scan(rows).collect()
     assert {r["file_id"] for r in found} == {1}
     assert {"command_injection", "unsafe_deserialization", "xss", "csrf", "hardcoded_secrets", "sql_injection", "missing_authorization", "magic_number", "unused_import", "long_parameter_list", "deep_nesting"} <= {r["name"] for r in found}
     critical = sum(r["severity"] == "Critical" for r in found)
-    assert [r["security_impact"] for r in rules.impact(rules.added_findings(rows)).collect()] == [f"{critical} critical security pattern(s) detected in the added code."]
+    assert [r["security_impact"] for r in rules.impact(rules.scan(rows)).collect()] == [f"{critical} critical security pattern(s) detected in the added code."]
+
+
+def test_read_tree(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1\n")
+    (tmp_path / "README.md").write_text("# é")
+    rows = {r["path"]: r for r in tree.read_tree(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r["size"], r["content"]) for k, r in rows.items()} == {"src/a.py": (6, "x = 1\n"), "README.md": (4, "# é")}
+    assert {r["path"] for r in tree.read_tree(spark, str(tmp_path)).select("path").collect()} == set(rows)
+
+
+def test_fetch_limits(spark):
+    rows = [(1, "a.py", 300_000, "x"), (1, "b.py", 10, "1\n2\n3"), (1, "c.py", 5, " \n"), (1, "d.py", 20, "y"), (1, "build/e.py", 1, "z")]
+    df = spark.createDataFrame(rows, "repo long, path string, size long, content string")
+    assert [(r["path"], r["lines"]) for r in tree.fetched_sources(df, 1, most_lines=2).collect()] == [("b.py", ["1", "2"])]
+    assert {r["path"] for r in tree.fetched_sources(df).collect()} == {"b.py", "d.py"}
+
+
+def test_sinks(spark, tmp_path):
+    """Routed and sorted findings, CSV with quotes, snapshots that are appended once, outputs that fail alone."""
+    rows = [(1, "b.py", 2, "High", "security", 'say "x", y'), (1, "a.py", 9, "Low", "code_smell", "z"), (1, "a.py", 1, "Low", "security", "q"), (2, "c.py", 1, "Low", "style", "s")]
+    df = spark.createDataFrame(rows, "analysis_id long, file string, line int, severity string, category string, issue string")
+    reports.write_routed(df.coalesce(1), str(tmp_path / "routed"))
+    assert [r["file"] for r in spark.read.parquet(str(tmp_path / "routed/security_findings")).collect()] == ["a.py", "b.py"]
+    assert spark.read.parquet(str(tmp_path / "routed/code_smells")).count() == 1
+    reports.write_csv(df, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(str(tmp_path / "csv"))
+    assert back.columns == list(reports.HEADER) and {r["Issue"] for r in back.collect()} == {'say "x", y', "z", "q", "s"}
+    for _ in range(2):
+        reports.append_snapshots(df.select("analysis_id").distinct(), str(tmp_path / "snap"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "snap")).collect()) == [1, 2]
+    broken = df.select(F.raise_error(F.lit("no")).alias("x"))
+    status = reports.run_isolated({"good": df, "bad": broken, "last": df}, str(tmp_path / "out"))
+    assert status["good"] == status["last"] == "completed" and status["bad"].startswith("failed")
+
+
+def test_duplicate_guard_batch_and_stream(spark, tmp_path):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(1, "c", start + datetime.timedelta(seconds=s), s) for s in (0, 30, 59, 61, 100, 130)] + [(2, "c", start, 7)]
+    scans = spark.createDataFrame(rows, "repo long, commit string, ts timestamp, event_id long")
+    assert sorted(r["event_id"] for r in ev.guard_duplicates(scans, 60.0).collect()) == [0, 7, 61, 130]
+    scans.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(scans.schema).parquet(str(tmp_path / "in"))
+    query = ev.guard_duplicates(source, 60.0).writeStream.format("memory").queryName("guard").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r["repo"], r["commit"]) for r in spark.table("guard").collect()} == {(1, "c"), (2, "c")}
+
+
+def test_heartbeat_stream(spark, tmp_path):
+    import datetime
+    import time
+
+    start = datetime.datetime(2024, 1, 1)
+    batches = [[(1, start, False), (2, start, False), (3, start, True)], [(2, start + datetime.timedelta(seconds=1), True), (4, start + datetime.timedelta(seconds=60), True)], [(4, start + datetime.timedelta(seconds=61), True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "key long, ts timestamp, terminal boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    source = spark.readStream.schema("key long, ts timestamp, terminal boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    query = ev.heartbeat_stream(source).writeStream.format("memory").queryName("beats").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r["key"] for r in spark.table("beats").collect()} == {1}
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    assert one(spark, service.hmac_sha256(F.col("s"), b"k1"), s="body é") == hmac.new(b"k1", "body é".encode(), hashlib.sha256).hexdigest()
+
+
+def test_repository_names(spark):
+    cases = {"https://github.com/a/b.git": "a/b", "git@github.com:a/b": "a/b", "a/b": "a/b", "x": None, "": None, "https://h.org/p/q/r": "q/r"}
+    for url, name in cases.items():
+        assert one(spark, service.repository_name(F.col("s")), s=url) == name, url
+
+
+def test_rules_on_given_texts(spark):
+    """The scan of the given documents finds what single rules find."""
+    from auditspark.jobs import scans
+    from auditspark.sources.adapters import files
+
+    d = "/root/testdata/sf0.001"
+    own = files(spark, d).select("repo", "file_id", "path", "content")
+    found = scans.document_findings(spark, d).collect()
+    secrets = {(r["file_id"], r["line"], r["issue"]) for r in rules.hardcoded_secrets(own).collect()}
+    assert {(r["file_id"], r["line"], r["issue"]) for r in found if r["name"] == "hardcoded_secrets"} == secrets
+    expected = set()
+    for r in own.collect():
+        for rule in rules.RULES:
+            form = re.compile(rule.pattern)
+            expected |= {(r["file_id"], r["content"][: m.start()].count("\n") + 1, rule.name) for m in form.finditer(r["content"])}
+    names = {r.name for r in rules.RULES}
+    assert {(r["file_id"], r["line"], r["name"]) for r in found if r["name"] in names and r["issue"] != rules.LOOKING[0].issue and r["issue"] != rules.LOOKING[1].issue} == expected
+
+
+@pytest.mark.parametrize("code,ok,imports", [("import a.b\nx = 1", True, True), ("def f(:", False, True), ("", True, True)])
+def test_python_check(code, ok, imports):
+    assert service.python_check(code)[::2] == (ok, imports)
