@@ -53,13 +53,14 @@ def occurrences(text: Column, what: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("int")
 
 
-def match_lines(text: Column, pattern: str) -> Column:
-    """Line number, from 1, of the start of each match; the text is searched whole, matches may span lines.
+def match_lines(text: Column, pattern: str | Column) -> Column:
+    """Line number, from 1, of the start of each match; the text is searched whole, matches may span lines. The pattern may be
+    a column's.
 
     The text is cut at its matches once, and the line ends of the pieces are summed up in one fold."""
-    ends = lambda x: occurrences(x, "\n")
-    before = F.transform(F.split(text, pattern, -1), ends)
-    within = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), ends)
+    ends, form = lambda x: occurrences(x, "\n"), F.lit(pattern)
+    before = F.transform(F.split(text, form, -1), ends)
+    within = F.transform(F.regexp_extract_all(text, form, F.lit(0)), ends)
     steps = F.zip_with(before, within, lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
 
     def step(acc: Column, x: Column) -> Column:
@@ -67,7 +68,7 @@ def match_lines(text: Column, pattern: str) -> Column:
 
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
     numbers = F.aggregate(F.slice(steps, 1, F.size(within)), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), numbers).otherwise(F.array().cast("array<int>"))
+    return F.when(F.rlike(text, form), numbers).otherwise(F.array().cast("array<int>"))
 
 
 def mask_secrets(text: Column) -> Column:

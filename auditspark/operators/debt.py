@@ -16,56 +16,57 @@ LONG_FUNCTION, LARGE_FILE = 80, 500
 ITEM = ["repo", "category", "severity", "n", "hours", "file", "title"]
 
 
-def item(groups: DataFrame, category: str, weight: Column | str, severity: Column, title: Column, *keys: str) -> DataFrame:
-    """``groups`` has repo, n and file; ``weight`` names the hours of one of them."""
-    hours = F.lit(health.HOURS[weight]) if isinstance(weight, str) else weight
-    return groups.select("repo", F.lit(category).alias("category"), severity.alias("severity"), "n", F.round(hours * F.col("n"), 1).alias("hours"), "file", title.alias("title"))
-
-
 def counted(rows: DataFrame, *keys: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """repo, the keys, n and the first file; one pass over an input."""
     extra = [c.alias(k) for k, c in (more or {}).items()]
     return rows.groupBy("repo", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("file"), *extra)
 
 
-def said(form: str, *columns: str) -> Column:
-    return F.format_string(form, *columns)
+def chosen(key: Column, cases: dict[str, Column]) -> Column:
+    """The case that ``key`` names."""
+    out = None
+    for name, value in cases.items():
+        out = F.when(key == name, value) if out is None else out.when(key == name, value)
+    return out
+
+
+def item(groups: DataFrame, category: Column, weight: Column, severity: Column, title: Column) -> DataFrame:
+    return groups.select("repo", category.alias("category"), severity.alias("severity"), "n", F.round(weight * F.col("n"), 1).alias("hours"), "file", title.alias("title"))
 
 
 def items(findings: DataFrame, clones: DataFrame, functions: DataFrame, todos: DataFrame, lengths: DataFrame, packages: DataFrame, long_function: int = LONG_FUNCTION, large_file: int = LARGE_FILE) -> DataFrame:
-    """All items of all repositories.
+    """All items of all repositories; each input is read once.
 
     findings: repo, path, kind (security, code_smell), severity; clones: repo, path, duplicated_lines; functions: the
     reported ones, with repo, path, severity, length_lines; todos: repo, path, marker; lengths: repo, path, lines;
     packages: repo, path, status, severity."""
-    security = counted(findings.where(F.col("kind") == "security"), "severity")
-    grade = F.col("severity")
-    weight = F.when(grade == "Critical", health.HOURS["security_critical"]).when(grade == "High", health.HOURS["security_high"]).otherwise(health.HOURS["security_other"])
-    smells = findings.where(F.col("kind") == "code_smell")
-    major, minor = counted(smells.where(grade.isin("Critical", "High"))), counted(smells.where(grade == "Medium"))
-    copies = counted(clones, more={"lines": F.sum("duplicated_lines")})
-    high, medium = counted(functions.where(grade == "High")), counted(functions.where(grade == "Medium"))
-    marks = counted(todos)
-    large = lengths.where(F.col("lines") > large_file).groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.max_by("path", F.struct("lines", "path")).alias("file"))
-    first = F.min_by("severity", F.struct(severity_rank(grade), "path"))
-    vulnerable, outdated = counted(packages.where(F.col("status") == "known_vulnerable"), more={"worst": first}), counted(packages.where(F.col("status") == "outdated"))
+    hours, fixed, grade, kind = {k: F.lit(v) for k, v in health.HOURS.items()}, F.lit, F.col("severity"), F.col("item")
+    said = lambda form, *columns: F.format_string("%d " + form, "n", *columns)
     by_count = lambda high_at, medium_at: health.severity_from_counts(F.col("n"), high_at, medium_at)
-    fixed = F.lit
-    return reduce(
-        DataFrame.unionByName,
-        (
-            item(security, "security", weight, grade, said("%d %s severity security finding(s) requiring remediation", "n", "severity")),
-            item(major, "code_smells", "code_smell_major", fixed("High"), said("%d high-severity code smell(s)", "n")),
-            item(minor, "code_smells", "code_smell", fixed("Medium"), said("%d medium-severity code smell(s)", "n")),
-            item(copies, "duplication", "duplication", by_count(5, 2), said("%d duplicated code block(s) (~%d duplicated lines)", "n", "lines")),
-            item(high, "complexity", "complexity_high", fixed("High"), said("%d high-complexity function(s)", "n")),
-            item(medium, "complexity", "complexity_medium", fixed("Medium"), said("%d medium-complexity function(s)", "n")),
-            item(counted(functions.where(F.col("length_lines") > long_function)), "long_functions", "long_functions", fixed("Medium"), said("%d function(s) longer than " + str(long_function) + " lines", "n")),
-            item(marks, "unfinished_work", "todos", by_count(15, 5), said("%d TODO/FIXME/HACK marker(s) in source", "n")),
-            item(large, "large_files", "large_files", by_count(8, 3), said("%d source file(s) exceed " + str(large_file) + " lines", "n")),
-            item(vulnerable, "dependencies", "dependency_vulnerable", F.coalesce(F.nullif("worst", F.lit("")), F.lit("High")), said("%d dependency(ies) with known vulnerabilities", "n")),
-            item(outdated, "dependencies", "dependency_outdated", fixed("Low"), said("%d outdated dependency(ies)", "n")),
-        ),
-    )
+
+    smell = F.when(grade.isin("Critical", "High"), "major").when(grade == "Medium", "minor")
+    marked = findings.withColumn("item", F.when(F.col("kind") == "security", "security").otherwise(smell)).where(F.col("item").isNotNull())
+    found = counted(marked.withColumn("severity", chosen(kind, {"security": grade, "major": fixed("High"), "minor": fixed("Medium")})), "item", "severity")
+    risk = F.when(grade == "Critical", hours["security_critical"]).when(grade == "High", hours["security_high"]).otherwise(hours["security_other"])
+    titles = {"security": said("%s severity security finding(s) requiring remediation", "severity"), "major": said("high-severity code smell(s)"), "minor": said("medium-severity code smell(s)")}
+    scanned = item(found, F.when(kind == "security", "security").otherwise("code_smells"), chosen(kind, {"security": risk, "major": hours["code_smell_major"], "minor": hours["code_smell"]}), grade, chosen(kind, titles))
+
+    kinds = F.filter(F.array(F.when(grade == "High", "high"), F.when(grade == "Medium", "medium"), F.when(F.col("length_lines") > long_function, "long")), lambda x: x.isNotNull())
+    measured = counted(functions.withColumn("item", F.explode(kinds)), "item")
+    titles = {"high": said("high-complexity function(s)"), "medium": said("medium-complexity function(s)"), "long": said(f"function(s) longer than {long_function} lines")}
+    weights = {"high": hours["complexity_high"], "medium": hours["complexity_medium"], "long": hours["long_functions"]}
+    complex_ = item(measured, F.when(kind == "long", "long_functions").otherwise("complexity"), chosen(kind, weights), F.when(kind == "high", "High").otherwise("Medium"), chosen(kind, titles))
+
+    status, first = F.col("status"), F.min_by("severity", F.struct(severity_rank(grade), "path"))
+    dated = counted(packages.where(status.isin("known_vulnerable", "outdated")), "status", more={"worst": first})
+    vulnerable = status == "known_vulnerable"
+    declared = item(dated, fixed("dependencies"), F.when(vulnerable, hours["dependency_vulnerable"]).otherwise(hours["dependency_outdated"]), F.when(vulnerable, F.coalesce(F.nullif("worst", F.lit("")), F.lit("High"))).otherwise("Low"), F.when(vulnerable, said("dependency(ies) with known vulnerabilities")).otherwise(said("outdated dependency(ies)")))
+
+    copies = item(counted(clones, more={"lines": F.sum("duplicated_lines")}), fixed("duplication"), hours["duplication"], by_count(5, 2), said("duplicated code block(s) (~%d duplicated lines)", "lines"))
+    marks = item(counted(todos), fixed("unfinished_work"), hours["todos"], by_count(15, 5), said("TODO/FIXME/HACK marker(s) in source"))
+    long_files = lengths.where(F.col("lines") > large_file).groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.max_by("path", F.struct("lines", "path")).alias("file"))
+    large = item(long_files, fixed("large_files"), hours["large_files"], by_count(8, 3), said(f"source file(s) exceed {large_file} lines"))
+    return reduce(DataFrame.unionByName, (scanned, copies, complex_, marks, large, declared))
 
 
 def report(rows: DataFrame, category: str | None = None) -> DataFrame:

@@ -109,17 +109,15 @@ KEYS = ["repo", "file_id", "path"]
 def pattern_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """All matches of all rules; the same line and beginning of an issue counts once, by the first rule.
 
-    One pass over the files: each rule is an expression over the same text, and files that no rule hits make no row."""
-    content = F.col("content")
-
-    def hit(k: int, r: Rule) -> Column:
-        facts = [F.lit(v).alias(c) for c, v in (("rule", k), ("name", r.name), ("severity", r.severity), ("cwe", r.cwe), ("issue", r.issue))]
-        return F.transform(text.match_lines(content, r.pattern), lambda n: F.struct(n.alias("line"), *facts))
-
-    hits = [hit(k, r) for k, r in enumerate(rules)]
-    found = files.where(content.rlike("(?i)" + "|".join(f"(?:{r.pattern.removeprefix('(?i)')})" for r in rules))).select(*KEYS, F.explode(F.flatten(F.array(*hits))).alias("h")).select(*KEYS, "h.*")
-    place = F.row_number().over(Window.partitionBy(*KEYS, "line", F.substring("issue", 1, 60)).orderBy("rule"))
-    return found.withColumn("place", place).where(F.col("place") == 1).drop("place", "rule")
+    One pass over the files: a test of each rule on the text, and for the rules that hit, the lines of their matches."""
+    content, number = F.col("content"), F.col("k")
+    hits = F.filter(F.array(*[F.when(content.rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)]), lambda k: k.isNotNull())
+    facts = F.get(F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in ("name", "severity", "cwe", "issue", "pattern")]) for r in rules]), number)
+    any_hit = content.rlike("(?i)" + "|".join(f"(?:{r.pattern.removeprefix('(?i)')})" for r in rules))
+    found = files.where(any_hit).select(*KEYS, "content", F.explode(hits).alias("k")).select(*KEYS, "k", facts.alias("f"), "content")
+    lines = found.select(*KEYS, "k", "f", F.explode(text.match_lines(content, F.col("f.pattern"))).alias("line")).select(*KEYS, "line", "k", "f.name", "f.severity", "f.cwe", "f.issue")
+    place = F.row_number().over(Window.partitionBy(*KEYS, "line", F.substring("issue", 1, 60)).orderBy("k"))
+    return lines.withColumn("place", place).where(F.col("place") == 1).drop("place", "k")
 
 
 def near(lines: Column, number: Column, before: int, after: int) -> Column:
