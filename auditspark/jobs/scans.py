@@ -136,6 +136,8 @@ def commit_analysis(spark: SparkSession, d: str) -> DataFrame:
     return rules.impact(rules.scan(outside.added_text(spark, d)))
 
 
+#: What a patch adds is here the whole file, so these have the same rows.
+ORACLE["commit_findings"], ORACLE["commit_impact"] = ORACLE["scan_findings"], ORACLE["commit_analysis"]
 _AVERAGE = "CAST(trunc(avg({0})) AS INTEGER)"
 
 
