@@ -6,10 +6,11 @@ pseudo-random sequence until one is filled. (2) Equal sets are one class, repres
 classes go on. (3) In each bucket of two or more classes the class that shares most buckets is the centre; edges go from
 the centre to the others, so a bucket makes as many edges as it has members. (4) Edges are confirmed on the full sets
 of both texts, and confirmed links give components. (5) Where a bucket still holds several components, its members
-outside the centre's component are held, on full sets, against the members of other components whose sets can be similar
-enough, given how many of their shingles any other such document has. Any two linked classes that meet in a bucket are
-then in one component, though only links leave the comparison. Two sets with the least similarity, 0.75, miss each
-other in all bands with a probability of about 5e-6.
+outside the centre's component are held, on full sets, against the members of other components; members whose sets share
+too few shingles with all other such documents are left out first. Both sides of a bucket are dealt out in blocks of a
+bounded number of shingles, and a task holds two blocks against each other as rows of bits; the components that are
+linked leave it. Any two linked classes that meet in a bucket are then in one component. Two sets with the least
+similarity, 0.75, miss each other in all bands with a probability of about 5e-6.
 
 Defined results: null or empty text and text without words has an empty set and is linked with nothing; rows that share
 an id are one document; rows without an id link nothing but join the group of an equal set; empty tables give empty
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import bucketed, discard, mix64, raw_text, slices, stored, table, text_bytes, unused
@@ -32,6 +33,8 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Links have 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
+#: Shingles of a block of a bucket's members, about; what a member counts besides its shingles.
+BLOCK_SHINGLES, MEMBER = 1 << 15, 32
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 _BITS = np.uint64(64 - BINS.bit_length() + 1)
 _PROBES = (mix64(np.arange(BINS * 2048, dtype=np.uint64) + np.uint64(1 << 40)) % np.uint64(BINS)).astype(np.int64).reshape(2048, BINS)
@@ -121,7 +124,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest id reachable by ``links`` (a, b); ids without links are absent.
 
     Labels go along the links and then jump to their label's label until none changes."""
-    both = stored(links.union(links.select("b", "a")).toDF("node", "other").distinct())
+    both = links.union(links.select("b", "a")).toDF("node", "other")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
     while True:
         heard = both.join(labels.withColumnsRenamed({"node": "other", "component": "heard"}), "other").groupBy("node").agg(F.min("heard").alias("heard"))
@@ -138,8 +141,90 @@ def alike(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
+def rows_of_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Each sorted set as a row of bits, one for each value that two or more of the sets have."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sets)), sizes), times[column] > 1
+    column, row = (np.cumsum(times > 1) - 1)[column][common], row[common]
+    words = int((times > 1).sum()) // 64 + 1
+    bits = np.zeros((len(sets), words), np.uint64)
+    if len(row):
+        at = row * words + (column >> 6)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bits.reshape(-1)[at[first]] = np.bitwise_or.reduceat(np.uint64(1) << (column & 63).astype(np.uint64), first)
+    return bits
+
+
+def linked_components(numbers: np.ndarray, sets: list[np.ndarray]) -> set[tuple[int, int]]:
+    """Pairs of components with a link between a member of half 0 and one of half 1 or, where the block is held ``within``,
+    another of half 0. Columns of ``numbers``: half, within, n, component."""
+    half, within, n, component = numbers.T
+    bits = rows_of_bits(sets)
+    found = set()
+    for i in np.flatnonzero(half == 0).tolist():
+        against = half == 1
+        if within[i]:
+            against[i + 1 :] = True
+        near = np.flatnonzero(against & (component != component[i]) & (100 * np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i])))
+        shared = np.bitwise_count(bits[near] & bits[i]).sum(axis=1, dtype=np.int64)
+        linked = (100 + SIMILAR) * shared >= SIMILAR * (n[near] + n[i])
+        for other in np.unique(component[near[linked]]).tolist():
+            found.add((min(other, int(component[i])), max(other, int(component[i]))))
+    return found
+
+
+def hold_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: components linked by members that share a bucket, one of them outside the bucket's main component. ``placed``: key,
+    rep, n, component, main.
+
+    A bucket's outside and other members are dealt out in blocks by a hash of their ids. Each outside block a meets each
+    other block b (and itself, with the first of these) and each outside block after it, numbered after the others."""
+    out = F.col("component") != F.col("main")
+    weight = F.col("n") + MEMBER
+    blocks = [F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, weight)) / BLOCK_SHINGLES)).cast("int") for side in (out, ~out)]
+    totals = placed.groupBy("key").agg(F.count(F.when(out, 1)).alias("outside"), blocks[0].alias("outs"), blocks[1].alias("ins"))
+    dealt = placed.join(stored(totals.where(F.col("outside") > 0).drop("outside")), "key")
+    own = F.pmod(F.xxhash64("rep"), F.when(out, F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    dealt = dealt.select("key", "rep", "n", "component", "outs", "ins", out.alias("out"), own.alias("own"))
+
+    def place(a: Column, b: Column, half: Column) -> Column:
+        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), half.cast("int").alias("half"))
+
+    to_others = F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda b: place(F.col("own"), b, F.lit(0)))
+    further = F.filter(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: o != F.col("own"))
+    to_outside = F.transform(further, lambda o: place(F.least(o, "own"), F.col("ins") + F.greatest(o, "own"), (o < F.col("own")).cast("int")))
+    from_others = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda a: place(a, F.col("own"), F.lit(1)))
+    places = F.when(F.col("out"), F.concat(to_others, to_outside)).otherwise(from_others)
+    copies = dealt.withColumn("at", F.explode(places)).select("key", "at.*", (F.col("at.b") == 0).cast("int").alias("within"), "rep", "n", "component")
+    rows = copies.join(sets, "rep").select("key", "a", "b", "half", "within", "n", "component", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, numbers, held, found = None, [], [], set()
+        for batch in slices(batches):
+            at = np.stack([batch.column(c).to_numpy() for c in ("key", "a", "b")], axis=1)
+            sets = batch.column("shingles")
+            ends, values = sets.offsets.to_numpy() - sets.offsets[0].as_py(), sets.flatten().to_numpy().view(np.uint64)
+            columns = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("half", "within", "n", "component")], axis=1)
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for first, end in zip(starts[:-1], starts[1:]):
+                if last is None or (at[first] != last).any():
+                    if len(held) > 1:
+                        found |= linked_components(np.concatenate(numbers), held)
+                    last, numbers, held = at[first], [], []
+                numbers.append(columns[first:end])
+                held.extend(values[ends[i] : ends[i + 1]] for i in range(first, end))
+        if len(held) > 1:
+            found |= linked_components(np.concatenate(numbers), held)
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    groups = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
 def shared_sizes(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, shingles): the sets of these documents; (rep, common): how many shingles of each another one of them has too.
+    """(rep, shingles): the sets of these documents (``ids``, each at most BANDS times); (rep, common): how many shingles of each another one of them has too.
     No two of them have more in common than the smaller of their two numbers, which bounds their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +233,7 @@ def shared_sizes(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
             ends = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "shingles"])
 
-    texts = docs.select(F.col("id").alias("rep"), raw_text()).join(stored(ids), "rep", "left_semi")
+    texts = docs.select(F.col("id").alias("rep"), raw_text()).join(ids, "rep", "left_semi")
     sets = stored(texts.mapInArrow(run, "rep long, shingles array<long>"))
     one = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     alone = stored(one.where(F.col("rep") == F.col("last")).groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
@@ -157,47 +242,41 @@ def shared_sizes(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, component of all classes (rep, n, bands) that have links."""
+    """set_key, component_id of all classes (set_key, rep, n, bands)."""
     members = stored(classes.select("rep", "n", F.explode("bands").alias("key")))
     sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
     every, members = members, stored(members.join(sizes, "key"))
     discard(every)
-    shared = stored(members.groupBy("rep").agg(F.sum("size").alias("shared")))
-    centres = stored(members.join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("last"), "n")).alias("m")).select("key", (-F.col("m.last")).alias("centre"), F.col("m.n").alias("centre_n")))
-    star = members.join(centres, "key").where((F.col("rep") != F.col("centre")) & alike("n", "centre_n"))
-    links = confirm(stored(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()), docs)
-    found = components(links)
-
-    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = stored(named.select("key", "rep", "n", "component"))
-    mixed = stored(named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("key"))
-    open_members = stored(named.join(mixed, "key"))
-    main = stored(open_members.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"]).select("key", F.col("rep").alias("centre"), F.col("component").alias("main")))
-    placed = stored(open_members.join(main, "key"))
-    sets, common = shared_sizes(placed.select("rep").distinct(), docs)
+    shared = members.withColumn("shared", F.sum("size").over(Window.partitionBy("rep")))  # a class has at most BANDS rows
+    centres = stored(shared.groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("last"), "n")).alias("m")).select("key", (-F.col("m.last")).alias("centre"), F.col("m.n").alias("centre_n")))
+    placed = stored(members.join(centres, "key").select("key", "rep", "n", "centre", "centre_n"))
+    discard(members, centres)
+    star = placed.where((F.col("rep") != F.col("centre")) & alike("n", "centre_n"))
+    found = components(confirm(stored(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()), docs))
+
+    component = F.coalesce("component", "rep")
+    named = stored(placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "centre", component.alias("component")))
+    main = F.max(F.when(F.col("rep") == F.col("centre"), F.col("component"))).alias("main")
+    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), main)
+    mixed = stored(mixed.where(F.col("least") != F.col("most")).select("key", "main"))
+    opened = stored(named.join(mixed, "key"))
+    sets, common = shared_sizes(opened.select("rep"), docs)
     least = SIMILAR * F.col("n") <= 100 * F.col("common")  # else it is near none of them
-    placed = stored(placed.join(common, "rep").where(least & (F.col("rep") != F.col("centre"))))
-    outside = stored(placed.where(F.col("component") != F.col("main")))
-    inside = placed.join(stored(outside.select("key").distinct()), "key", "left_semi")
-    carried = ("rep", "n", "common", "component", "shingles")
-    rest = outside.join(sets, "rep").select("key", *[F.col(c).alias(f"{c}_b") for c in carried])
-    others = inside.join(sets, "rep").select("key", "main", *carried)
-    once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep_b"))
-    total = F.col("n") + F.col("n_b")
-    reach = (100 + SIMILAR) * F.least("common", "common_b") >= SIMILAR * total
-    exact = (100 + SIMILAR) * F.size(F.array_intersect("shingles", "shingles_b")) >= SIMILAR * total
-    pairs = others.join(rest, "key").where((F.col("component") != F.col("component_b")) & once & reach & exact)
-    more = stored(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())
-    discard(sets, placed, outside, open_members, named, members, centres)
-    return found if more.isEmpty() else components(links.union(more))
+    held = stored(opened.join(common, "rep").where(least & (F.col("rep") != F.col("centre"))).select("key", "rep", "n", "component", "main"))
+    links = stored(hold_blocks(held, sets))
+    discard(sets, held, opened, named, placed)
+    of_classes = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", component.alias("component_id"))
+    if links.isEmpty():
+        return of_classes
+    joined = components(links).select(F.col("node").alias("component_id"), "component")
+    return of_classes.join(joined, "component_id", "left").select("set_key", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def duplicates(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """As ``near_duplicates``; ``texts`` (id, text) are the rows with an id, bucketed by it."""
     signed = stored(sign(docs))
     classes = stored(signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    found = link_classes(classes, texts)
-    named = stored(classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
+    named = stored(link_classes(classes, texts))
     joined = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -264,8 +264,10 @@ def test_near_duplicates(spark, odd):
     assert sorted(map(key, result(spark, near_dedup, odd))) == sorted(map(key, groups(texts())))
 
 
-def test_near_duplicate_families(spark):
-    """A hub with copies that are near it, but not each other, and a chain."""
+@pytest.mark.parametrize("shingles", [near_dedup.BLOCK_SHINGLES, 300])
+def test_near_duplicate_families(spark, monkeypatch, shingles):
+    """A hub with copies that are near it, but not each other, and a chain; whole buckets, and buckets in many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(200)]
     rows = []
@@ -279,6 +281,24 @@ def test_near_duplicate_families(spark):
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect()) == sorted(groups(rows))
 
 
+@pytest.mark.parametrize("shingles", [near_dedup.BLOCK_SHINGLES, 200, 1])
+def test_blocks_of_a_bucket(spark, monkeypatch, shingles):
+    """Whatever the blocks, each outside member meets all members of other components in its bucket."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample(range(30 * (i % 3), 30 * (i % 3) + 34), rng.randint(20, 34))) for i in range(60)}
+    members = [(k, i, len(sets[i]), i % 3 + 3 * rng.randint(0, 4), 6 * k) for k in range(3) for i in range(60) if rng.random() < 0.7]
+    placed = spark.createDataFrame(members, "key long, rep long, n long, component long, main long")
+    found = near_dedup.hold_blocks(placed, spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>"))
+    expected = set()
+    for key, a, _, c, main in members:
+        for other, b, _, d, _ in members:
+            common = len(set(sets[a]) & set(sets[b]))
+            if key == other and c != main and c != d and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                expected.add((min(c, d), max(c, d)))
+    assert expected and sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
 def test_katz(spark, odd):
     expected = {repr(r[:5]): r[5:] for r in scores(texts())}
     found = result(spark, katz, odd)
