@@ -132,13 +132,16 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 def chosen(n: int, alone: int, times: np.ndarray) -> tuple[int, int]:
     """The level l of a set of n shingles whose first ``alone`` are nowhere else and whose others are in ``times`` sets, and
-    how many of the others its prefix has."""
-    need = -(-SIMILAR * n // 100)
+    how many of the others its prefix has.
+
+    The entries that a level reads are estimated for partners of the same size: those at places that leave room for the
+    overlap which such a pair needs."""
+    need, both = -(-SIMILAR * n // 100), -(-2 * SIMILAR * n // (100 + SIMILAR))
     level = np.arange(1, need + 1)
-    size = np.clip(n - need + level - alone, 0, len(times))
-    entries = np.concatenate([[0], np.cumsum(times - 1)])[size]
+    room = np.clip(n - both + level - alone, 0, len(times))
+    entries = np.concatenate([[0], np.cumsum(times - 1)])[room]
     best = int(np.argmin(entries * (1 + (VERIFY + n / VERIFY_SHINGLES) / level)))
-    return best + 1, int(size[best])
+    return best + 1, int(np.clip(n - need + best + 1 - alone, 0, len(times)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
