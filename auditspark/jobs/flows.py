@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditspark.operators import service
 from auditspark.sources.adapters import analyses, sql, table
 from auditspark.streaming import events as ev
+from auditspark.streaming import stateful, webhooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +26,24 @@ def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
     return ev.limited(keyed(spark, d), 3, 3600.0)
 
 
+def reset_throttle(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to reset a password, the clicks of an account: three in a quarter of an hour pass."""
+    clicks = keyed(spark, d).where(F.col("event_type") == "click")
+    return ev.limited(clicks.withColumn("key", F.col("key") % 4), ev.RESETS, ev.RESET_WINDOW_S)
+
+
+def scan_events(spark: SparkSession, d: str) -> DataFrame:
+    """Starts and ends of scans: each event starts one, which ends after a while, errors without a result."""
+    begun = table(spark, d, "events").select((F.col("user_id") % 40).alias("repo"), (F.col("event_id") % 3).alias("commit"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("scan"), (F.col("event_type") != "error").alias("good"))
+    ended = begun.withColumn("at", F.col("at") + 600 + F.col("scan") * 7919 % 9000).withColumn("ended", F.lit(True))
+    return begun.withColumn("ended", F.lit(False)).unionByName(ended)
+
+
+def in_flight_guard(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each scan where others of its content run: an hour of waiting, two until a scan counts as lost."""
+    return stateful.guarded(scan_events(spark, d), 3600.0, 7200.0)
+
+
 def progress_throttle(spark: SparkSession, d: str) -> DataFrame:
     return ev.throttled(keyed(spark, d), 1800.0)
 
@@ -45,6 +64,37 @@ def webhook_routing(spark: SparkSession, d: str) -> DataFrame:
     return ev.route_webhooks(hooks, repos).select("event_id", "repo_name", "kind", "starts")
 
 
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Webhook deliveries with JSON bodies and signatures, some broken, of the repositories of ``connected``."""
+    n, text = F.col("event_id"), lambda x: F.lit(x)
+    event = F.when(n % 5 == 4, "ping").when(n % 5 == 3, "issues").when(n % 2 == 0, "push").otherwise("pull_request")
+    action = F.when(n % 3 == 0, "opened").when(n % 3 == 1, "closed").otherwise("synchronize")
+    name = F.concat(text("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
+    parts = [text('{"action":"'), action, text('","ref":"refs/heads/'), F.when(n % 4 == 0, "dev").otherwise("main"), text('","repository":{"full_name":"'), F.when(n % 19 == 0, "").otherwise(name), text('"},"pull_request":{"number":')]
+    parts += [(n % 50).cast("string"), text(',"head":{"sha":"h'), n.cast("string"), text('"},"user":{"login":"u'), F.col("user_id").cast("string"), text('"}}}')]
+    body = F.when(n % 11 == 0, '{"action": broken').otherwise(F.concat(*parts))
+    signature = F.when(n % 13 == 0, None).when(n % 17 == 0, "sha256=00").otherwise(F.concat(text("sha256="), service.hmac_sha256(F.col("body"), SECRET)))
+    rows = table(spark, d, "events").select(n.cast("string").alias("delivery_id"), "event_id", event.alias("event"), body.alias("body"), F.col("ts").cast("timestamp").alias("received"))
+    return rows.withColumn("signature", signature)
+
+
+def connected(spark: SparkSession, d: str) -> DataFrame:
+    known = F.when(F.col("c_mktsegment") == "BUILDING", None).otherwise(F.col("c_mktsegment") != "MACHINERY")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_name").alias("name"), F.lit("main").alias("default_branch"), known.alias("is_connected"))
+
+
+def webhook_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What each delivery starts, or why it starts nothing."""
+    found = webhooks.outcomes(deliveries(spark, d), connected(spark, d), SECRET)
+    return found.select("delivery_id", "event", "outcome", F.when(F.col("outcome").isin("review", "scan"), F.col("repo_id")).alias("repo_id"))
+
+
+def webhook_pulls(spark: SparkSession, d: str) -> DataFrame:
+    """The pull requests that deliveries have made, as first seen and with their last commits."""
+    found = webhooks.outcomes(deliveries(spark, d), connected(spark, d), SECRET)
+    return webhooks.newest_pulls(found.where(F.col("outcome") == "review"))
+
+
 def dead_letter_replay(spark: SparkSession, d: str) -> DataFrame:
     """Failed events by their JSON argument: how often each is due for replay, and the last one."""
     rows = table(spark, d, "events").where(F.col("event_type") == "error")
@@ -84,7 +134,13 @@ def webhook_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 SECRET = b"example-key"
-QUERIES = {f.__name__: f for f in (rate_limit_decisions, progress_throttle, monotone_counters, webhook_routing, dead_letter_replay, duplicate_scans, dead_letter_retry, progress_heartbeats, webhook_signatures)}
+QUERIES = {f.__name__: f for f in (rate_limit_decisions, reset_throttle, in_flight_guard, webhook_outcomes, webhook_pulls, progress_throttle, monotone_counters, webhook_routing, dead_letter_replay, duplicate_scans, dead_letter_retry, progress_heartbeats, webhook_signatures)}
+_HOOKS = """WITH h AS (SELECT event_id AS n, user_id, ts, CASE WHEN event_id % 5 = 4 THEN 'ping' WHEN event_id % 5 = 3 THEN 'issues' WHEN event_id % 2 = 0 THEN 'push' ELSE 'pull_request' END AS event FROM events),
+o AS (SELECT h.*, c_custkey, CASE WHEN n % 13 = 0 THEN 'signature missing' WHEN n % 17 = 0 THEN 'signature mismatch' WHEN n % 11 = 0 THEN 'invalid body' WHEN event = 'ping' THEN 'pong'
+  WHEN event = 'issues' OR (event = 'pull_request' AND n % 3 = 1) THEN 'ignored' WHEN n % 19 = 0 OR (event = 'pull_request' AND n % 50 = 0) THEN 'incomplete' WHEN c_custkey IS NULL THEN 'not connected'
+  WHEN event = 'pull_request' THEN 'review' WHEN n % 4 <> 0 THEN 'scan' ELSE 'ignored' END AS outcome
+  FROM h LEFT JOIN customer ON c_name = 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AND c_mktsegment <> 'MACHINERY')
+"""
 #: Events of a key in order, with seconds; and the same events of a pair of repository and commit.
 ORDERED = "WITH RECURSIVE e AS (SELECT user_id % 40 AS key, epoch_us(ts) / 1e6 AS t, event_id, event_type = 'error' AS terminal, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS rn FROM events)"
 _PADS = ["".join(f"\\x{b ^ x:02X}" for b in SECRET.ljust(64, b"\0")) for x in (0x36, 0x5C)]
@@ -92,6 +148,27 @@ ORACLE = {
     "rate_limit_decisions": ORDERED + """, r AS (SELECT key, rn, t, event_id, [t] AS held, true AS admitted FROM e WHERE rn = 1
 UNION ALL SELECT key, rn, t, event_id, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3 FROM (SELECT e.key, e.rn, e.t, e.event_id, list_filter(r.held, lambda h: e.t - h < 3600.0) AS f FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
 SELECT key, t AS "at", event_id, admitted FROM r""",
+    "webhook_outcomes": _HOOKS + "SELECT CAST(n AS VARCHAR) AS delivery_id, event, outcome, CASE WHEN outcome IN ('review', 'scan') THEN c_custkey END AS repo_id FROM o",
+    "webhook_pulls": _HOOKS + """SELECT c_custkey AS repo_id, n % 50 AS number, 'PR #' || (n % 50) AS title, 'u' || min(user_id) AS author, 'h' || arg_max(n, (ts, CAST(n AS VARCHAR))) AS head_sha, '' AS base_sha FROM o WHERE outcome = 'review' GROUP BY ALL""",
+    "reset_throttle": """WITH RECURSIVE e AS (SELECT user_id % 40 % 4 AS key, epoch_us(ts) / 1e6 AS t, event_id, row_number() OVER (PARTITION BY user_id % 40 % 4 ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click'),
+r AS (SELECT key, rn, t, event_id, [t] AS held, true AS admitted FROM e WHERE rn = 1
+UNION ALL SELECT key, rn, t, event_id, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3 FROM (SELECT e.key, e.rn, e.t, e.event_id, list_filter(r.held, lambda h: e.t - h < 900) AS f FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
+SELECT key, t AS "at", event_id, admitted FROM r""",
+    "in_flight_guard": """WITH RECURSIVE b AS (SELECT user_id % 40 AS repo, event_id % 3 AS c, epoch_us(ts) / 1e6 AS t, event_id AS scan, event_type <> 'error' AS good FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY repo, c ORDER BY t, ended DESC, scan) AS rn, count(*) OVER (PARTITION BY repo, c) AS n FROM (SELECT *, false AS ended FROM b UNION ALL SELECT repo, c, t + 600 + scan * 7919 % 9000, scan, good, true FROM b)),
+r AS (SELECT repo, c, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS holder, CAST([] AS STRUCT(s BIGINT, t DOUBLE)[]) AS run, CAST([] AS STRUCT(s BIGINT, t DOUBLE)[]) AS wait, CAST([] AS STRUCT(s BIGINT, o VARCHAR, t DOUBLE, r BIGINT)[]) AS said FROM b GROUP BY repo, c
+UNION ALL SELECT repo, c, rn,
+  CASE WHEN ended THEN nullif(holder, scan) ELSE coalesce(holder, scan) END,
+  CASE WHEN ended THEN list_filter(run, lambda x: x.s <> scan) WHEN holder IS NULL THEN list_append(run, {'s': scan, 't': t}) ELSE run END,
+  CASE WHEN ended THEN CASE WHEN good AND runs THEN [] ELSE wait END WHEN holder IS NULL THEN wait ELSE list_append(wait, {'s': scan, 't': t + 3600}) END,
+  list_concat(list_transform(due, lambda x: {'s': x.s, 'o': 'scans after waiting', 't': x.t, 'r': CAST(NULL AS BIGINT)}),
+    CASE WHEN ended THEN CASE WHEN good AND runs THEN list_transform(wait, lambda x: {'s': x.s, 'o': 'reuses', 't': t, 'r': scan}) ELSE [] END
+      WHEN holder IS NULL THEN [{'s': scan, 'o': 'scans', 't': t, 'r': CAST(NULL AS BIGINT)}] ELSE [] END,
+    CASE WHEN rn < n THEN [] ELSE list_transform(CASE WHEN ended AND good AND runs THEN [] WHEN ended OR holder IS NULL THEN wait ELSE list_append(wait, {'s': scan, 't': t + 3600}) END, lambda x: {'s': x.s, 'o': 'scans after waiting', 't': x.t, 'r': CAST(NULL AS BIGINT)}) END)
+  FROM (SELECT *, len(list_filter(run, lambda x: x.s = scan)) > 0 AS runs, CASE WHEN len(list_filter(run, lambda x: x.s = held)) > 0 THEN held END AS holder FROM (
+    SELECT e.repo, e.c, e.rn, e.n, e.t, e.scan, e.good, e.ended, r.holder AS held, list_filter(r.wait, lambda x: x.t <= e.t) AS due, list_filter(r.wait, lambda x: x.t > e.t) AS wait,
+      list_filter(list_concat(r.run, list_filter(r.wait, lambda x: x.t <= e.t)), lambda x: e.t - x.t < 7200) AS run FROM r JOIN e ON e.repo = r.repo AND e.c = r.c AND e.rn = r.rn + 1)))
+SELECT repo, c AS "commit", x.s AS scan, x.o AS outcome, x.t AS "at", x.r AS result_of FROM (SELECT repo, c, unnest(said) AS x FROM r)""",
     "progress_throttle": ORDERED + """, r AS (SELECT key, rn, t, event_id, t AS last, true AS written FROM e WHERE rn = 1
 UNION ALL SELECT e.key, e.rn, e.t, e.event_id, CASE WHEN e.terminal OR e.t - r.last >= 1800.0 THEN e.t ELSE r.last END, e.terminal OR e.t - r.last >= 1800.0 FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
 SELECT key, t AS "at", event_id, written FROM r""",

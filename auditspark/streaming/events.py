@@ -2,7 +2,7 @@
 
 The stateful rules are plain functions over one key's ordered events. ``limited`` and ``throttled`` run them as batch jobs over
 a key's events in time order; ``limit_stream`` and ``throttle_stream`` run the same functions in Structured Streaming,
-where what a key keeps is its state.
+where what a key keeps is its state, until it no longer matters.
 """
 
 from __future__ import annotations
@@ -14,8 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from auditspark.streaming import stateful
+
 #: Requests in a window of seconds; seconds between writes of one scan's progress.
 LIMIT, WINDOW_S, WRITE_S = 300, 60.0, 1.0
+#: Resets of a password in a window of seconds.
+RESETS, RESET_WINDOW_S = 3, 900.0
+#: How much later than others an event of a stream may come, in seconds.
+LATE_S = 10.0
 
 
 def admit(times: Iterable[float], held: list[float], limit: int, window_s: float) -> tuple[list[bool], list[float]]:
@@ -72,31 +78,24 @@ def throttled(events: DataFrame, every_s: float = WRITE_S) -> DataFrame:
     return ordered.select("key", "at", "event_id", "terminal").mapInPandas(run, "key long, at double, event_id long, written boolean")
 
 
-def limit_stream(events: DataFrame, limit: int = LIMIT, window_s: float = WINDOW_S) -> DataFrame:
-    """As ``limited`` on a stream: a key's state is the list of times that it holds."""
+def limit_stream(events: DataFrame, limit: int = LIMIT, window_s: float = WINDOW_S, clock: str = "event", late_s: float = LATE_S) -> DataFrame:
+    """As ``limited`` on a stream: a key's state is the list of times that it holds, and ends when the last is past."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        own = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        ok, held = admit(own["at"], held, limit, window_s)
-        state.update((held,))
-        yield own[["key", "at", "event_id"]].assign(admitted=ok)
+    def decide(own: pd.DataFrame, held: list[float] | None) -> tuple:
+        ok, held = admit(own["at"], list(held or []), limit, window_s)
+        return ok, held or None, held[-1] + window_s if held else 0.0
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, at double, event_id long, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stateful.decided(events, decide, "held array<double>", "admitted", window_s, clock, late_s)
 
 
-def throttle_stream(events: DataFrame, every_s: float = WRITE_S) -> DataFrame:
-    """As ``throttled`` on a stream: a key's state is the time of its last write."""
+def throttle_stream(events: DataFrame, every_s: float = WRITE_S, clock: str = "event", late_s: float = LATE_S) -> DataFrame:
+    """As ``throttled`` on a stream: a key's state is the time of its last write, and ends when any event would be written."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        own = pd.concat(list(frames)).sort_values(["at", "event_id"])
+    def decide(own: pd.DataFrame, last: float | None) -> tuple:
         ok, last = throttle(own["at"], own["terminal"], last, every_s)
-        if last is not None:
-            state.update((last,))
-        yield own[["key", "at", "event_id"]].assign(written=ok)
+        return ok, last, last + every_s
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, at double, event_id long, written boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+    return stateful.decided(events, decide, "last double", "written", every_s, clock, late_s)
 
 
 def guard_duplicates(scans: DataFrame, delay_s: float = 60.0) -> DataFrame:
