@@ -57,6 +57,24 @@ def clone_pairs(spark: SparkSession, d: str) -> DataFrame:
     return clones.clone_pairs(files(spark, d))
 
 
+#: Windows that always follow each other, by counts of neighbours: a row for each place of a class.
+RUNS = WINDOWS + """, e AS (SELECT *, lag(token_hash) OVER (PARTITION BY repo, file_id ORDER BY pos) AS before FROM windows), n AS (SELECT repo, token_hash, count(*) AS n, count(DISTINCT file_id) AS files FROM windows GROUP BY ALL),
+inner_ AS (SELECT e.repo, e.before, e.token_hash FROM e JOIN n x ON x.repo = e.repo AND x.token_hash = e.before JOIN n y ON y.repo = e.repo AND y.token_hash = e.token_hash GROUP BY ALL HAVING count(*) = any_value(x.n) AND count(*) = any_value(y.n)),
+placed AS (SELECT e.*, sum(CASE WHEN i.before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY e.repo, e.file_id ORDER BY e.pos) AS run FROM e JOIN n ON n.repo = e.repo AND n.token_hash = e.token_hash AND n.files > 1
+  LEFT JOIN inner_ i ON i.repo = e.repo AND i.before = e.before AND i.token_hash = e.token_hash),
+runs AS (SELECT repo, arg_min(token_hash, pos) AS clone, file_id, min(pos) AS pos, min(start_line) AS start_line, max(end_line) AS end_line, count(*) + 5 AS lines FROM placed GROUP BY repo, file_id, run)"""
+
+
+@query(RUNS + " SELECT * FROM runs")
+def clone_members(spark: SparkSession, d: str) -> DataFrame:
+    return clones.clone_runs(files(spark, d))
+
+
+@query(RUNS + " SELECT repo, clone, any_value(lines) AS lines, count(*) AS places, count(DISTINCT file_id) AS files, min(file_id) AS first_file, arg_min(start_line, (file_id, start_line)) AS first_line FROM runs GROUP BY repo, clone")
+def clone_classes(spark: SparkSession, d: str) -> DataFrame:
+    return clones.clone_classes(clones.clone_runs(files(spark, d)))
+
+
 @query(WINDOWS + " SELECT repo, token_hash, count(DISTINCT file_id) AS files, count(*) AS places FROM windows GROUP BY repo, token_hash HAVING count(DISTINCT file_id) > 1")
 def clone_groups(spark: SparkSession, d: str) -> DataFrame:
     return clones.clone_groups(files(spark, d))

@@ -1,8 +1,8 @@
 """Clone detection over lines: windows of normalised lines, and matches that run on from them.
 
 A window that many files share would make pairs with the square of its files. ``clone_pairs`` is the report of the pairs
-as such; ``clone_groups`` has one row for each shared window with its files counted, and ``file_clones`` one row for each
-file, so these grow with the input.
+as such; ``clone_runs`` has one row for each place of a class of clones, ``clone_groups`` one for each shared window with
+its files counted, and ``file_clones`` one for each file, so these grow with the input.
 """
 
 from __future__ import annotations
@@ -90,6 +90,37 @@ def clone_report(files: DataFrame, least_similarity: int = 50, most: int = 60, s
     return joined.select("repo", "place", "path_a", "path_b", "start_line_a", F.element_at(own, -1)["line_no"].alias("end_line_a"), "start_line_b", "duplicated_lines", "similarity", "token_hash", snippet.alias("snippet"), "total", "total_lines")
 
 
+def clone_runs(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """repo, clone, file_id, pos, start_line, end_line, lines: where each class of clones stands.
+
+    A class is a longest run of windows that different files share and that always follow each other: wherever one of
+    them stands, the whole run does. ``clone`` is the hash of its first window, ``lines`` its normalised lines. A place
+    is one row, so n copies of a file give n rows for each run, not one for each pair. Hot windows are counted before
+    the shuffle; whether a window always follows another is known from the least and greatest of its neighbours."""
+    own = Window.partitionBy("repo", "file_id").orderBy("pos")
+    before, after = F.lag("token_hash").over(own).alias("before"), F.lead("token_hash").over(own).alias("after")
+    made = windows(files, min_lines).select("*", before, after)
+    ends = [f(c).alias(f"{c}_{name}") for c in ("before", "after") for name, f in (("low", F.min), ("high", F.max), ("n", F.count))]
+    known = made.groupBy("repo", "token_hash").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.count(F.lit(1)).alias("n"), *ends)
+    shared = known.where(F.col("low") < F.col("high"))
+    always = lambda c: F.when((F.col(f"{c}_low") == F.col(f"{c}_high")) & (F.col(f"{c}_n") == F.col("n")), F.col(f"{c}_low"))
+    followed = shared.select("repo", F.col("token_hash").alias("before"), always("after").alias("token_hash")).where(F.col("token_hash").isNotNull())
+    inner = shared.select("repo", "token_hash", always("before").alias("before")).join(followed, ["repo", "token_hash", "before"])
+    marks = shared.select("repo", "token_hash").join(inner.select("repo", "token_hash", F.lit(False).alias("first")), ["repo", "token_hash"], "left")
+    placed = made.select("repo", "file_id", "pos", "start_line", "end_line", "token_hash").join(marks, ["repo", "token_hash"])
+    run = placed.withColumn("run", F.count(F.when(F.coalesce("first", F.lit(True)), 1)).over(own))
+    place = F.struct("pos", "start_line", "token_hash")
+    runs = run.groupBy("repo", "file_id", "run").agg(F.min(place).alias("p"), F.max("end_line").alias("end_line"), (F.count(F.lit(1)) + (min_lines - 1)).alias("lines"))
+    return runs.select("repo", F.col("p.token_hash").alias("clone"), "file_id", F.col("p.pos").alias("pos"), F.col("p.start_line").alias("start_line"), "end_line", "lines")
+
+
+def clone_classes(runs: DataFrame) -> DataFrame:
+    """repo, clone, lines, places, files, first_file, first_line of each class of ``clone_runs``; its first place stands for it."""
+    first = F.min(F.struct("file_id", "start_line")).alias("p")
+    made = runs.groupBy("repo", "clone").agg(F.first("lines").alias("lines"), F.count(F.lit(1)).alias("places"), F.count_distinct("file_id").alias("files"), first)
+    return made.select("repo", "clone", "lines", "places", "files", F.col("p.file_id").alias("first_file"), F.col("p.start_line").alias("first_line"))
+
+
 def clone_groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """repo, token_hash, files, places: one row for each window that different files share."""
     return windows(files, min_lines).groupBy("repo", "token_hash").agg(F.count_distinct("file_id").alias("files"), F.count(F.lit(1)).alias("places")).where(F.col("files") > 1)
