@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.functions import text
-from auditspark.operators import complexity, dependencies, patches
+from auditspark.operators import complexity, dependencies, patches, segments
 from auditspark.sources.adapters import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,14 +26,15 @@ def query(oracle: str | None) -> Callable:
 
 
 def patch_table(spark: SparkSession, d: str) -> DataFrame:
-    """A patch for each user: a hunk for each fifteen events in time, and a line for each event."""
-    events = table(spark, d, "events")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    """The lines (patch_id, pos, line) of a patch for each user: a hunk for each fifteen events in time, a line for each event."""
     sign = F.when(F.col("event_type") == "click", "+").when(F.col("event_type") == "error", "-").when(F.col("event_type") == "view", "+").otherwise(" ")
-    rows = events.withColumn("n", place - 1).withColumn("text", F.concat(sign, F.lit("line "), F.col("event_id").cast("string")))
-    start = (F.col("n") * 4 + 10).cast("string")
-    full = F.when(F.col("n") % 15 == 0, F.concat(F.lit("@@ -"), start, F.lit(",15 +"), start, F.lit(",15 @@ part\n"), F.col("text"))).otherwise(F.col("text"))
-    return rows.groupBy(F.col("user_id").alias("patch_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", full.alias("t")))), lambda x: x["t"]), "\n").alias("patch"))
+    own = table(spark, d, "events").select(F.col("user_id").alias("patch_id"), "ts", "event_id", F.concat(sign, F.lit("line "), F.col("event_id").cast("string")).alias("line"))
+    n, part = F.col("n"), F.floor(F.col("n") / 15)
+    start = (n * 4 + 10).cast("string")
+    header = F.concat(F.lit("@@ -"), start, F.lit(",15 +"), start, F.lit(",15 @@ part"))
+    shown = F.struct((n + part + 1).alias("pos"), "line")
+    rows = F.when(n % 15 == 0, F.array(F.struct((n + part).alias("pos"), header.alias("line")), shown)).otherwise(F.array(shown))
+    return segments.positions(own, ["patch_id"], ["ts", "event_id"]).select("patch_id", F.explode(rows).alias("r")).select("patch_id", "r.*")
 
 
 PATCH = """WITH e AS (SELECT user_id AS patch_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
@@ -50,7 +51,7 @@ def patch_modified_lines(spark: SparkSession, d: str) -> DataFrame:
 SELECT t.patch_id, CAST(target AS INTEGER) AS target, CAST(coalesce(min(n + 2 + part), -1) AS INTEGER) AS position FROM t LEFT JOIN numbered m ON m.patch_id = t.patch_id AND m.number = target AND sign <> '-' GROUP BY ALL""")
 def diff_position(spark: SparkSession, d: str) -> DataFrame:
     own = patch_table(spark, d)
-    targets = own.select("patch_id", F.explode(F.array(*map(F.lit, (10, 12, 72, 75)))).alias("target"))
+    targets = own.select("patch_id").distinct().select("patch_id", F.explode(F.array(*map(F.lit, (10, 12, 72, 75)))).alias("target"))
     return patches.diff_position(own, targets).select("patch_id", "target", F.coalesce("position", F.lit(-1)).alias("position"))
 
 

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import text
+from auditspark.operators import segments
 
 
-def patch_lines(patches: DataFrame) -> DataFrame:
-    """patch_id, pos, line, start, number: each line with the number that its hunk gives it. One window in the patch."""
-    lines = patches.select("patch_id", F.posexplode(text.split_lines(F.col("patch"))).alias("pos", "line"))
+def as_lines(patches: DataFrame) -> DataFrame:
+    """patch_id, pos, line of patches that are texts (patch_id, patch); patches of lines are given back."""
+    if "patch" not in patches.columns:
+        return patches
+    return patches.select("patch_id", F.posexplode(text.split_lines(F.col("patch"))).alias("pos", "line"))
+
+
+def patch_lines(patches: DataFrame, piece: int = segments.PIECE) -> DataFrame:
+    """patch_id, pos, line, is_header, number: each line with the number that its hunk gives it. ``patches`` are texts or
+    lines (patch_id, pos from 0, line); a long patch is numbered in pieces."""
     header = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", 1)
-    order = Window.partitionBy("patch_id").orderBy("pos")
-    marked = lines.withColumn("hunk", F.when(header != "", header.cast("int"))).withColumn("is_header", header != "")
-    marked = marked.withColumn("start", F.coalesce(F.last("hunk", ignorenulls=True).over(order), F.lit(0))).withColumn("part", F.sum(F.col("is_header").cast("int")).over(order))
-    advances = (~F.col("is_header") & ~F.col("line").startswith("-")).cast("int")
-    inside = Window.partitionBy("patch_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.select("patch_id", "pos", "line", "is_header", (F.col("start") + F.coalesce(F.sum(advances).over(inside), F.lit(0))).cast("int").alias("number"))
+    start = F.when(header != "", header.cast("int"))
+    advances = (~F.col("line").startswith("-")).cast("int")
+    rows = segments.counters(as_lines(patches), ["patch_id"], "pos", start, advances, piece)
+    return rows.select("patch_id", "pos", "line", (header != "").alias("is_header"), F.col("value").cast("int").alias("number"))
 
 
 def added_lines(patches: DataFrame) -> DataFrame:
@@ -39,4 +45,5 @@ def on_modified_lines(findings: DataFrame, patches: DataFrame) -> DataFrame:
     """Findings (patch_id, line, ...) on added lines, and all of those whose patch adds none."""
     added = added_lines(patches).select("patch_id", F.col("number").alias("line"))
     kept = findings.join(added, ["patch_id", "line"], "left_semi")
-    return kept.unionByName(findings.join(added, "patch_id", "left_anti"))
+    some = added.select("patch_id").distinct()
+    return kept.unionByName(findings.join(some, "patch_id", "left_anti"))
