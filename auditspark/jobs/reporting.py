@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from auditspark.functions import code
 from auditspark.jobs.source_text import PATHS, paths
-from auditspark.operators import health, reports, service
-from auditspark.sources.adapters import analyses, files, findings, sql, table
+from auditspark.operators import health, reports, sections, service
+from auditspark.sources.adapters import analyses, files, findings, repositories, sql, table
 from auditspark.sources.code import CTE as CODE
 from auditspark.sources.code import code_files
 
@@ -124,6 +124,46 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.markdown(findings(spark, d))
 
 
+def report_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scans with scores for two in three, their files and their findings as the report takes them."""
+    n, line = F.col("analysis_id"), F.col("line")
+    kind = F.when(F.col("category") == "security", "Security").when(F.col("category") == "code_smell", "Code Smell").otherwise("Style")
+    own = findings(spark, d).withColumn("category", kind).withColumn("suggestion", F.concat(F.lit("See "), "file")).withColumn("risk_level", F.when(line % 2 == 0, "Low"))
+    own = own.withColumn("why_it_matters", F.when(line % 3 != 0, "because")).withColumn("before_code", F.when(line % 4 == 0, F.concat(F.lit("x = "), line.cast("string")))).withColumn("after_code", F.when(line % 5 == 0, "y = 1"))
+    log = own.groupBy("analysis_id", "file").agg(F.count(F.lit(1)).alias("findings")).select("*", F.col("file").alias("pos"), F.lit("source").alias("type"), F.lit("Analyzed").alias("status"))
+    scans = analyses(spark, d).join(repositories(spark, d).select("repo_id", F.col("name").alias("repo_name")), "repo_id")
+    score = {c: F.when(n % 3 != 0, (n * (k + 1)) % 101) for k, (c, _) in enumerate(sections.SCORES)}
+    shown = scans.select("analysis_id", "repo_name", F.col("pull_request_id").alias("pr_number"), F.when(n % 5 != 0, F.date_format("scanned_at", "yyyy-MM-dd")).alias("generated_at"), (n % 100).alias("risk_score"), *[c.alias(k) for k, c in score.items()])
+    return shown, log.join(shown.select("analysis_id"), "analysis_id", "left_semi"), own.join(shown.select("analysis_id"), "analysis_id", "left_semi")
+
+
+_ITEM = """'- **Line ' || line || '** [' || severity || ']: ' || issue || chr(10) || '  *Risk Level:* ' || CASE WHEN line % 2 = 0 THEN 'Low' ELSE severity END || chr(10) || '  *Why it matters:* ' || CASE WHEN line % 3 = 0 THEN 'See suggestion details.' ELSE 'because' END
+  || chr(10) || '  *Recommendation:* See ' || file || CASE WHEN line % 4 = 0 OR line % 5 = 0 THEN chr(10) || '  *Refactoring Comparison:*' ELSE '' END
+  || CASE WHEN line % 4 = 0 THEN chr(10) || '  ```' || chr(10) || '  // BEFORE' || CASE kind WHEN 1 THEN ' (Insecure)' WHEN 2 THEN ' (Smell)' ELSE '' END || ':' || chr(10) || 'x = ' || line || chr(10) || '  ```' ELSE '' END
+  || CASE WHEN line % 5 = 0 THEN chr(10) || '  ```' || chr(10) || '  // AFTER' || CASE kind WHEN 1 THEN ' (Remediated)' WHEN 2 THEN ' (Clean)' ELSE ' (Remediated/Optimized)' END || ':' || chr(10) || 'y = 1' || chr(10) || '  ```' ELSE '' END"""
+
+
+@query(f""", s AS (SELECT a.*, name FROM analyses a JOIN repositories USING (repo_id)),
+i AS (SELECT f.*, min(ord) OVER (PARTITION BY analysis_id, file) AS place, CASE category WHEN 'security' THEN 1 WHEN 'code_smell' THEN 2 ELSE 3 END AS kind FROM findings f JOIN s USING (analysis_id)),
+b AS (SELECT s.analysis_id, count(i.severity) AS n, {", ".join(f"count(*) FILTER (i.severity = '{v}') AS n_{v}" for v in sections.COUNTED)} FROM s LEFT JOIN i USING (analysis_id) GROUP BY s.analysis_id)
+SELECT analysis_id, 1 AS section, '' AS place, 0 AS kind, 0 AS head, '' AS ord, '# Audit Report - ' || name || chr(10) || CASE WHEN pull_request_id IS NOT NULL THEN '**Pull Request:** #' || pull_request_id || chr(10) ELSE '' END
+  || '**Generated at:** ' || CASE WHEN analysis_id % 5 = 0 THEN 'N/A' ELSE strftime(scanned_at, '%Y-%m-%d') END || chr(10) || chr(10) || '## Executive Summary' || chr(10) || '- **Overall Risk Score:** ' || (analysis_id % 100) || '/100' || chr(10) || '- **Findings Breakdown:**' || chr(10)
+  || {" || ".join(f"'  - {v}: ' || n_{v} || chr(10)" for v in sections.COUNTED)} || '  - **Total Issues:** ' || n || chr(10)
+  || CASE WHEN analysis_id % 3 = 0 THEN '' ELSE chr(10) || '- **Platform Quality Scores:**' || {" || ".join(f"chr(10) || '  - {name}: ' || (analysis_id * {k + 1} % 101) || '/100'" for k, (_, name) in enumerate(sections.SCORES))} || chr(10) END AS text FROM s JOIN b USING (analysis_id)
+UNION ALL SELECT DISTINCT analysis_id, 2, '', 0, x.h, '', x.t FROM i, (VALUES (0, '## Files Analyzed' || chr(10) || '| File | Type | Status | Findings |' || chr(10) || '| --- | --- | --- | --- |'), (2, chr(10))) x(h, t)
+UNION ALL SELECT analysis_id, 2, '', 0, 1, file, '| `' || file || '` | source | Analyzed | ' || count(*) || ' |' FROM i GROUP BY analysis_id, file
+UNION ALL SELECT DISTINCT analysis_id, 3, '', 0, 0, '', '## Findings Grouped By File' FROM i
+UNION ALL SELECT DISTINCT analysis_id, 3, place, 0, 0, '', '### `' || file || '`' || chr(10) FROM i
+UNION ALL SELECT DISTINCT analysis_id, 3, place, kind, x.h, '', CASE WHEN x.h = 2 THEN '' ELSE '#### ' || CASE kind WHEN 1 THEN 'Security Findings' WHEN 2 THEN 'Code Smells' ELSE 'General Findings' END END FROM i, (VALUES (0), (2)) x(h)
+UNION ALL SELECT analysis_id, 3, place, kind, 1, ord, {_ITEM} FROM i
+UNION ALL SELECT analysis_id, 4, '', 0, 0, '', '## Executive Issues List' || chr(10) || 'No issues found! Code quality is clean.' FROM b WHERE n = 0
+UNION ALL SELECT DISTINCT analysis_id, 4, '', 0, x.h, '', x.t FROM i, (VALUES (0, '## Executive Issues List' || chr(10) || '| File | Line | Severity | Category | Issue | Suggestion |' || chr(10) || '| --- | --- | --- | --- | --- | --- |'), (2, chr(10))) x(h, t)
+UNION ALL SELECT analysis_id, 4, '', 0, 1, ord, '| `' || file || '` | ' || line || ' | **' || severity || '** | ' || CASE kind WHEN 1 THEN 'Security' WHEN 2 THEN 'Code Smell' ELSE 'Style' END || ' | ' || issue || ' | See ' || file || ' |' FROM i""")
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of the reports of all scans, with what it is sorted by."""
+    return sections.report_rows(*report_tables(spark, d))
+
+
 @query(""" SELECT file AS "File", CAST(line AS VARCHAR) AS "Line", severity AS "Severity", category AS "Category", issue AS "Issue", 'See ' || file AS "Suggestion", '' AS "Why It Matters", 'line ' || line AS "Before Code", '' AS "After Code" FROM findings""")
 def csv_report(spark: SparkSession, d: str) -> DataFrame:
     own = findings(spark, d).withColumn("suggestion", F.concat(F.lit("See "), "file")).withColumn("before_code", F.concat(F.lit("line "), F.col("line").cast("string")))
