@@ -22,6 +22,15 @@ FALSE_LINES = (
     (r"(?i)load_dotenv\(\)", ("missing error handling", "hardcoded", "security risk")),
     (r"(?i)print\(|logger\.|logging\.", ("information disclosure", "information leak", "sensitive data")),
 )
+#: Categories of security findings that are known.
+CATEGORIES = ("Security", "Authentication", "Authorization", "Secrets", "Injection", "Input Validation", "Dependency Risks", "Cryptography", "File Upload", "Session Security", "API Security")
+#: What a line shows, and the words of smells that are made up then.
+FAKE_LINES = ((r"(?i)^import\s+|^from\s+", ("long import", "too many import")), (r"(?i)load_dotenv\(\)", ("missing error handling", "error handling")), (r"(?i)#\s*TODO|#\s*FIXME", ("comment", "todo")))
+#: Second arguments of reads of the environment that give nothing away, and words in those that do.
+SAFE_DEFAULTS = (
+    "dev", "development", "prod", "production", "local", "localhost", "test", "testing", "default", "sqlite:///test.db", "postgresql://", "mysql://", "mongodb://", "redis://", "0.0.0.0", "127.0.0.1", "", "none",
+)
+SECRET_WORDS = ("key", "secret", "password", "token", "auth", "pwd")
 SMELL_TYPES = (
     "long function", "long method", "long class", "duplicate code", "high complexity", "excessive complexity", "unused variable", "unused import", "dead code", "magic number", "magic string", "deep nesting", "excessive nesting",
     "god object", "large file", "large parameter list", "too many parameters", "long parameter list",
@@ -54,18 +63,73 @@ def _graded(issue: Column, suggestion: Column, severity: Column, table: dict[str
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base))
 
 
-def security_confidence(issue: Column, suggestion: Column, severity: Column, line: Column, before: Column) -> Column:
-    """0 where line and issue are both known false, 0.5 where the line alone is; otherwise by severity and wording."""
-    said = F.lower(F.concat_ws(" ", F.coalesce(issue, F.lit("")), F.coalesce(suggestion, F.lit(""))))
-    false_line = F.lit(False)
-    for pattern, words in FALSE_LINES:
-        false_line = false_line | ((strip(line).rlike(pattern) | F.lower(before).rlike(pattern)) & has_any(said, words))
-    return F.when(false_line & has_any(said, FALSE_ISSUES), 0.0).when(false_line, 0.5).otherwise(_graded(issue, F.coalesce(suggestion, F.lit("")), severity, SEVERITY_SCORE))
+def shows(line: Column, before: Column, said: Column, table: tuple) -> Column:
+    """Does the line or the quoted code show what makes the words of the finding doubtful?"""
+    found = F.lit(False)
+    for pattern, words in table:
+        found = found | ((strip(line).rlike(pattern) | F.lower(before).rlike(pattern)) & has_any(said, words))
+    return found
+
+
+def words_of(issue: Column, suggestion: Column) -> Column:
+    return F.lower(F.concat_ws(" ", F.coalesce(issue, F.lit("")), F.coalesce(suggestion, F.lit(""))))
+
+
+def security_confidence(issue: Column, suggestion: Column, severity: Column, line: Column, before: Column, category: Column | None = None) -> Column:
+    """0 where line and issue are both known false, 0.5 where the line alone is, 0.3 where the category is none that is
+    known; otherwise by severity and wording."""
+    said = words_of(issue, suggestion)
+    false_line = shows(line, before, said, FALSE_LINES)
+    graded = _graded(issue, F.coalesce(suggestion, F.lit("")), severity, SEVERITY_SCORE)
+    if category is not None:
+        graded = F.when((F.coalesce(category, F.lit("")) != "") & ~category.isin(*CATEGORIES), 0.3).otherwise(graded)
+    return F.when(false_line & has_any(said, FALSE_ISSUES), 0.0).when(false_line, 0.5).otherwise(graded)
+
+
+def smell_confidence(issue: Column, suggestion: Column, severity: Column, line: Column | None = None, before: Column | None = None) -> Column:
+    """0 where the words or the line are of a smell that is made up, 0.3 where the smell is none that is known."""
+    said = words_of(issue, suggestion)
+    made_up = has_any(said, FAKE_SMELLS)
+    if line is not None:
+        made_up = made_up | shows(line, F.lit("") if before is None else before, said, FAKE_LINES)
+    return F.when(made_up, 0.0).when(~has_any(said, SMELL_TYPES), 0.3).otherwise(_graded(issue, F.coalesce(suggestion, F.lit("")), severity, SMELL_SCORE))
+
+
+def risky_default(code: Column) -> Column:
+    """Has the first call that ends in a quoted argument one that looks like a secret?"""
+    form = r",\s*(['\"])(.*?)\1\s*\)"
+    value = F.regexp_extract(code, form, 2)
+    telling = has_any(F.lower(value), SECRET_WORDS) | value.rlike(r"^[A-Za-z0-9_\-+]{8,}$")
+    return code.rlike(form) & ~F.lower(value).isin(*SAFE_DEFAULTS) & (F.length(value) > 6) & telling
 
 
-def smell_confidence(issue: Column, suggestion: Column, severity: Column) -> Column:
-    said = F.lower(F.concat_ws(" ", F.coalesce(issue, F.lit("")), F.coalesce(suggestion, F.lit(""))))
-    return F.when(has_any(said, FAKE_SMELLS), 0.0).when(~has_any(said, SMELL_TYPES), 0.3).otherwise(_graded(issue, F.coalesce(suggestion, F.lit("")), severity, SMELL_SCORE))
+def is_settings(line: Column, before: Column) -> Column:
+    """Is the finding on a read of the environment without a risky default, or on a class of settings?"""
+    either = lambda word: F.contains(line, F.lit(word)) | F.contains(before, F.lit(word))
+    reads = (either("os.getenv") | either("os.environ")) & ~risky_default(F.concat_ws(" ", line, before))
+    return reads | either("BaseSettings") | (F.contains(line, F.lit("class")) & either("Settings"))
+
+
+def accepted(findings: DataFrame, line: Column) -> DataFrame:
+    """The findings (severity, category, issue, suggestion, before_code, and others as they are) that are sure enough and on
+    no settings, with what they lack filled in. ``line`` is the text of the finding's line."""
+    text, before = F.coalesce(strip(line), F.lit("")), F.coalesce("before_code", F.lit(""))
+    sure = security_confidence(F.coalesce("issue", F.lit("")), F.col("suggestion"), F.coalesce("severity", F.lit("Low")), text, before, F.col("category"))
+    filled = {"severity": "Medium", "category": "Security", "issue": "Potential vulnerability found", "suggestion": "Please verify and secure this code.", "before_code": ""}
+    kept = findings.withColumn("_sure", sure).where((F.col("_sure") >= KEEP_AT) & ~is_settings(text, before)).drop("_sure")
+    return kept.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in filled.items()})
+
+
+RECOMMENDED = (
+    ("critical", "Fix %d critical security issue(s) first"), ("high", "Review %d high-severity security finding(s)"), ("vulnerable", "Update %d vulnerable dependenc(y/ies)"),
+    ("quality", "Refactor %d code quality issue(s)"), ("outdated", "Update %d outdated dependenc(y/ies)"),
+)
+
+
+def recommendations(most: int = 4) -> Column:
+    """What to do first, by the columns critical, high, vulnerable, quality and outdated; null counts as none."""
+    each = [F.when(F.col(c) > 0, F.format_string(text, F.col(c).cast("long"))) for c, text in RECOMMENDED]
+    return F.slice(F.filter(F.array(*each), lambda x: x.isNotNull()), 1, most)
 
 
 UNLIKELY = r"^(#|//|/\*|\*|import |from |package )"
@@ -102,6 +166,20 @@ def findings_from_text(content: Column, schema: str) -> Column:
     return F.coalesce(let(text, parse), F.array().cast(f"array<{schema}>"))
 
 
+def variants_from_text(rows: DataFrame, column: str) -> DataFrame:
+    """The other columns of ``rows`` with pos and value, a variant, of each finding in the answer: its items where it is
+    an array, or itself. An answer is fenced, or whole JSON, or has an array of objects or an object of a file in it."""
+    fenced = F.regexp_extract(column, r"```(?:json)?\s*([\s\S]*?)```", 1)
+    answer = strip(F.when(F.col(column).rlike(r"```(?:json)?\s*[\s\S]*?```"), fenced).otherwise(F.coalesce(column, F.lit(""))))
+    within = [F.nullif(F.regexp_extract("_answer", form, 1), F.lit("")) for form in (r"(\[\s*\{[\s\S]*\}\s*\])", r'(\{\s*"file"[\s\S]*\})')]
+    parsed = rows.withColumn("_answer", answer).withColumn("_json", F.coalesce(*[F.try_parse_json(x) for x in (F.col("_answer"), *within)]))
+    kept = [c for c in rows.columns if c != column]
+    kind = F.schema_of_variant("_json")
+    many = F.try_variant_get("_json", "$", "array<variant>")
+    items = F.when(kind.startswith("ARRAY"), many).when(kind.startswith("OBJECT"), F.array("_json"))
+    return parsed.select(*kept, F.posexplode(items).alias("pos", "value"))
+
+
 def chunks(files: DataFrame, lines: int = CHUNK_LINES) -> DataFrame:
     """repo, file_id, chunk, chars: pieces of ``lines`` lines; an empty file is one empty piece."""
     own = files.select("repo", "file_id", F.explode(F.array(split_lines(F.col("content")))).alias("ls"))
