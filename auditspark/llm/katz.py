@@ -257,7 +257,7 @@ def sum_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
         n_e, n_p = r["sizes"]
         of = entry[e : e + n_e]
         facts = b"".join([unseen[of].tobytes(), *(planes(small[i][of], "<u4") for i in range(K)), planes(large[of], "<u8")])
-        out.append((r["block"], 2, r["part"], planes(total[where[p : p + n_p]], "<u4"), facts, None if k else stats))
+        out.append((r["block"], 2, r["part"], planes(total[where[p : p + n_p]], "<u8"), facts, None if k else stats))
         e, p = e + n_e, p + n_p
     return back(out)
 
@@ -276,7 +276,7 @@ def score_block(left: pa.Table, right: pa.Table, word_parts: int, parts: int, un
         for r in rows:
             if r["kind"] == 2:
                 a, b = entries[r["part"]], entries[r["part"] + 1]
-                seen[block.order[at[r["part"]] : at[r["part"] + 1]]] = unplanes(r["a"], "<u4")
+                seen[block.order[at[r["part"]] : at[r["part"] + 1]]] = unplanes(r["a"], "<u8")
                 n = b - a
                 facts[0, a:b] = np.frombuffer(r["b"], np.float64, n)
                 for i in range(K):

@@ -3,7 +3,8 @@ r"""License scans: fuzzy search for short notices with exact seeds and bounded-e
 Texts and notices lower-case A-Z and take words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``; the search runs over the words
 joined by single spaces. A notice that may differ by ``k`` edits is split into k + 1 pieces: k edits leave one piece
 whole, so every match lies around an exact place of some piece. The places of pieces give candidate windows, and the
-regex library, matching with at most k errors, verifies edits inside each window and reports the best spans.
+regex library, matching with at most k errors, verifies edits inside each window and reports the best spans. The words of
+a notice that tell it from its neighbours (a name, a version, noncommercial) are outside the part that may differ.
 
 Base phrases are consecutive words, found exactly on word borders. Defined results: null or empty text has no words,
 no labels and the score 0; a text with a base phrase scores 1, otherwise the score is the best verified match's
@@ -26,18 +27,24 @@ from auditspark.llm.common import ALNUM, raw_text, slices, table
 
 #: Phrase and label, fixed by the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Label, notice, and the edits that it may have.
+#: Label, notice, and the edits that it may have. Words in braces tell licences apart and stand as they are; a match that one
+#: of the words in brackets follows is another licence's.
 NOTICES = (
-    ("mit", "under the mit license", 2),
+    ("mit", "under the {mit} license", 2),
+    ("mit", "under a {mit} license", 2),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 6),
-    ("apache-2", "apache license version 2", 2),
-    ("apache-2", "licensed under the apache license", 3),
-    ("cc-by-nc", "creative commons attribution noncommercial", 4),
-    ("cc-by", "creative commons attribution", 3),
+    ("apache-2", "apache license version {2}", 2),
+    ("apache", "licensed under the {apache} license", 3),
+    ("cc-by-nc", "creative commons attribution {noncommercial}", 4),
+    ("cc-by-nc", "creative commons attribution {non commercial}", 4),
+    ("cc-by", "creative {commons} attribution [noncommercial non sharealike share noderivatives noderivs no]", 3),
     ("bsd", "redistribution and use in source and binary forms", 5),
-    ("gpl", "gnu general public license", 3),
-    ("mpl-2", "mozilla public license", 3),
-    ("proprietary", "all rights reserved", 2),
+    ("gpl", "{gnu} general public license", 3),
+    ("lgpl", "gnu {lesser} general public license", 3),
+    ("agpl", "gnu {affero} general public license", 3),
+    ("mpl-2", "{mozilla} public license version {2}", 3),
+    ("mpl", "{mozilla} public license", 3),
+    ("proprietary", "all rights {reserved}", 2),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:int>>"
 
@@ -47,6 +54,20 @@ class Notice:
     label: str
     text: bytes
     edits: int
+    parts: tuple[tuple[bytes, bool], ...]  # each with whether it stands as it is
+    others: frozenset[bytes]  # words that must not follow
+
+    @classmethod
+    def of(cls, label: str, notice: str, edits: int) -> Notice:
+        own, _, others = notice.encode().partition(b" [")
+        parts = [(x, bool(k % 2)) for k, x in enumerate(regex.split(rb"( ?\{[^}]*\} ?)", own)) if x]
+        parts = [(x.replace(b"{", b"").replace(b"}", b""), exact) for x, exact in parts]
+        return cls(label, b"".join(x for x, _ in parts), edits, tuple(parts), frozenset(others.rstrip(b"]").split()))
+
+    def pattern(self) -> object:
+        """Matches with at most ``edits`` errors in each part that may differ; in all is left to be counted."""
+        own = [regex.escape(x, literal_spaces=True) if exact else rb"(?:%s){e<=%d}" % (regex.escape(x, literal_spaces=True), self.edits) for x, exact in self.parts]
+        return regex.compile(b"(?b)" + b"".join(own))
 
     def seeds(self) -> list[tuple[bytes, int]]:
         """edits + 1 pieces that make up the text, each with its place in it."""
@@ -57,8 +78,8 @@ class Notice:
 
 @cache
 def compiled(notices: tuple[tuple[str, str, int], ...]) -> list[tuple[Notice, list[tuple[bytes, int]], object]]:
-    made = [Notice(label, text.encode(), edits) for label, text, edits in notices]
-    return [(x, x.seeds(), regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(x.text, literal_spaces=True), x.edits))) for x in made]
+    made = [Notice.of(*n) for n in notices]
+    return [(x, x.seeds(), x.pattern()) for x in made]
 
 
 def places(text: bytes, piece: bytes) -> Iterator[int]:
@@ -83,8 +104,9 @@ def fuzzy(text: bytes, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> l
             if a >= len(text) or text[a] == 32 or (a and text[a - 1] != 32):
                 continue
             for b in range(max(a + 1, a + n - k), min(len(text), a + n + k) + 1):
-                if (b == len(text) or text[b] == 32) and text[b - 1] != 32 and (m := pattern.fullmatch(text, a, b)):
-                    matches.append((sum(m.fuzzy_counts), a, -b))
+                if (b == len(text) or text[b] == 32) and text[b - 1] != 32 and (m := pattern.fullmatch(text, a, b)) and sum(m.fuzzy_counts) <= k:
+                    if not notice.others or text[b + 1 : b + 33].partition(b" ")[0] not in notice.others:
+                        matches.append((sum(m.fuzzy_counts), a, -b))
         taken: list[tuple[int, int]] = []
         for edits, a, b in sorted(matches):
             if all(-b <= x or a >= y for x, y in taken):

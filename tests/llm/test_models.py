@@ -8,12 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditspark.llm import common, compression_classifier, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_ids
+from auditspark.llm import common, compression_classifier, decontaminate, katz, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_ids
 
 from .brute_near import groups
 from .test_messy import contamination, odd, result, texts, words  # noqa: F401
@@ -86,13 +87,30 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def notice_distance(text: str, notice: str) -> int:
+    """Edits that make ``text`` of the notice, its words in braces standing as they are."""
+    if "{" not in notice:
+        return distance(text, notice)
+    first, exact, rest = re.fullmatch(r"(.*?)( ?\{[^}]*\} ?)(.*)", notice).groups()
+    exact = exact.replace("{", "").replace("}", "")
+    at = [m.start() for m in re.finditer(f"(?={re.escape(exact)})", text)]
+    return min((distance(text[:i], first) + notice_distance(text[i + len(exact) :], rest) for i in at), default=1 << 20)
+
+
+def bare(notice: str) -> str:
+    return notice.partition(" [")[0].replace("{", "").replace("}", "")
+
+
 def spans_by_distance(text: str, notices) -> list[tuple]:
     """All runs of whole words within a notice's edits; of those that overlap the one with the fewest."""
     starts = [m.start() for m in re.finditer(r"[^ ]+", text)]
     ends = [m.end() for m in re.finditer(r"[^ ]+", text)]
     out = []
     for label, notice, k in notices:
-        near = sorted((d, a, -b) for a in starts for b in ends if a < b and abs(b - a - len(notice)) <= k and (d := distance(text[a:b], notice)) <= k)
+        own, _, others = notice.partition(" [")
+        size, others = len(bare(notice)), others.rstrip("]").split()
+        near = [(d, a, -b) for a in starts for b in ends if a < b and abs(b - a - size) <= k and (d := notice_distance(text[a:b], own)) <= k]
+        near = sorted(x for x in near if text[-x[2] :].split()[:1] == [] or text[-x[2] :].split()[0] not in others)
         taken = []
         for d, a, b in near:
             if all(-b <= x or a >= y for x, y in taken):
@@ -101,12 +119,26 @@ def spans_by_distance(text: str, notices) -> list[tuple]:
     return sorted(out)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Apache License Version 1", ""), ("the Apache License, version 3 of it", ""), ("Apache License Version 2.0", "apache-2"), ("Apache Licence Verson 2", "apache-2"), ("licensed under the Apache License Version 1.1", "apache"),
+        ("Creative Commons Attribution Commercial", "cc-by"), ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"), ("creative commons atribution non commercial", "cc-by-nc"), ("Creative Commons Attribution ShareAlike", ""),
+        ("the general public license", ""), ("GNU General Public Licence", "gpl"), ("GNU Lesser General Public License", "lgpl"), ("gnu affero general public license", "agpl"), ("GNU public library", ""),
+        ("under the bit license", ""), ("under a MIT licence", "mit"), ("under an mit license", "mit"), ("undr the mit license", "mit"), ("under the exit license", ""),
+        ("Mozilla Public License Version 1.1", "mpl"), ("Mozilla Public License, version 2.0", "mpl,mpl-2"), ("Godzilla public license", ""), ("all rights reversed", ""), ("All rigths reserved.", "proprietary"), ("cc by nd", ""),
+    ],
+)
+def test_neighbouring_licences(text, labels):
+    assert license_scan.scan_text(text.encode())[5] == labels
+
+
 def test_fuzzy_notices_by_edit_distance():
     rng = random.Random(7)
-    fill = ["foo", "bar", "license", "under", "the", "a", "x", "mit", "public"]
+    fill = ["foo", "bar", "license", "under", "the", "a", "x", "mit", "public", "noncommercial", "2"]
     for _ in range(300):
         label, notice, k = rng.choice(license_scan.NOTICES)
-        own = list(notice)
+        own = list(bare(notice))
         for _ in range(rng.randint(0, k + 1)):
             at = rng.randrange(len(own))
             kind = rng.random()
@@ -199,3 +231,15 @@ def test_clashing_columns(spark, odd, tmp_path):
         df.write.parquet(f"{folder}/{name}.parquet")
     for module in (quality_rules, compression_classifier, decontaminate, line_dedup):
         assert sorted(map(repr, result(spark, module, folder))) == sorted(map(repr, result(spark, module, odd)))
+
+
+def test_pair_counts_of_more_than_32_bits():
+    """Counts of a pair that two blocks hold come back whole, however large their sum is."""
+
+    def sent(block: int, n: int):
+        one = np.array([1])
+        return katz.sent(block, [(0, [1, 1], np.array([5], np.uint64).tobytes() + common.planes(one, "<u4"), np.array([9], np.uint64).tobytes(), common.planes(np.array([n]), "<u4"), common.planes(np.array([n]), "<u8"))])
+
+    group = pa.Table.from_batches([sent(1, 2**32 - 1), sent(2, 8)])
+    found = katz.sum_pairs(group, katz.Unigrams(np.array([0] * (katz.K + 1) + [1, 10])))
+    assert [int(common.unplanes(x, "<u8")[0]) for x in found["a"].to_pylist()] == [2**32 + 7] * 2
