@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zlib
@@ -121,6 +122,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: i
     return texts.groupBy("doc_id", "good").agg(F.min("text").alias("text")).select("doc_id", "text", "good")
 
 
+#: Modules of this subpackage whose tokenizers keep pieces for the life of a Python worker, and where they keep them.
+CACHES = (("token_ids", "_encoders"), ("token_alignment", "_aligners"))
+
+
+def drop_caches() -> None:
+    """Free what other operators have kept in this Python worker: a worker serves several jobs, and its memory is one."""
+    for name, kept in CACHES:
+        if module := sys.modules.get(f"{__package__}.{name}"):
+            getattr(module, kept).clear()
+
+
 #: Bytes of text of a bucket, about; buckets of a table at most (Spark's own limit).
 BUCKET_BYTES, MOST_BUCKETS = 1 << 24, 100_000
 

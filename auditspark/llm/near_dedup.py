@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import bucketed, discard, mix64, raw_text, slices, stored, table, text_bytes, unused
+from auditspark.llm.common import bucketed, discard, drop_caches, mix64, raw_text, slices, stored, table, text_bytes, unused
 from auditspark.llm.shingles import overlap, shingle_sets
 
 BINS, BANDS = 128, 32
@@ -73,6 +73,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist())
             bands = np.concatenate([bands_of(s) for s in sets if len(s)] or [np.zeros(0, np.int64)])

@@ -137,3 +137,11 @@ def test_products(seed):
 
     assert (dense(sparse[0].times(sparse[1])) == a @ b).all()
     assert (dense(sparse[0].transposed()) == a.T).all()
+
+
+def test_caches_are_dropped(tool):
+    from auditspark.llm import common
+
+    ta._aligners["a", "b"] = tool
+    common.drop_caches()
+    assert not ta._aligners
