@@ -25,7 +25,7 @@ DIM = 1 << 17
 #: Labelled rows and bytes of each class that the model is fitted on at most, and the longest text taken into the sample.
 SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_BYTES = 1500, 6 << 20, 1 << 17
 #: Steps of the fit; features that a step handles at a time.
-STEPS, CHUNK = 30, 1 << 21
+STEPS, CHUNK = 60, 1 << 21
 #: Documents whose calibrated probability of good quality is below this are rejected.
 KEEP_AT = 0.3
 SYMBOLS = b"#*$%&|<>"
@@ -110,11 +110,14 @@ def vector_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(vectors: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, seed: int = 7, steps: int = STEPS) -> Model | None:
-    """Fit on four fifths of the sample, calibrate on the rest. None without both classes or with few texts."""
-    if len(vectors) < 20 or good.min() == good.max():
+    """Fit on four fifths of the sample, calibrate on the rest; where either part lacks a class, as in a sample of few texts,
+    both on all of it. None without both classes."""
+    if not len(vectors) or good.min() == good.max():
         return None
     order = np.random.default_rng(seed).permutation(len(vectors))
     held = np.arange(len(vectors)) % 5 == 0
+    if any(len(np.unique(good[order[part]])) < 2 for part in (held, ~held)):
+        held[:] = False
     order = np.concatenate([order[~held], order[held]])
     n, good = int((~held).sum()), good[order].astype(np.float64)
     sizes = np.array([len(vectors[i][0]) for i in order])
@@ -148,8 +151,9 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, seed: in
         m, mb, s, sb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.99 * s + 0.01 * gw * gw, 0.99 * sb + 0.01 * gb * gb
         scale = 0.3 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         w, b0 = w - scale * m / (np.sqrt(s) + 1e-8), b0 - scale * mb / (np.sqrt(sb) + 1e-8)
-    z = margins(w.astype(np.float32), slice(n, len(sizes))) + b0
-    slope, shift = calibrate(z[n:], good[n:])
+    rest = n if n < len(sizes) else 0
+    z = margins(w.astype(np.float32), slice(rest, len(sizes))) + b0
+    slope, shift = calibrate(z[rest:], good[rest:])
     return Model(w, b0, slope, shift)
 
 

@@ -243,3 +243,13 @@ def test_pair_counts_of_more_than_32_bits():
     group = pa.Table.from_batches([sent(1, 2**32 - 1), sent(2, 8)])
     found = katz.sum_pairs(group, katz.Unigrams(np.array([0] * (katz.K + 1) + [1, 10])))
     assert [int(common.unplanes(x, "<u8")[0]) for x in found["a"].to_pylist()] == [2**32 + 7] * 2
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 19, 40])
+def test_fit_of_few_texts(n):
+    """However few labelled texts there are, both classes make a model that ranks them."""
+    texts = [(b"plain calm words of a good text %d" if i % 2 else b"zzxx $$ qq vv noise %d ##") % i for i in range(n)]
+    model = quality_rules.fit([quality_rules.vector_of(t) for t in texts], np.array([i % 2 for i in range(n)]))
+    margins = [quality_rules.margin_of(t, model) for t in texts]
+    assert model.slope > 0 and min(m for i, m in enumerate(margins) if i % 2) > max(m for i, m in enumerate(margins) if not i % 2)
+    assert quality_rules.fit([quality_rules.vector_of(t) for t in texts], np.ones(n, int)) is None
