@@ -53,21 +53,20 @@ def occurrences(text: Column, what: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("int")
 
 
+#: Stands before each match while matches are counted by line.
+MARK = "\x01"
+
+
 def match_lines(text: Column, pattern: str | Column) -> Column:
     """Line number, from 1, of the start of each match; the text is searched whole, matches may span lines. The pattern may be
     a column's.
 
-    The text is cut at its matches once, and the line ends of the pieces are summed up in one fold."""
-    ends, form = lambda x: occurrences(x, "\n"), F.lit(pattern)
-    before = F.transform(F.split(text, form, -1), ends)
-    within = F.transform(F.regexp_extract_all(text, form, F.lit(0)), ends)
-    steps = F.zip_with(before, within, lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct((acc["n"] + x["a"] + x["b"]).alias("n"), F.array_append(acc["out"], acc["n"] + x["a"] + 1).alias("out"))
-
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    numbers = F.aggregate(F.slice(steps, 1, F.size(within)), start, step, lambda acc: acc["out"])
+    A mark goes before each match; each line then gives its number as often as it has marks that the text did not have.
+    This takes time in proportion to the text and its matches."""
+    form = F.lit(pattern)
+    marked = F.regexp_replace(text, form, F.lit(MARK + "$0"))
+    counts = F.zip_with(F.split(marked, "\n", -1), F.split(text, "\n", -1), lambda a, b: occurrences(a, MARK) - occurrences(b, MARK))
+    numbers = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i + 1, n)))
     return F.when(F.rlike(text, form), numbers).otherwise(F.array().cast("array<int>"))
 
 

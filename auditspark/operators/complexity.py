@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,8 +58,12 @@ def functions_of(source: str) -> list[tuple]:
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
-#: Strings and comments, which count for nothing; functions; branches.
-NOISE = re.compile(r"`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|/\*.*?\*/|//[^\n]*", re.DOTALL)
+#: Strings and comments, which count for nothing, in the order in which they go: templates, two kinds of quotes, block and
+#: line comments. A quote in a comment thus begins a string, if another follows in its line.
+NOISE = (
+    (re.compile(r"`(?:\\.|[^`\\])*`"), "``"), (re.compile(r'"(?:\\.|[^"\\\n])*"'), '""'), (re.compile(r"'(?:\\.|[^'\\\n])*'"), "''"),
+    (re.compile(r"/\*.*?\*/", re.DOTALL), ""), (re.compile(r"//[^\n]*"), ""),
+)
 SCRIPT_FUNCTIONS = [
     re.compile(r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\("),
     re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"),
@@ -70,31 +74,42 @@ SCRIPT_BRANCH = re.compile(r"\b(if|for|while|case|catch)\b|\?\?|\|\||&&|\?.*:|\b
 NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function"}
 
 
+def blocks_of(text: str) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """Places of all opening braces, and of those that are closed: where, and how deep braces stand within, themselves
+    included. One pass with a stack."""
+    opened, closed, stack = [], {}, []
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            opened.append(m.start())
+            stack.append([m.start(), 1])
+        elif stack:
+            begin, deepest = stack.pop()
+            closed[begin] = (m.start(), deepest)
+            if stack:
+                stack[-1][1] = max(stack[-1][1], deepest + 1)
+    return opened, closed
+
+
 def script_functions_of(source: str) -> list[tuple]:
     """As ``functions_of``, for JavaScript and TypeScript. A function's body is the next block in braces; one without any
-    brace after it is a single line."""
-    text = NOISE.sub(lambda m: "" if m[0][0] == "/" else m[0][0] * 2, source)
-    braces = [(m.start(), 1 if m[0] == "{" else -1) for m in re.finditer(r"[{}]", text)]
-    depth = list(accumulate(step for _, step in braces))
+    brace after it is a single line, and one whose block is not closed has no body."""
+    text = source
+    for pattern, rest in NOISE:
+        text = pattern.sub(rest, text)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    opened, closed = blocks_of(text)
     found = {(m.start(1), m[1]): m for pattern in reversed(SCRIPT_FUNCTIONS) for m in pattern.finditer(text)}
     out = []
     for (_, name), m in sorted(found.items()):
         if name in NOT_NAMES:
             continue
-        first = text.count("\n", 0, m.start()) + 1
-        k = next((i for i, (at, step) in enumerate(braces) if step > 0 and at >= m.end() - 1), None)
-        if k is None:
+        first, k = bisect_left(ends, m.start()) + 1, bisect_left(opened, m.end() - 1)
+        if k == len(opened):
             out.append((name, first, first, 1, 0))
             continue
-        begin, outside = braces[k][0], depth[k] - 1
-        close = next((i for i in range(k, len(braces)) if depth[i] == outside), None)
-        end = begin if close is None else braces[close][0]
-        body = text[begin:end]
-        inside, deepest = 0, 0
-        for _, step in braces[k : close if close is not None else k]:
-            inside = max(0, inside + step)
-            deepest = max(deepest, inside)
-        out.append((name, first, text.count("\n", 0, end) + 1, 1 + sum(1 for _ in SCRIPT_BRANCH.finditer(body)), deepest))
+        end, deepest = closed.get(opened[k], (opened[k], 0))
+        branches = sum(1 for _ in SCRIPT_BRANCH.finditer(text, opened[k], end))
+        out.append((name, first, bisect_left(ends, end) + 1, 1 + branches, deepest))
     return out
 
 

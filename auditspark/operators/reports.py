@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditspark.sources.keyed_table import KeyedTable
+
 HEADER = ("File", "Line", "Severity", "Category", "Issue", "Suggestion", "Why It Matters", "Before Code", "After Code")
 
 
@@ -51,14 +55,8 @@ def write_routed(findings: DataFrame, path: str) -> None:
         findings.where(F.col("category") == category).sortWithinPartitions("analysis_id", "file", "line", "issue").write.parquet(f"{path}/{name}")
 
 
-def append_snapshots(batch: DataFrame, path: str) -> None:
-    """Append the rows whose analysis is not in the table yet; for ``foreachBatch``, where a batch may come twice."""
-    spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(path).select("analysis_id").distinct()
-        fresh = batch.join(known, "analysis_id", "left_anti")
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = batch
-    fresh.dropDuplicates(["analysis_id"]).write.mode("append").parquet(path)
+def append_snapshots(batch: DataFrame, path: str, batch_id: object = None) -> None:
+    """Append the rows whose analysis is not in the table yet; for ``foreachBatch``, where a batch may come twice. Of rows of
+    one analysis the least counts; writers may run at once (see ``KeyedTable``)."""
+    name = uuid.uuid4().hex if batch_id is None else batch_id
+    KeyedTable(batch.sparkSession, path, batch.schema, ["analysis_id"]).append(batch, name)

@@ -138,7 +138,8 @@ def hardcoded_secrets(files: DataFrame) -> DataFrame:
         return F.transform(pairs, lambda x: F.struct(x["line"].alias("line"), x["value"].alias("value"), F.lit(k).alias("rule"), F.lit(severity).alias("severity"), F.lit(issue).alias("issue")))
 
     hits = [hit(k, *row) for k, row in enumerate(SECRETS)]
-    found = files.select(*KEYS, lines.alias("lines"), F.explode(F.flatten(F.array(*hits))).alias("h")).select(*KEYS, "lines", "h.*")
+    any_hit = content.rlike("(?i)" + "|".join(f"(?:{pattern})" for pattern, *_ in SECRETS))
+    found = files.where(any_hit).select(*KEYS, lines.alias("lines"), F.explode(F.flatten(F.array(*hits))).alias("h")).select(*KEYS, "lines", "h.*")
     kept = found.where(~near(F.col("lines"), F.col("line"), 2, 0).rlike(LEGITIMATE) & ~F.col("value").rlike(PLACEHOLDER))
     place = F.row_number().over(Window.partitionBy(*KEYS, "line", "issue").orderBy("rule"))
     return kept.withColumn("place", place).where(F.col("place") == 1).select(*KEYS, "line", "severity", "issue")

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditspark.streaming import stateful
@@ -98,12 +99,39 @@ def throttle_stream(events: DataFrame, every_s: float = WRITE_S, clock: str = "e
     return stateful.decided(events, decide, "last double", "written", every_s, clock, late_s)
 
 
-def guard_duplicates(scans: DataFrame, delay_s: float = 60.0) -> DataFrame:
-    """Of scans (repo, commit, ts, ...) of the same content within the delay of one that was let through, none but that one.
-    On a stream the state of a pair is forgotten when the watermark has passed it; the batch form is the rule of
-    ``throttle`` over a pair's scans in time order."""
+class Spaced(StatefulProcessor):
+    """Rows of a key that come a while after the last one that was let through; the state ends when any would pass."""
+
+    def __init__(self, delay_s: float) -> None:
+        self.delay_s = delay_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "last double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows))
+        own = own.sort_values(["at_seconds", *(c for c in own.columns if c not in ("at_seconds", "ts"))])
+        ok, last = throttle(own["at_seconds"], [False] * len(own), self.last.get()[0] if self.last.exists() else None, self.delay_s)
+        self.last.update((last,))
+        stateful.only_timer(self.handle, int((last + self.delay_s) * 1000) + 1)
+        yield own[ok].drop(columns="at_seconds")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def guard_duplicates(scans: DataFrame, delay_s: float = 60.0, late_s: float = LATE_S) -> DataFrame:
+    """Of scans (repo, commit, ts, ...) of the same content within the delay of one that was let through, none but that one:
+    the rule of ``throttle`` over a pair's scans in time order, on a table or a stream."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_seconds")
     if scans.isStreaming:
-        return scans.withWatermark("ts", f"{delay_s} seconds").dropDuplicatesWithinWatermark(["repo", "commit"])
+        stateful.timed_state(scans.sparkSession)
+        timed = scans.select("*", at).withWatermark("ts", f"{late_s} seconds")
+        return timed.groupBy("repo", "commit").transformWithStateInPandas(Spaced(delay_s), scans.schema, "append", "EventTime")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
@@ -111,11 +139,11 @@ def guard_duplicates(scans: DataFrame, delay_s: float = 60.0) -> DataFrame:
             for k, own in frame.groupby(["repo", "commit"], sort=False, dropna=False):
                 if k != key:
                     key, last = k, None
-                ok, last = throttle(own["_at"], [False] * len(own), last, delay_s)
-                yield own[ok].drop(columns="_at")
+                ok, last = throttle(own["at_seconds"], [False] * len(own), last, delay_s)
+                yield own[ok].drop(columns="at_seconds")
 
     rest = [c for c in scans.columns if c not in ("repo", "commit", "ts")]
-    ordered = scans.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).repartition("repo", "commit").sortWithinPartitions("repo", "commit", "_at", *rest)
+    ordered = scans.select("*", at).repartition("repo", "commit").sortWithinPartitions("repo", "commit", "at_seconds", *rest)
     return ordered.mapInPandas(run, scans.schema)
 
 

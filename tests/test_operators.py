@@ -223,7 +223,7 @@ def test_duplicate_guard_batch_and_stream(spark, tmp_path):
     source = spark.readStream.schema(scans.schema).parquet(str(tmp_path / "in"))
     query = ev.guard_duplicates(source, 60.0).writeStream.format("memory").queryName("guard").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert {(r["repo"], r["commit"]) for r in spark.table("guard").collect()} == {(1, "c"), (2, "c")}
+    assert sorted(r["event_id"] for r in spark.table("guard").collect()) == [0, 7, 61, 130]
 
 
 def test_heartbeat_stream(spark, tmp_path):
