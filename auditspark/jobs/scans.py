@@ -46,9 +46,20 @@ def _part(kind: str, oracle: str, line: str, name: str, severity: str, issue: st
     return f"SELECT repo, file_id, path, '{kind}' AS kind, CAST({line} AS INTEGER) AS line, {name} AS name, {severity} AS severity, {issue} AS issue FROM ({oracle})"
 
 
-def scan_oracle(source: str = CODE) -> str:
-    """All rules over ``code_files`` and ``numbered`` of ``source``."""
+#: Numbers of any text: a digit right after a letter begins none, and one before a letter loses its last character.
+MAGIC = r""", m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(stripped, '"[^"]*"', '""', 'g'), '''[^'']*''', '''''''', 'g'), '#[^#]*$', '') AS bare, regexp_extract(stripped, '^(\w+)\s*=', 1) AS name FROM numbered
+  WHERE NOT (stripped[1:1] IN ('#', '*') OR stripped[1:2] IN ('//', '--', '/*')) AND NOT regexp_matches(stripped, 'range\s*\(')),
+t AS (SELECT repo, file_id, path, line_no, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT *, regexp_extract_all(regexp_replace(bare, '([A-Za-z_])\d', '\1;', 'g'), '\d+\.?\d*[A-Za-z_]?') AS ts FROM m WHERE NOT (name <> '' AND upper(name) = name))),
+c AS (SELECT *, CASE WHEN regexp_matches(t, '[A-Za-z_]$') THEN left(t, length(t) - 2) ELSE t END AS num FROM t),
+g AS (SELECT repo, file_id, path, line_no, arg_min(num, i) AS number FROM c WHERE num <> '' AND CAST(num AS DOUBLE) NOT IN (0, 1, 2, 10, 100) AND CAST(num AS DOUBLE) <= 10000 GROUP BY ALL)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) <= 5"""
+
+
+def scan_oracle(source: str = CODE, magic: str | None = None) -> str:
+    """All rules over ``code_files`` and ``numbered`` of ``source``; ``magic``: SQL of the numbers, for texts that are no code."""
     own = {name: code_audit.ORACLE[name].replace(CODE, source) for name in ("security_rules", "lookaround_rules", "hardcoded_secrets_rule", "sql_injection_rule", "missing_authorization_rule", "magic_numbers", "unused_imports", "long_parameter_lists")}
+    if magic:
+        own["magic_numbers"] = f"WITH {source}{magic}"
     lists = f"SELECT * FROM ({own['long_parameter_lists']}) WHERE path LIKE '%.py' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line, name) <= 3"
     parts = [
         _part("security", own["security_rules"], "line", "name", "severity", "issue"),
@@ -71,14 +82,21 @@ def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.scan(code_files(spark, d))
 
 
-@query(None)
+#: The given texts and pages as ``code_files`` and ``numbered``.
+DOCUMENTS = """code_files AS (SELECT coalesce(source, '') AS repo, doc_id AS file_id, coalesce(source, '') || '/doc_' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents),
+code_split AS (SELECT repo, file_id, path, CASE WHEN content[-1:] = chr(10) THEN string_split(content[:-2], chr(10)) WHEN content = '' THEN [] ELSE string_split(content, chr(10)) END AS ls FROM code_files),
+numbered AS (SELECT repo, file_id, path, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(13)) AS stripped, CAST(i AS INTEGER) AS line_no FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM code_split))"""
+PAGES = DOCUMENTS.replace(DOCUMENTS.partition("(")[2].partition(" FROM documents")[0] + " FROM documents", "SELECT coalesce(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '') AS repo, page_id AS file_id, 'page_' || page_id || '.html' AS path, coalesce(html, '') AS content FROM pages")
+
+
+@query(scan_oracle(DOCUMENTS, MAGIC))
 def document_findings(spark: SparkSession, d: str) -> DataFrame:
-    """All rules over the given texts, which are no code; held against single rules in the tests."""
+    """All rules over the given texts, which are no code."""
     own = documents(spark, d).select("repo", "file_id", "path", "content")
     return rules.scan(own)
 
 
-@query(None)
+@query(scan_oracle(PAGES, MAGIC))
 def page_findings(spark: SparkSession, d: str) -> DataFrame:
     """All rules over the given pages."""
     host = F.coalesce(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1), F.lit(""))
