@@ -115,8 +115,8 @@ def requirements_parse(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("pkg_"), (key % 97).cast("string"))
     other = F.when(key % 3 == 0, "# comment").when(key % 3 == 1, "-r other.txt").otherwise(F.concat(name, F.lit("[extra]==1.0")))
     line = F.when(kind == 4, other).otherwise(F.concat(name, spec))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"])
-    manifests = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("manifest_id")).agg(F.array_join(lines, "\n").alias("content"))
+    own = table(spark, d, "orders").select(F.col("o_custkey").alias("manifest_id"), "o_orderkey", line.alias("line"))
+    manifests = segments.positions(own, ["manifest_id"], ["o_orderkey"], "pos").withColumn("pos", F.col("pos").cast("int"))
     return dependencies.requirements(manifests).withColumn("resolved", F.coalesce("resolved", F.lit("")))
 
 
@@ -129,7 +129,9 @@ def package_json_parse(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("resolved", F.coalesce("resolved", F.lit("")))
 
 
-@query(None)
+@query("""WITH c AS (SELECT l_orderkey AS file_id, count(*) AS n, 1 + sum(1 + CASE l_partkey % 6 WHEN 0 THEN 3 WHEN 3 THEN 0 WHEN 4 THEN 3 ELSE 1 END) AS cc FROM lineitem GROUP BY l_orderkey)
+SELECT file_id % 50 AS repo, file_id, 'f' AS name, CAST(1 AS INTEGER) AS line_start, CAST(1 + 2 * n AS INTEGER) AS line_end, CAST(cc AS INTEGER) AS complexity, CAST(1 AS INTEGER) AS nesting,
+  CASE WHEN cc >= 15 OR 1 + 2 * n > 150 THEN 'High' WHEN cc >= 10 OR 1 + 2 * n > 100 THEN 'Medium' ELSE 'Low' END AS severity FROM c""")
 def complexity_python(spark: SparkSession, d: str) -> DataFrame:
     """Functions of source files made of each order's items, with a branch for each item by its numbers."""
     kind = F.col("l_partkey") % 6

@@ -10,8 +10,11 @@ from auditspark.operators.relational import severity_rank
 
 
 def requirements(manifests: DataFrame) -> DataFrame:
-    """manifest_id, name, spec, resolved of requirement lines; comments, options and lines of another form are skipped."""
-    lines = manifests.select("manifest_id", F.posexplode(F.transform(text.split_lines(F.col("content")), text.strip)).alias("pos", "line"))
+    """manifest_id, pos, name, spec, resolved of requirement lines; comments, options and lines of another form are skipped.
+    ``manifests`` are texts (manifest_id, content) or lines (manifest_id, pos, line)."""
+    if "content" in manifests.columns:
+        manifests = manifests.select("manifest_id", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"))
+    lines = manifests.select("manifest_id", "pos", text.strip(F.col("line")).alias("line"))
     form = r"^([A-Za-z0-9_.\-]+)\s*((?:[=<>!~]=?=?\s*[^;\s,]+\s*,?\s*)*)(?:;.*)?$"
     kept = lines.where(~F.col("line").rlike("^(#|-|$)") & F.col("line").rlike(form))
     spec = text.strip(F.regexp_extract("line", form, 2))
