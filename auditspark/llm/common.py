@@ -28,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors can read: below ``spark.checkpoint.dir``, or below a local folder where
-    that setting is absent, as in tests on one machine."""
+    """A new folder that all executors can read: below ``spark.checkpoint.dir``, or below a local folder where that setting is
+    absent and the session is local, as in tests. On a cluster a local folder would be another one on each machine, and
+    reads would miss rows without an error, so there the setting is asked for."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{uuid.uuid4().hex}"
 
 

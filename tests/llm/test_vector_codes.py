@@ -86,3 +86,14 @@ def test_bounds_hold_and_prune(seed):
 def test_oracle(spark, sf_dir, duck, same_rows):
     (name, query), *_ = vc.QUERIES.items()
     same_rows(query(spark, sf_dir).toPandas(), duck.execute(vc.ORACLE[name]).df())
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from auditspark.llm import common
+
+    unset = SimpleNamespace(get=lambda key, default: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert common.shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:///")
