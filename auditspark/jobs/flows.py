@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from auditspark.operators import service
 from auditspark.sources.adapters import analyses, sql, table
+from auditspark.sources.keyed_table import KeyedTable
+from auditspark.sources.shared import shared_folder
 from auditspark.streaming import events as ev
 from auditspark.streaming import stateful, webhooks
 
@@ -95,6 +97,26 @@ def webhook_pulls(spark: SparkSession, d: str) -> DataFrame:
     return webhooks.newest_pulls(found.where(F.col("outcome") == "review"))
 
 
+def webhook_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same deliveries received as a stream of files: what each has started, read from the table of outcomes."""
+    folder = shared_folder(spark)
+    deliveries(spark, d).drop("event_id").write.json(f"{folder}/in")
+    receiver = webhooks.Receiver(spark, f"{folder}/tables", lambda: connected(spark, d), SECRET)
+    receiver.start(f"{folder}/in", f"{folder}/checkpoint").awaitTermination()
+    found = receiver.deliveries.read().select("delivery_id", "event", "outcome")
+    started = receiver.analyses.read().select("delivery_id", "repo_id", "status")
+    return found.join(started, "delivery_id", "left")
+
+
+def keyed_appends(spark: SparkSession, d: str) -> DataFrame:
+    """One scan of each repository, from two batches that each come twice: of the first batch with any the earliest."""
+    scans = analyses(spark, d).select("repo_id", F.col("scanned_at").cast("timestamp").alias("scanned_at"), "analysis_id")
+    table_ = KeyedTable(spark, f"{shared_folder(spark)}/scans", scans.schema, ["repo_id"], ["scanned_at"])
+    for batch in (0, 0, 1, 1):
+        table_.append(scans.where(F.col("analysis_id") % 2 == batch), batch)
+    return table_.read().select("repo_id", "analysis_id", "batch")
+
+
 def dead_letter_replay(spark: SparkSession, d: str) -> DataFrame:
     """Failed events by their JSON argument: how often each is due for replay, and the last one."""
     rows = table(spark, d, "events").where(F.col("event_type") == "error")
@@ -134,7 +156,7 @@ def webhook_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 SECRET = b"example-key"
-QUERIES = {f.__name__: f for f in (rate_limit_decisions, reset_throttle, in_flight_guard, webhook_outcomes, webhook_pulls, progress_throttle, monotone_counters, webhook_routing, dead_letter_replay, duplicate_scans, dead_letter_retry, progress_heartbeats, webhook_signatures)}
+QUERIES = {f.__name__: f for f in (rate_limit_decisions, reset_throttle, in_flight_guard, webhook_outcomes, webhook_pulls, webhook_stream, keyed_appends, progress_throttle, monotone_counters, webhook_routing, dead_letter_replay, duplicate_scans, dead_letter_retry, progress_heartbeats, webhook_signatures)}
 _HOOKS = """WITH h AS (SELECT event_id AS n, user_id, ts, CASE WHEN event_id % 5 = 4 THEN 'ping' WHEN event_id % 5 = 3 THEN 'issues' WHEN event_id % 2 = 0 THEN 'push' ELSE 'pull_request' END AS event FROM events),
 o AS (SELECT h.*, c_custkey, CASE WHEN n % 13 = 0 THEN 'signature missing' WHEN n % 17 = 0 THEN 'signature mismatch' WHEN n % 11 = 0 THEN 'invalid body' WHEN event = 'ping' THEN 'pong'
   WHEN event = 'issues' OR (event = 'pull_request' AND n % 3 = 1) THEN 'ignored' WHEN n % 19 = 0 OR (event = 'pull_request' AND n % 50 = 0) THEN 'incomplete' WHEN c_custkey IS NULL THEN 'not connected'
@@ -149,6 +171,8 @@ ORACLE = {
 UNION ALL SELECT key, rn, t, event_id, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END, len(f) < 3 FROM (SELECT e.key, e.rn, e.t, e.event_id, list_filter(r.held, lambda h: e.t - h < 3600.0) AS f FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1))
 SELECT key, t AS "at", event_id, admitted FROM r""",
     "webhook_outcomes": _HOOKS + "SELECT CAST(n AS VARCHAR) AS delivery_id, event, outcome, CASE WHEN outcome IN ('review', 'scan') THEN c_custkey END AS repo_id FROM o",
+    "webhook_stream": _HOOKS + "SELECT CAST(n AS VARCHAR) AS delivery_id, event, outcome, CASE WHEN outcome IN ('review', 'scan') THEN c_custkey END AS repo_id, CASE WHEN outcome IN ('review', 'scan') THEN 'pending' END AS status FROM o",
+    "keyed_appends": sql(""" SELECT repo_id, arg_min(analysis_id, (analysis_id % 2, scanned_at, analysis_id)) AS analysis_id, CAST(min(analysis_id % 2) AS VARCHAR) AS batch FROM analyses GROUP BY repo_id"""),
     "webhook_pulls": _HOOKS + """SELECT c_custkey AS repo_id, n % 50 AS number, 'PR #' || (n % 50) AS title, 'u' || min(user_id) AS author, 'h' || arg_max(n, (ts, CAST(n AS VARCHAR))) AS head_sha, '' AS base_sha FROM o WHERE outcome = 'review' GROUP BY ALL""",
     "reset_throttle": """WITH RECURSIVE e AS (SELECT user_id % 40 % 4 AS key, epoch_us(ts) / 1e6 AS t, event_id, row_number() OVER (PARTITION BY user_id % 40 % 4 ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click'),
 r AS (SELECT key, rn, t, event_id, [t] AS held, true AS admitted FROM e WHERE rn = 1
