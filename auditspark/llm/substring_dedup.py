@@ -5,12 +5,14 @@ only equality matters, a name is a 64-bit hash instead of an order-preserving ra
 two lengths, and a position drops out as soon as it is known to be unique or settled:
 
 (1) 20 bytes. Each 50-byte window is named by the least 20-byte name among its positions; windows in a row that share
-    it form a run, about one for 16 bytes, and only runs are sent. A run's content is named too. If the whole corpus
-    has a 20-byte name in one document, its windows are unique; if all its runs have one content, then the least
-    document that holds it settles all their windows.
-(2) 50 bytes. Windows of the remaining runs are ranked by their full names: the least document for each is found. A full
-    name has 96 bits: 64 of the window and 32 of its seed, made of other bytes of it. A run's content has 64 bits beside the
-    64 of its seed, so only runs of one seed can be taken for each other.
+    it form a run, about one for 16 bytes, and only runs are sent. A run's content is named too. If all runs of the
+    corpus that have a 20-byte name have one content, then the least document that holds it settles all their windows.
+    Where contents differ, runs whose content a smaller document has are settled too: all their windows go, and that
+    document speaks for them.
+(2) 50 bytes. Windows of the remaining runs, those in the least documents of each content, are ranked by their full names:
+    the least document for each is found. A full name has 96 bits: 64 of the window and 32 of its seed, made of other
+    bytes of it. A run's content has 64 bits beside the 64 of its seed, so only runs of one seed can be taken for each
+    other.
 
 A window is removed where a smaller document has it. Texts lie in a table bucketed by block of documents and are not
 moved again; what moves are packed, distinct names of each block, a name once a block, so a passage that stands in a
@@ -45,7 +47,7 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95
 _STEP = 0xD6E8FEB86659FD93
 BLOCK = "block long, doc_id long, text binary"
 SENT = "part int, block long, n long, keys binary, content binary, docs binary"
-BACK = "block long, level int, part int, status binary, docs binary"
+BACK = "block long, level int, part int, status binary"
 KEPT = "doc_id long, n_bytes long, spans array<long>, kept binary"
 
 
@@ -158,17 +160,21 @@ class Block:
         self.runs = runs_of(self.texts, [i is None for i in self.ids])
         self.id = np.array([i or 0 for i in self.ids], np.int64)[self.runs.row]
         order = np.argsort(self.runs.seed, kind="stable")
-        key = self.runs.seed[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.keys = key[first]
-        if len(key):
+        key, content = self.runs.seed[order], self.runs.content[order]
+        same = key[1:] == key[:-1]
+        if (mixed := same & (content[1:] != content[:-1])).any():  # few seeds of a block have several contents: sort these by content
+            of = np.cumsum(np.concatenate([[True], ~same])) - 1
+            several = np.zeros(of[-1] + 1, bool)
+            several[of[1:][mixed]] = True
+            at = np.flatnonzero(several[of])
+            order[at] = order[at[np.lexsort((content[at], key[at]))]]
             content = self.runs.content[order]
-            same = np.minimum.reduceat(content, first) == np.maximum.reduceat(content, first)
-            self.content = np.where(same, content[first], np.uint64(0))
-            self.least = np.minimum.reduceat(self.id[order], first)
-        else:
-            self.content, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.key_of = np.searchsorted(self.keys, self.runs.seed)
+        fresh = np.concatenate([[True], ~same | (content[1:] != content[:-1])]) if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        self.keys, self.content = key[first], content[first]
+        self.least = np.minimum.reduceat(self.id[order], first) if len(key) else np.zeros(0, np.int64)
+        self.key_of = np.empty(len(key), np.int64)
+        self.key_of[order] = np.cumsum(fresh) - 1
 
     def send(self, parts: int, keys: np.ndarray, content: np.ndarray, width: int, least: np.ndarray) -> pa.Table:
         """Rows for the parts of ``keys``, which are sorted; of ``content`` the ``width`` high bytes are sent."""
@@ -179,13 +185,14 @@ class Block:
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["part", "block", "n", "keys", "content", "docs"])
 
     def settle(self, rows: list[dict], level: int, parts: int, keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key: the least document of the corpus, and whether the next level has to tell."""
+        """For each key: the least document, or one below all others where another block has a smaller one than this; and
+        whether the next level has to tell."""
         cut, least, is_open = cuts(keys, parts), least.copy(), np.zeros(len(keys), bool)
         for r in rows:
             if r["level"] == level:
                 a, b = cut[r["part"]], cut[r["part"] + 1]
                 status = np.frombuffer(r["status"], np.uint8)
-                least[a:b][status == 1] = unplanes(r["docs"], "<i8")
+                least[a:b][status == 1] = np.iinfo(np.int64).min
                 is_open[a:b] = status == 2
         return least, is_open
 
@@ -207,8 +214,8 @@ class Block:
 
 
 def least_documents(group: pa.Table, level: int) -> pa.Table:
-    """Of one partition of names: what each block has to know. Status 0: no other block has the name; 1: the least
-    document follows; 2: the name has several contents."""
+    """Of one partition of names: what each block has to know. Status 1: another block has the name, with the same
+    content, in a smaller document; 2: it has not, and the name has several contents; 0: neither."""
     sizes = group["n"].to_pylist()
     keys = np.concatenate([np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in group["keys"].to_pylist()])
     docs = np.concatenate([unplanes(x, "<i8") for x in group["docs"].to_pylist()])
@@ -216,24 +223,23 @@ def least_documents(group: pa.Table, level: int) -> pa.Table:
     content = np.zeros((len(keys), 8), np.uint8)
     content[:, 8 - width :] = np.frombuffer(b"".join(group["content"].to_pylist()), np.uint8).reshape(-1, width)
     content = content.view(np.uint64).reshape(-1)
-    order = np.argsort(keys, kind="stable") if level == 1 else np.lexsort((content, keys))
+    order = np.lexsort((content, keys))
     ordered, content = keys[order], content[order]
-    differ = ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(np.concatenate([[True], differ if level == 1 else differ | (content[1:] != content[:-1])]))
-    count = np.diff(np.append(first, len(keys)))
-    least = np.minimum.reduceat(docs[order], first)
-    status = np.where(count > 1, 1, 0)
+    new_key = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    fresh = new_key | np.concatenate([[True], content[1:] != content[:-1]])
+    first = np.flatnonzero(fresh)
+    least = np.minimum.reduceat(docs[order], first)[np.cumsum(fresh) - 1]
+    state = np.where(least < docs[order], 1, 0)
     if level == 1:
-        low = np.minimum.reduceat(content, first)
-        status = np.where((low == 0) | (low != np.maximum.reduceat(content, first)), 2, status)
-    of = np.empty(len(keys), np.int64)
-    of[order] = np.repeat(np.arange(len(first)), count)
-    status, least = status[of].astype(np.uint8), least[of]
+        several = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(new_key)) > 1
+        state[(state == 0) & several[np.cumsum(new_key) - 1]] = 2
+    status = np.empty(len(keys), np.uint8)
+    status[order] = state
     cut = np.concatenate([[0], np.cumsum(sizes)])
     part = group["part"][0].as_py()
-    rows = [(name, level, part, status[a:b].tobytes(), planes(least[a:b][status[a:b] == 1], "<i8")) for name, a, b in zip(group["block"].to_pylist(), cut, cut[1:])]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["block", "level", "part", "status", "docs"])
+    rows = [(name, level, part, status[a:b].tobytes()) for name, a, b in zip(group["block"].to_pylist(), cut, cut[1:])]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["block", "level", "part", "status"])
 
 
 def cut_block(block: Block, rows: list[dict], parts: int, full_parts: int) -> pa.Table:
