@@ -10,7 +10,8 @@ to a byte, low bits first: the number of data bytes less one; ``data`` holds the
 bytes. A second table, ``ranks``, lists the ids by rank. Decoding looks control bytes up in numpy tables.
 
 The tokenizer splits words independently before white space that follows other characters, so tasks encode each distinct
-piece once and keep its ids in a cache of at most ``CACHE`` pieces for the life of the worker.
+piece once and keep its ids in a cache of at most ``CACHE`` pieces for the life of the worker. Texts are taken ``TEXT_BYTES``
+at a time; Arrow numbers the distinct pieces among them, and only these are looked up in the cache.
 
 Defined results: null and empty texts give the end id alone; equal doc_ids stand in the order of their ids' digest;
 null doc_ids come first; an empty table gives empty shards and an empty result. Only doc_id and text are read.
@@ -18,12 +19,14 @@ null doc_ids come first; an empty table gives empty shards and an empty result.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ END = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 CACHE = 2_500_000
+#: Bytes of texts that are encoded together, about, beside one longer text at most.
+TEXT_BYTES = 1 << 22
 
 ENCODED = "doc_id long, n long, crc long, ids binary, counts binary"
 SHARD = "shard int, block long, doc_ids array<long>, lengths array<long>, control binary, data binary"
@@ -45,9 +50,10 @@ class Encoder:
 
     A text is cut before each space or line end that follows another character; the tokenizer never joins the two. A
     piece has as its key the part after its space, or the part from its line end on; keys of texts' first parts begin
-    with FIRST, and those of pieces that hold other white space with WHOLE, which no part can."""
+    with FIRST, and those of pieces that hold other white space with WHOLE, which no part can. Punctuation that ends a
+    part is kept apart, by keys that begin with TAIL."""
 
-    FIRST, WHOLE = "\n\n", "\n\n\n"
+    FIRST, WHOLE, TAIL = "\n\n", "\n\n\n", "\n "
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -55,7 +61,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.marks = {m: i[0] for m in ".,;:!?" if len(i := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1}
+        inside = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tails = "".join(c for c in string.punctuation if c != "'" and c not in inside)
         self.clear()
 
     def clear(self) -> None:
@@ -65,12 +72,14 @@ class Encoder:
         self.used = 0
 
     @classmethod
-    def keys(cls, text: str) -> list[str]:
-        """Keys that hold if every part ends with another character than white space."""
-        parts = text.replace("\n", " \n").split(" ") if text else []
-        if parts:
-            parts[0] = cls.FIRST + parts[0]
-        return parts
+    def keys(cls, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Keys that hold if every part ends with another character than white space, and how many each text has."""
+        kind, sizes = pa.large_string(), np.zeros(len(texts), np.int64)
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        lines = pc.replace_substring(texts.filter(some).cast(kind), "\n", " \n")
+        parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(cls.FIRST, kind), lines, pa.scalar("", kind)), " ")
+        sizes[some.to_numpy(zero_copy_only=False)] = pc.list_value_length(parts).to_numpy()
+        return parts.flatten(), sizes
 
     @classmethod
     def careful_keys(cls, text: str) -> list[str]:
@@ -84,47 +93,65 @@ class Encoder:
                 pieces.append(part)
         return [cls.WHOLE + p for p in pieces]
 
-    @classmethod
-    def is_clean(cls, key: str) -> bool:
-        return len(key) > (2 if key.startswith(cls.FIRST) else 0) and not key[-1].isspace()
-
     def text_of(self, key: str) -> str:
         return key[3:] if key.startswith(self.WHOLE) else key[2:] if key.startswith(self.FIRST) else key if key[0] == "\n" else " " + key
 
-    def _add_words(self, keys: list[str]) -> None:
-        """Keys of single words, many in one text, a line each: a line end is a token of its own there."""
+    def _add_parts(self, keys: list[str], before: str) -> None:
+        """Keys of single words, many in one text, a line each: a line end is a token of its own there. ``before`` stands
+        between a line end and a word: a space, or nothing where the keys hold their own line ends."""
+        skip = int(not before)
         for at in range(0, len(keys), 4000):
             some = keys[at : at + 4000]
-            text = " " + "\n ".join(some)
-            if len(self.line_end) != 1 or len(text.split()) != len(some):
+            if len(self.line_end) != 1:
                 self._add_others(some)
                 continue
+            words = [k[skip:] for k in some]
+            text = ("\n" + before) + ("\n" + before).join(words)
+            if text.split() != words:
+                self._add_others([k for k, w in zip(some, words) if w.split() != [w]])
+                some = [k for k, w in zip(some, words) if w.split() == [w]]
+                if not some:
+                    continue
+                text = ("\n" + before) + ("\n" + before).join(k[skip:] for k in some)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.line_end[0])
-            assert len(cut) == len(some) - 1
-            self._store(some, np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1, np.delete(ids, cut))
+            assert len(cut) == len(some) and not cut[0]
+            sizes = np.diff(np.append(cut, len(ids)))
+            self._store(some, *((sizes, ids) if skip else (sizes - 1, np.delete(ids, cut))))
 
     def _add_others(self, keys: list[str]) -> None:
         if keys:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(list(map(self.text_of, keys)), add_special_tokens=False)]
+            texts = [k[2:] if k.startswith(self.TAIL) else self.text_of(k) for k in keys]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self._store(keys, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
 
-    def add(self, new: set[str]) -> None:
-        """Encode new keys. A mark after a letter is a token of its own, so a word with it takes the word's ids."""
-        number, marks = self.number, self.marks
-        others = [k for k in new if k[0] == "\n"]
-        marked = [k for k in new if k[-1] in marks and k[-2:-1].isalpha() and k[0] != "\n"]
-        self._add_others(others)
-        self._add_words(list(new.difference(others, marked).union(k[:-1] for k in marked).difference(number)))
-        if marked := [k for k in marked if k not in number]:
-            at = np.fromiter((number[k[:-1]] for k in marked), np.int64, len(marked))
-            begin, size = self.start[at], self.start[at + 1] - self.start[at] + 1
-            ends = np.cumsum(size)
-            index = np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))
-            flat = self.ids[np.minimum(index, len(self.ids) - 1)]
-            flat[ends - 1] = [marks[k[-1]] for k in marked]
-            self._store(marked, size, flat)
+    def add(self, new: list[str]) -> None:
+        """Encode new keys, each given once. Punctuation after a letter begins tokens of its own, so a part that ends with it
+        takes the ids of the rest and of the punctuation."""
+        number, tails, double = self.number, self.tails, self.FIRST
+        ended = [(k, w) for k in new if k[-1] in tails and k[:2] != double and (w := k.rstrip(tails))[-1:].isalpha()]
+        apart = {k for k, _ in ended}
+        parts = [k for k in new if k[-1] not in tails or k not in apart]
+        parts += {w for _, w in ended if w not in number}.difference(parts)
+        self._add_parts([k for k in parts if k[0] != "\n"], " ")
+        lines = [k for k in parts if k[0] == "\n"]
+        self._add_parts([k for k in lines if k[:2] != double], "")
+        self._add_others([k for k in lines if k[:2] == double])
+        if ended:
+            marks = [self.TAIL + k[len(w) :] for k, w in ended]
+            self._add_others([m for m in set(marks) if m not in number])
+            at = np.array([(number[w], number[m]) for (_, w), m in zip(ended, marks)], np.int64).reshape(-1)
+            self._store([k for k, _ in ended], *self._ids_of(at, 2))
+
+    def _ids_of(self, at: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids every ``each`` entries have together, and the ids."""
+        begin = self.start[at]
+        size = self.start[at + 1] - begin
+        begin -= np.cumsum(size) - size
+        index = np.repeat(begin, size)
+        index += np.arange(len(index))
+        return size.reshape(-1, each).sum(axis=1), self.ids[index]
 
     def _store(self, keys: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
         first = len(self.number)
@@ -137,31 +164,45 @@ class Encoder:
         self.used += len(flat)
         self.number.update(zip(keys, range(first, first + len(keys))))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
         if len(self.number) > CACHE:
             self.clear()
-        keys = [self.keys(t) for t in texts]
-        flat = list(chain.from_iterable(keys))
-        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(unknown := np.flatnonzero(at < 0)):
-            new = {flat[i] for i in unknown.tolist()}
-            if odd := {k for k in new if not self.is_clean(k)}:
-                ends = np.cumsum([len(k) for k in keys])
-                for i in {int(np.searchsorted(ends, i, side="right")) for i in unknown.tolist() if flat[i] in odd}:
-                    keys[i] = self.careful_keys(texts[i])
-                flat = list(chain.from_iterable(keys))
-                new = {k for k in flat if k not in self.number}
-            self.add(new)
-            at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat)) if odd else at
-            if not odd:
-                at[unknown] = [self.number[flat[i]] for i in unknown.tolist()]
-        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        begin = self.start[at]
-        size = self.start[at + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(size)])
-        index = np.repeat(begin - ends[:-1], size)
-        index += np.arange(len(index))
-        return np.split(self.ids[index], ends[np.cumsum(sizes)[:-1]])
+        flat, sizes = self._numbers_of(texts)
+        per_key, ids = self._ids_of(flat, 1)
+        total = np.concatenate([[0], np.cumsum(per_key)])
+        return np.split(ids, total[np.cumsum(sizes)[:-1]])
+
+    def _numbers_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all keys of the texts, and how many each text has. A key that stands at several places is looked
+        up once."""
+        keys, sizes = self.keys(texts)
+        ends, numbered = np.cumsum(sizes), keys.dictionary_encode()
+        which, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        at = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(at < 0)
+        larger: dict[int, list[str]] = {}
+        if odd := [i for i in unknown.tolist() if not (k := distinct[i]) or k[-1].isspace()]:
+            is_odd = np.zeros(len(distinct), bool)
+            is_odd[odd] = True
+            rows = np.unique(np.searchsorted(ends, np.flatnonzero(is_odd[which]), side="right")).tolist()
+            larger = {i: self.careful_keys(texts[i].as_py()) for i in rows}
+            plain = np.ones(len(sizes), bool)
+            plain[rows] = False
+            used = np.zeros(len(distinct), bool)
+            used[which[np.repeat(plain, sizes)]] = True
+            unknown = unknown[used[unknown]]
+        new = [distinct[i] for i in unknown.tolist()]
+        self.add(new + list({k for some in larger.values() for k in some if k not in self.number}))
+        at[unknown] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        flat = at[which]
+        if larger:
+            pieces, done = [], 0
+            for i, some in larger.items():
+                pieces += [flat[done : ends[i] - sizes[i]], np.array([self.number[k] for k in some], np.int64)]
+                done, sizes[i] = ends[i], len(some)
+            flat = np.concatenate([*pieces, flat[done:]])
+        return flat, sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -173,14 +214,24 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of less than ``most`` bytes of texts, beside the first of a slice."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = np.flatnonzero(np.diff(ends // most)) + 1 if len(ends) else []
+        for a, b in zip([0, *cut], [*cut, len(ends)]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """A row for each document; and one for each task with ``counts``, how often it made each id, and nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, total = encoder(tokenizer), np.zeros(0, np.int64)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        for batch in slices(batches, 256):
-            found = [np.append(x, np.uint32(end)) for x in tool.encode([t or "" for t in batch.column(1).to_pylist()])]
+        for batch in by_bytes(batches, TEXT_BYTES):
+            found = [np.append(x, np.uint32(end)) for x in tool.encode(batch.column(1))]
             count = np.bincount(np.concatenate(found), minlength=len(total))
             count[: len(total)] += total
             total = count
