@@ -23,14 +23,15 @@ LINES = [
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo, file_id, path, ord, line."""
+    """repo, file_id, path, ord, line; the lines of a file stand in one partition, to which only their numbers were sent."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("l_quantity")).repartition("file_id")
     pick = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % len(LINES)
-    key = F.col("l_orderkey")
+    key = F.col("file_id")
     line = F.replace(F.get(F.array(*map(F.lit, LINES)), pick.cast("int")), F.lit("~"), (F.col("l_partkey") % 500).cast("string"))
     top = F.get(F.array(*map(F.lit, ["core", "services", "web", "tools"])), (F.floor(key / 50) % 4).cast("int"))
-    order = F.concat(F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"))
+    order = F.concat(F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0"), F.lpad(F.col("l_quantity").cast("string"), 3, "0"))
     path = F.concat(top, F.lit("/mod_"), key.cast("string"), F.when(key % 3 == 2, ".js").otherwise(".py"))
-    return table(spark, sf_dir, "lineitem").select((key % 50).alias("repo"), key.alias("file_id"), path.alias("path"), order.alias("ord"), line.alias("line"))
+    return own.select((key % 50).alias("repo"), "file_id", path.alias("path"), order.alias("ord"), line.alias("line"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
