@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from auditspark.functions import text
 from auditspark.jobs import outside, scans, whole_findings
 from auditspark.operators import patches, rules
+from auditspark.sources.repos import repo_files
 
 FILES = "repo long, file_id long, path string, content string"
 
@@ -83,7 +84,7 @@ def test_same_line_and_issue_counts_once_by_the_first_rule(spark):
 
 
 def test_lines_with_odd_ends(spark):
-    texts = ["", "a", " a \n", "\ta\r\nb \r\n", "a\x0b b  c\x85", " ", "\r", "é x é"]
+    texts = ["", "a", " a \n", " \t a\u2003", "\u2003 \ta \tb\t", " \u00a0 x", "\t \t", "\ta\r\nb \r\n", "a\x0b b  c\x85", " ", "\r", "é x é"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.lined(F.col("t")).alias("l")).collect()
     for r in rows:
         own = texts[r["i"]].splitlines()
@@ -99,3 +100,10 @@ def test_findings_on_lines_of_patches(spark):
     lines = spark.createDataFrame([(i, p, x) for i, t in made for p, x in enumerate(t.split("\n"))], "patch_id long, pos long, line string")
     for own in (texts, lines):
         assert sorted(tuple(r) for r in patches.on_modified_lines(found, own).select("patch_id", "line", "issue").collect()) == expected
+
+
+def test_parts_are_spread_over_all_cores(spark, tmp_path):
+    """A part of a few bytes makes a whole file: small tables of parts are not left to one task."""
+    spark.range(4000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = repo_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({spark.sparkContext.defaultParallelism})" in plan
