@@ -58,9 +58,9 @@ def added_text(spark: SparkSession, d: str) -> DataFrame:
     """The added lines of patches as texts with their files' paths; a patch's line is a line of the derived source."""
     lines = numbered(spark, d).select("repo", "file_id", "path", "line_no", "line")
     patch = F.concat(F.lit("@@ -1,1 +1,1 @@\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(F.lit("+"), x["line"])), "\n"))
-    made = lines.groupBy(F.col("file_id").alias("patch_id")).agg(patch.alias("patch"))
-    added = patches.added_lines(made).groupBy(F.col("patch_id").alias("file_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    return added.join(lines.select("repo", "file_id", "path").distinct(), "file_id").select("repo", "file_id", "path", "content")
+    made = lines.groupBy("repo", "file_id", "path").agg(patch.alias("patch"))
+    added = made.select("repo", "file_id", "path", F.explode(F.array(patches.added_in(F.col("patch")))).alias("added")).where(F.size("added") > 0)
+    return added.select("repo", "file_id", "path", F.array_join(F.transform(F.sort_array("added"), lambda x: x["text"]), "\n").alias("content"))
 
 
 def commit_findings(spark: SparkSession, d: str) -> DataFrame:
