@@ -16,7 +16,7 @@ from auditspark.sources.code import code_files
 def whole_findings(spark: SparkSession, d: str) -> DataFrame:
     """The findings of all rules on the derived source files, with suggestion, reason and the code before and after."""
     files = code_files(spark, d)
-    return advice.whole(rules.scan(files), files)
+    return advice.whole(rules.scan(files, code=True))
 
 
 def whole_csv(spark: SparkSession, d: str) -> DataFrame:
