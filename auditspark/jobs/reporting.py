@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditspark.functions import code
 from auditspark.jobs.source_text import PATHS, paths
 from auditspark.operators import health, reports, sections, service
-from auditspark.sources.adapters import analyses, files, findings, repositories, sql, table
+from auditspark.sources.adapters import analyses, file_of_part, files, findings, repositories, sql, table
 from auditspark.sources.code import CTE as CODE
 from auditspark.sources.code import code_files
 
@@ -125,16 +125,19 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scans with scores for two in three, their files and their findings as the report takes them."""
+    """Scans with scores for two in three, their files and their findings as the report takes them. Items are sent to their
+    scan, and to their file of it, as the table has them; what a report shows of them is made there."""
     n, line = F.col("analysis_id"), F.col("line")
     kind = F.when(F.col("category") == "security", "Security").when(F.col("category") == "code_smell", "Code Smell").otherwise("Style")
-    own = findings(spark, d).withColumn("category", kind).withColumn("suggestion", F.concat(F.lit("See "), "file")).withColumn("risk_level", F.when(line % 2 == 0, "Low"))
-    own = own.withColumn("why_it_matters", F.when(line % 3 != 0, "because")).withColumn("before_code", F.when(line % 4 == 0, F.concat(F.lit("x = "), line.cast("string")))).withColumn("after_code", F.when(line % 5 == 0, "y = 1"))
-    log = own.groupBy("analysis_id", "file").agg(F.count(F.lit(1)).alias("findings")).select("*", F.col("file").alias("pos"), F.lit("source").alias("type"), F.lit("Analyzed").alias("status"))
     scans = analyses(spark, d).join(repositories(spark, d).select("repo_id", F.col("name").alias("repo_name")), "repo_id")
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    items = items.join(scans.select(F.col("analysis_id").alias("l_orderkey")), "l_orderkey", "left_semi").withColumn("file", file_of_part())
+    own = findings(spark, d, items.repartition("l_orderkey", "file")).withColumn("category", kind).withColumn("suggestion", F.concat(F.lit("See "), "file")).withColumn("risk_level", F.when(line % 2 == 0, "Low"))
+    own = own.withColumn("why_it_matters", F.when(line % 3 != 0, "because")).withColumn("before_code", F.when(line % 4 == 0, F.concat(F.lit("x = "), line.cast("string")))).withColumn("after_code", F.when(line % 5 == 0, "y = 1"))
+    log = items.groupBy(F.col("l_orderkey").alias("analysis_id"), "file").agg(F.count(F.lit(1)).alias("findings")).select("*", F.col("file").alias("pos"), F.lit("source").alias("type"), F.lit("Analyzed").alias("status"))
     score = {c: F.when(n % 3 != 0, (n * (k + 1)) % 101) for k, (c, _) in enumerate(sections.SCORES)}
     shown = scans.select("analysis_id", "repo_name", F.col("pull_request_id").alias("pr_number"), F.when(n % 5 != 0, F.date_format("scanned_at", "yyyy-MM-dd")).alias("generated_at"), (n % 100).alias("risk_score"), *[c.alias(k) for k, c in score.items()])
-    return shown, log.join(shown.select("analysis_id"), "analysis_id", "left_semi"), own.join(shown.select("analysis_id"), "analysis_id", "left_semi")
+    return shown, log, own
 
 
 _ITEM = """'- **Line ' || line || '** [' || severity || ']: ' || issue || chr(10) || '  *Risk Level:* ' || CASE WHEN line % 2 = 0 THEN 'Low' ELSE severity END || chr(10) || '  *Why it matters:* ' || CASE WHEN line % 3 = 0 THEN 'See suggestion details.' ELSE 'because' END
